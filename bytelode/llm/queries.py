@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP9_SQL, op9_template_decontamination
+from .linededup import OP6_SQL, op6_line_dedup
+from .mixing import op8_pivotal_mix
 from .sharding import OP1_SQL, op1_byte_shards
 from .simhash import op3_simhash_near_dedup
 
 QUERIES = {
     "op1_byte_shards": op1_byte_shards,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op6_line_dedup": op6_line_dedup,
+    "op8_pivotal_mix": op8_pivotal_mix,
+    "op9_template_decontamination": op9_template_decontamination,
 }
 
 ORACLES = {
     "op1_byte_shards": OP1_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op9_template_decontamination": OP9_SQL,
 }
