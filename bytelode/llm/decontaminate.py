@@ -140,11 +140,11 @@ named AS (
   SELECT side, id, list_filter(string_split_regex(regexp_replace(regexp_replace(lower(regexp_replace(t, '\p{{N}}+(?:[.,]\p{{N}}+)*', '{NUMBER}', 'g')),
     '{NUMBER}( ?)(?:{'|'.join(UNITS)})([^\p{{L}}]|$)', '{NUMBER}\1{UNIT}\2', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM named
 ), windows AS (
-  SELECT side, id, at, CASE WHEN len(w) >= {WINDOW} THEN w[at:at + {WINDOW - 1}] ELSE w END AS run
-  FROM (SELECT side, id, w, unnest(range(1, greatest(len(w) - {WINDOW - 2}, 2))) AS at FROM canonical WHERE len(w) > 0)
+  SELECT side, id, spot, CASE WHEN len(w) >= {WINDOW} THEN w[spot:spot + {WINDOW - 1}] ELSE w END AS run
+  FROM (SELECT side, id, w, unnest(range(1, greatest(len(w) - {WINDOW - 2}, 2))) AS spot FROM canonical WHERE len(w) > 0)
 ), wanted AS (
-  SELECT id AS item_id, at, run FROM windows WHERE side = 'b' AND len(list_filter(run, lambda w: NOT regexp_matches(w, '[{NAME}-{UNIT}]'))) >= least({LITERALS}, len(run))
-), found AS (SELECT d.id AS doc_id, b.item_id, count(DISTINCT b.at) AS n_matched FROM windows d JOIN wanted b ON d.run = b.run WHERE d.side = 'd' GROUP BY ALL),
+  SELECT id AS item_id, spot, run FROM windows WHERE side = 'b' AND len(list_filter(run, lambda w: NOT regexp_matches(w, '[{NAME}-{UNIT}]'))) >= least({LITERALS}, len(run))
+), found AS (SELECT d.id AS doc_id, b.item_id, count(DISTINCT b.spot) AS n_matched FROM windows d JOIN wanted b ON d.run = b.run WHERE d.side = 'd' GROUP BY ALL),
 total AS (SELECT item_id, count(*) AS n_windows FROM wanted GROUP BY item_id)
 SELECT doc_id, item_id, n_matched, n_windows, n_matched / n_windows AS coverage FROM found JOIN total USING (item_id) WHERE n_matched >= {COVERAGE} * n_windows
 """
