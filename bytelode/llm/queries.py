@@ -7,10 +7,12 @@ from .linededup import OP6_SQL, op6_line_dedup
 from .mixing import op8_pivotal_mix
 from .sharding import OP1_SQL, op1_byte_shards
 from .simhash import op3_simhash_near_dedup
+from .tokenfile import op5_rans_tokens
 
 QUERIES = {
     "op1_byte_shards": op1_byte_shards,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_rans_tokens": op5_rans_tokens,
     "op6_line_dedup": op6_line_dedup,
     "op8_pivotal_mix": op8_pivotal_mix,
     "op9_template_decontamination": op9_template_decontamination,
