@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP9_SQL, op9_template_decontamination
+from .language import op4_byte_network_language
 from .linededup import OP6_SQL, op6_line_dedup
 from .mixing import op8_pivotal_mix
 from .sharding import OP1_SQL, op1_byte_shards
@@ -12,6 +13,7 @@ from .tokenfile import op5_rans_tokens
 QUERIES = {
     "op1_byte_shards": op1_byte_shards,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_byte_network_language": op4_byte_network_language,
     "op5_rans_tokens": op5_rans_tokens,
     "op6_line_dedup": op6_line_dedup,
     "op8_pivotal_mix": op8_pivotal_mix,
