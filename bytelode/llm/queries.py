@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from .counts import op7_viterbi_token_counts
 from .decontaminate import OP9_SQL, op9_template_decontamination
+from .embeddings import op10_cap_filter_near_dedup
 from .language import op4_byte_network_language
 from .linededup import OP6_SQL, op6_line_dedup
 from .mixing import op8_pivotal_mix
+from .quality import op2_rule_ensemble_quality
 from .sharding import OP1_SQL, op1_byte_shards
 from .simhash import op3_simhash_near_dedup
 from .tokenfile import op5_rans_tokens
 
 QUERIES = {
     "op1_byte_shards": op1_byte_shards,
+    "op2_rule_ensemble_quality": op2_rule_ensemble_quality,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_byte_network_language": op4_byte_network_language,
     "op5_rans_tokens": op5_rans_tokens,
     "op6_line_dedup": op6_line_dedup,
+    "op7_viterbi_token_counts": op7_viterbi_token_counts,
     "op8_pivotal_mix": op8_pivotal_mix,
     "op9_template_decontamination": op9_template_decontamination,
+    "op10_cap_filter_near_dedup": op10_cap_filter_near_dedup,
 }
 
 ORACLES = {
