@@ -1,7 +1,35 @@
-"""A training-corpus pipeline over `documents`: each stage's rows are written and read by the next."""
-STAGES = []
+"""A training-corpus pipeline over `documents`: each stage's rows are written and read by the next.
+
+Rows without a language go, one row of each group of near copies stays, rows that hold a benchmark item
+go, each row is taken as often as the mix of its source asks, and the tokens of what is left are written
+and read back. The last stage returns (doc_id, start, n_tokens, ids_crc32), a row for each copy taken.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from bytelode.llm.common import Scratch, table
+from bytelode.llm.decontaminate import drop_contaminated
+from bytelode.llm.language import drop_undetermined
+from bytelode.llm.mixing import take_copies
+from bytelode.llm.simhash import keep_one_of_each
+from bytelode.llm.tokenfile import write_and_read
+
+STAGES = [
+    ("language", drop_undetermined),
+    ("near_dedup", keep_one_of_each),
+    ("decontaminate", drop_contaminated),
+    ("mix", take_copies),
+    ("tokens", write_and_read),
+]
+
+#: SQL has no network, no SimHash and no tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = scratch.write(stage(spark, docs, sf_dir))
+    return docs
