@@ -26,20 +26,25 @@ KERNEL_BYTES = 8 << 20
 
 def sort_suffixes(text: bytes) -> np.ndarray:
     """Starts of all suffixes, the empty one included, in byte order."""
-    n = len(text) + 1
-    rank = np.zeros(n, np.int64)
-    rank[:-1] = np.frombuffer(text, np.uint8).astype(np.int64) + 1
-    step = 1
+    n, step = len(text) + 1, KEY_BYTES
+    padded = np.zeros(n + step, np.uint64)
+    padded[: n - 1] = np.frombuffer(text, np.uint8)
+    key = np.zeros(n, np.uint64)
+    for k in range(step):
+        key = key << np.uint64(8) | padded[k : k + n]
+    left = np.minimum(np.arange(n)[::-1], step)  # of equal keys the suffix that ends is the lesser
+    order = np.lexsort((left, key))
+    differ = (np.diff(key[order]) != 0) | (np.diff(left[order]) != 0)
     while True:
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate(([0], np.cumsum(differ)))
+        if rank[order[-1]] == n - 1 or step >= n:
+            return order
         behind = np.zeros(n, np.int64)
         behind[: n - step] = rank[step:] + 1
-        pair = rank * (max(n, 256) + 2) + behind
+        pair = rank * (n + 1) + behind
         order = np.argsort(pair, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(np.diff(pair[order]) != 0)))
-        rank, step = new, 2 * step
-        if rank[order[-1]] == n - 1 or step >= n:
-            return order
+        differ, step = np.diff(pair[order]) != 0, 2 * step
 
 
 def _suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +82,9 @@ def suffix_array(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, sa_rank, pos) of every text; null texts have none."""
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), as_bytes(F.col(text_col)).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    found = texts.where(F.octet_length("text") <= kernel_bytes).mapInArrow(_suffix_batches, f"id {kind}, sa_rank long, pos long")
+    # Sorting suffixes takes far longer than moving the text: deal the texts out, whatever files they came in.
+    spread = texts.where(F.octet_length("text") <= kernel_bytes).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    found = spread.mapInArrow(_suffix_batches, f"id {kind}, sa_rank long, pos long")
     long = texts.where(F.octet_length("text") > kernel_bytes)
     if not long.isEmpty():
         found = found.union(double_suffixes(long, checkpoint))
