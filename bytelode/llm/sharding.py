@@ -64,9 +64,9 @@ WITH RECURSIVE steps(i, k, v) AS (
   UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8
 ), crc_table AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
 crcs AS (
-  SELECT text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode(text)) + 1), lambda p: ('0x' || hex(encode(text))[2 * p - 1:2 * p])::BIGINT)),
+  SELECT text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h) // 2 + 1), lambda p: ('0x' || substring(h, 2 * p - 1, 2))::BIGINT)),
          lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
-  FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL), crc_table
+  FROM (SELECT text, hex(encode(text)) AS h FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)), crc_table
 )"""
 
 OP1_SQL = (
