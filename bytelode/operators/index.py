@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.bytes import as_bytes
+from ..functions.bytes import as_bytes, ascii_lower, byte_text
 from ..plans.patterns import KEY_BYTES, Patterns, key_range, pattern_list
 from ..session import checkpoint
 
@@ -128,6 +128,7 @@ class SuffixIndex:
     spark: SparkSession
     path: str
     id_col: str
+    ci: bool = False
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
@@ -135,7 +136,7 @@ class SuffixIndex:
     def _hits(self, patterns: Patterns) -> DataFrame:
         """(id, pattern_id, sa_rank, pos): key ranges are pushed to the scan; beyond eight bytes the text is held
         against the pattern."""
-        wanted = [(i, p) for i, p in pattern_list(patterns) if b"\0" not in p]
+        wanted = [(i, p) for i, p in pattern_list(patterns, self.ci) if b"\0" not in p]
         sa, none = self.table("sa"), F.lit(None).cast("struct<pattern_id:bigint,pattern:binary>")
         if not wanted:
             return sa.select(self.id_col, F.lit(0).cast("long").alias("pattern_id"), "sa_rank", "pos").limit(0)
@@ -173,18 +174,22 @@ class SuffixIndex:
         return hits.withColumn("_place", place).where(F.col("_place") <= first).drop("_place")
 
 
-def build_index(docs: DataFrame, path: str, sample_step: int = 4, id_col: str = "doc_id", text_col: str = "text") -> SuffixIndex:
-    """Writes the index of `docs` to `path`. Ids must be unique; null texts are not indexed."""
-    spark = docs.sparkSession
-    own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), as_bytes(F.col(text_col)).alias("text"))
+def build_index(docs: DataFrame, path: str, sample_step: int = 4, id_col: str = "doc_id", text_col: str = "text", ci: bool = False) -> SuffixIndex:
+    """Writes the index of `docs` to `path`. Ids must be unique; null texts are not indexed.
+
+    With `ci` texts and, at look-up, patterns are folded from A-Z to a-z; that keeps lengths and places.
+    """
+    spark, text = docs.sparkSession, F.col(text_col)
+    own = docs.where(text.isNotNull()).select(F.col(id_col), (F.encode(ascii_lower(byte_text(text)), "ISO-8859-1") if ci else as_bytes(text)).alias("text"))
     own.write.parquet(f"{path}/docs")
     texts = spark.read.parquet(f"{path}/docs")
     full = with_suffix_columns(suffix_array(texts, id_col), texts, id_col)
     full.repartitionByRange("key8", id_col).sortWithinPartitions("key8", id_col).write.parquet(f"{path}/sa")
     c_table(spark.read.parquet(f"{path}/sa"), id_col).write.parquet(f"{path}/c_table")
-    index_info(texts, sample_step, id_col).write.parquet(f"{path}/info")
-    return SuffixIndex(spark, path, id_col)
+    index_info(texts, sample_step, id_col).withColumn("folded", F.lit(ci)).write.parquet(f"{path}/info")
+    return SuffixIndex(spark, path, id_col, ci)
 
 
 def load_index(spark: SparkSession, path: str, id_col: str = "doc_id") -> SuffixIndex:
-    return SuffixIndex(spark, path, id_col)
+    info = spark.read.parquet(f"{path}/info").select("folded").first()
+    return SuffixIndex(spark, path, id_col, bool(info and info["folded"]))

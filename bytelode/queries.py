@@ -128,6 +128,10 @@ def locate_first_items(spark, sf_dir):
     return _item_index(spark, sf_dir).locate(["on", "the"], first=3)
 
 
+def count_ci_index_items(spark, sf_dir):
+    return build_index(_benchmark(spark, sf_dir), _folder(spark), id_col="item_id", ci=True).count(["THE", "tIoN "])
+
+
 def byte_ranks_items(spark, sf_dir):
     return byte_ranks(_benchmark(spark, sf_dir), "item_id")
 
@@ -234,7 +238,7 @@ QUERIES = {
     for f in (
         contamination_pairs, docs_with_any, docs_with_none, count_by_document, count_many_patterns, count_by_lang, count_ci, contains_ci,
         locate_positions, locate_ci, locate_arrays, text_length, index_sizes, suffix_arrays, suffix_array_items, bwt_items, c_table_items,
-        search_range_items, locate_suffix_order_items, locate_first_items, byte_ranks_items, byte_histogram_by_lang, bit_ranks_events,
+        search_range_items, locate_suffix_order_items, locate_first_items, count_ci_index_items, byte_ranks_items, byte_histogram_by_lang, bit_ranks_events,
         page_hits, conversation_hits, incremental_snapshot, codec_counts, sql_functions, fnv_hashes, query_log_total, query_log_unique_exact,
         query_log_unique_sketch, query_log_frequency, query_log_frequency_sketch, query_log_quantiles_exact, query_log_quantiles_sketch,
         query_log_scan, cache_results, cache_hit_rate,
@@ -299,6 +303,7 @@ ORACLES = {
     "search_range_items": f"{_HITS} SELECT i.item_id, a.pattern_id::BIGINT AS pattern_id, coalesce(min(sa_rank), 0)::BIGINT AS sp, coalesce(max(sa_rank) + 1, 0)::BIGINT AS ep FROM item i CROSS JOIN asked a LEFT JOIN hit h ON h.item_id = i.item_id AND h.pattern_id = a.pattern_id GROUP BY ALL",
     "locate_suffix_order_items": f"{_HITS} SELECT item_id, sa_rank, pos, pattern_id FROM hit",
     "locate_first_items": f"{_HITS} SELECT item_id, pattern_id, sa_rank, pos FROM (SELECT item_id, 1 - pattern_id AS pattern_id, sa_rank, pos, row_number() OVER (PARTITION BY item_id, pattern_id ORDER BY sa_rank) AS k FROM hit WHERE pattern_id < 2) WHERE k <= 3",
+    "count_ci_index_items": _counts_sql("benchmark", "item_id", "text", ["THE", "tIoN "], True),
     "byte_ranks_items": f"SELECT *, row_number() OVER (PARTITION BY item_id, byte ORDER BY idx) - 1 AS rank FROM ({_BYTES.format(key='item_id', table='benchmark')})",
     "byte_histogram_by_lang": f"SELECT lang, byte, count(*) AS n FROM ({_BYTES.format(key='lang', table='documents')}) GROUP BY ALL",
     "bit_ranks_events": "SELECT idx, bit, ones AS rank1, idx - ones AS rank0 FROM (SELECT event_id AS idx, value > 50 AS bit, coalesce(sum((value > 50)::INTEGER) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ones FROM events)",
