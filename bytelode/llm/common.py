@@ -62,6 +62,12 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Removes a table that no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._bytelode_path)
+        self._delete(df._bytelode_path)
+
+    def clear(self) -> None:
+        """Removes all tables, once the results that are read from them are written."""
+        self._delete(self.root)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

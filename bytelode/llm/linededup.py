@@ -17,6 +17,8 @@ MIN_SITES = 5
 #: Registers 2^10: a standard error of about 3 %, so the bounds below are dozens of errors away.
 LG_K = 10
 SURE, NEAR = 2.0, 0.5
+#: Common lines (hashes of 8 bytes) that are broadcast at most; beyond it lines are shuffled to them.
+BROADCAST_LINES = 500_000
 
 
 def _lines(text: Column) -> Column:
@@ -39,7 +41,9 @@ def common_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     )
     sure = sketched.where(F.col("estimate") >= SURE * min_sites).select("line")
     near = sketched.where((F.col("estimate") >= NEAR * min_sites) & (F.col("estimate") < SURE * min_sites)).select("line")
-    exact = lines.join(near, "line", "left_semi").groupBy("line").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+    # A line's sites once each before the join: what a third of all rows carry is a few rows by then.
+    once = lines.where("site is not null").distinct()
+    exact = once.join(near, "line", "left_semi").groupBy("line").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     return sure.union(exact.select("line"))
 
 
@@ -58,7 +62,8 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     each = slim.select("id", "text_hash", "site", F.explode("lines").alias("line"))
     common = scratch.write(common_lines(each.select("line", "site"), min_sites))
     # As many values as the document has different lines, at most.
-    marked = each.join(common, "line").groupBy("id", "text_hash").agg(F.collect_set("line").alias("common")).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "common")
+    sized = F.broadcast(common) if common.count() <= BROADCAST_LINES else common
+    marked = each.join(sized, "line").groupBy("id", "text_hash").agg(F.collect_set("line").alias("common")).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "common")
     rows = own.withColumn("text_hash", F.xxhash64("text")).join(marked, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     keep = F.filter(_lines(F.col("text")), lambda line: ~F.coalesce(F.array_contains(F.col("common"), _key(line)), F.lit(False)))
     kept = F.when(F.col("common").isNull(), _lines(F.col("text"))).otherwise(keep)

@@ -13,9 +13,11 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,8 +27,10 @@ from . import rans
 from .common import Scratch, default_partitions, table
 
 SEGMENT = 1 << 21
-#: Words whose ids a worker remembers at most; beyond it forgets all and goes on.
-REMEMBERED = 800_000
+#: Chunks whose ids a worker remembers at most (about 200 bytes each); beyond it forgets all and goes on.
+REMEMBERED = 1_400_000
+#: Bytes of texts that are encoded together.
+TOGETHER = 2 << 20
 _SEGMENTS = "part int, segment int, doc_ids array<long>, lengths array<long>, before long, n_tokens long, data binary"
 #: Chunks for which the number of pre-tokens is plain: Latin letters, digits, and ASCII punctuation
 #: without the apostrophe (contractions) and the sign that opens special tokens.
@@ -85,16 +89,14 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_chunk:
             return self._raw([t.decode("utf-8") for t in texts])
-        out = []
-        for text in texts:
-            chunks = text.split()  # ASCII white space
-            if new := {c for c in chunks if c not in self.known}:
-                if len(self.known) + len(new) > REMEMBERED:
-                    self.known.clear()
-                    new = set(chunks)
-                self._learn(sorted(new))
-            out.append(np.frombuffer(b"".join([self.known[c] for c in chunks]), self.dtype))
-        return out
+        chunked, new = [text.split() for text in texts], set()  # ASCII white space
+        for chunks in chunked:
+            new.update(filterfalse(self.known.__contains__, chunks))
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = set(chain.from_iterable(chunked))
+        self._learn(list(new))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), self.dtype) for chunks in chunked]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -106,6 +108,16 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about TOGETHER bytes of text, or one longer text."""
+    sizes = np.array([0 if n is None else n for n in pc.binary_length(batch.column(1)).to_pylist()], np.int64)
+    group, start = np.cumsum(sizes) // TOGETHER, 0
+    for end in [*(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]:
+        if end > start:
+            yield batch.slice(start, end - start)
+        start = end
+
+
 def _write_segments(path: str, end_id: int, segment_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, before = TaskContext.get().partitionId(), 0, 0
@@ -126,16 +138,16 @@ def _write_segments(path: str, end_id: int, segment_tokens: int):
 
         held = 0
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            for i, text in zip(batch.column(0).to_pylist(), texts):
-                got = encoder(path).encode([text.as_py() or b""])[0]
-                ids += [got.astype(np.uint32), end]
-                doc_ids.append(i)
-                lengths.append(len(got) + 1)
-                held += len(got) + 1
-                if held >= segment_tokens:
-                    yield flush()
-                    held = 0
+            for few in _slices(batch):
+                texts = [t or b"" for t in few.column(1).cast(pa.binary()).to_pylist()]
+                for i, got in zip(few.column(0).to_pylist(), encoder(path).encode(texts)):
+                    ids += [got.astype(np.uint32), end]
+                    doc_ids.append(i)
+                    lengths.append(len(got) + 1)
+                    held += len(got) + 1
+                    if held >= segment_tokens:
+                        yield flush()
+                        held = 0
         if lengths:
             yield flush()
 

@@ -23,6 +23,7 @@ def test_shuffled_join_and_short_items(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
     docs = [(1, ITEM), (2, "Two words."), (3, "not two words")]
     assert pairs(spark, docs, [(1, ITEM), (2, "two words"), (3, ITEM)]) == [(1, 1), (1, 3), (2, 2)]
+    assert pairs(spark, docs[:2], [(None, ITEM), (None, None), (None, "two words")]) == [(1, None), (2, None)]
 
 
 def test_empty_tables(spark):
