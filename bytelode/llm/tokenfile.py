@@ -27,21 +27,25 @@ from . import rans
 from .common import Scratch, default_partitions, table
 
 SEGMENT = 1 << 21
-#: Chunks whose ids a worker remembers at most (about 200 bytes each); beyond it forgets all and goes on.
-REMEMBERED = 1_400_000
+#: Words in each of two generations that a worker remembers (about 170 bytes each).
+REMEMBERED = 300_000
 #: Bytes of texts that are encoded together.
 TOGETHER = 2 << 20
 _SEGMENTS = "part int, segment int, doc_ids array<long>, lengths array<long>, before long, n_tokens long, data binary"
-#: Chunks for which the number of pre-tokens is plain: Latin letters, digits, and ASCII punctuation
-#: without the apostrophe (contractions) and the sign that opens special tokens.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
+#: Pieces that are pre-tokens on their own: Latin letters that lower-case one to one, a digit, and ASCII
+#: punctuation without the apostrophe (contractions) and the sign that opens special tokens.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-įı-ſ", r"!-&(-/:;=-@\[-`{-~"
+_PIECE = re.compile(rf"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
+_ODD = re.compile(rf"[^{_LETTERS}0-9{_MARKS}\x20\x09-\x0D]")
+_CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 class Encoder:
     """A tokenizer file's ids for whole texts.
 
     Where the file's words end in a suffix and white space only separates, a text's ids are those of its
-    white-space chunks in a row, and each different chunk is encoded once while it is remembered.
+    pieces in a row: words, digits and punctuation, or a whole white-space chunk where it holds any other
+    character. Each different piece is encoded once while it is remembered.
     """
 
     def __init__(self, path: str):
@@ -54,49 +58,56 @@ class Encoder:
         suffix = spec["model"].get("end_of_word_suffix")
         splits = [s for s in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] and r"^\s" in s["pattern"].get("Regex", "")]
         eats = any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in spec["added_tokens"])
-        self.by_chunk = bool(suffix and splits) and not eats
+        self.by_piece = bool(suffix and splits) and not eats
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        if self.by_chunk:
+        if self.by_piece:
             self.ends = np.zeros(size, bool)
             self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
-            self.known: dict[bytes, bytes] = {}
+            self.fold = str.lower if "Lowercase" in re.findall(r'"type": "(\w+)"', json.dumps(spec.get("normalizer"))) else str
+            self.words: dict[str, bytes] = {}
+            self.aged: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        plain, odd = [], []
-        for chunk in chunks:
-            text = chunk.decode("utf-8")
-            pieces = _PLAIN.findall(text)
-            (plain if sum(map(len, pieces)) == len(text) else odd).append((chunk, text, len(pieces)))
+    def _pieces(self, text: str) -> list[str]:
+        if not _ODD.search(text):
+            return _PIECE.findall(self.fold(text))
+        found: list[str] = []
+        for chunk in _CHUNK.findall(text):
+            found += [chunk] if _ODD.search(chunk) else _PIECE.findall(self.fold(chunk))
+        return found
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Many pieces are encoded as one text, whose ids are cut where words end."""
+        plain = [p for p in pieces if not _ODD.search(p)]
+        odd = [p for p in pieces if _ODD.search(p)]
         for at in range(0, len(plain), 64):
             group = plain[at : at + 64]
-            ids = self._raw([" ".join(text for _, text, _ in group)])[0]
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            cuts = np.cumsum([n for _, _, n in group])
-            if len(ends) != cuts[-1]:
+            ids = self._raw([" ".join(group)])[0]
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(group):
                 odd += group
                 continue
-            start = 0
-            for (chunk, _, _), end in zip(group, ends[cuts - 1].tolist()):
-                self.known[chunk] = ids[start:end].tobytes()
-                start = end
-        for (chunk, _, _), ids in zip(odd, self._raw([text for _, text, _ in odd])):
-            self.known[chunk] = ids.tobytes()
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            for piece, start, end in zip(group, [0, *ends], ends):
+                self.words[piece] = raw[start * size : end * size]
+        for piece, ids in zip(odd, self._raw(odd)):
+            self.words[piece] = ids.tobytes()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if not self.by_chunk:
+        if not self.by_piece:
             return self._raw([t.decode("utf-8") for t in texts])
-        chunked, new = [text.split() for text in texts], set()  # ASCII white space
-        for chunks in chunked:
-            new.update(filterfalse(self.known.__contains__, chunks))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set(chain.from_iterable(chunked))
-        self._learn(list(new))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), self.dtype) for chunks in chunked]
+        pieces = [self._pieces(t.decode("utf-8")) for t in texts]
+        new = set(filterfalse(self.words.__contains__, chain.from_iterable(pieces)))
+        if len(self.words) + len(new) > REMEMBERED:
+            self.aged, self.words = self.words, {}
+            new = set(chain.from_iterable(pieces))
+        for piece in new & self.aged.keys():
+            self.words[piece] = self.aged[piece]
+        self._learn(list(new - self.aged.keys()))
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, found)), self.dtype) for found in pieces]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -37,19 +37,19 @@ def test_checkpoints_decode_alone_and_damage_is_seen():
 
 def texts():
     rng = random.Random(2)
-    parts = ["It's", "DON'T", "naïve", "é", "éa", "İstanbul", "ΣΑΣ", "12,5", "<|endoftext|>", "<|x", "a<|startoftext|>b", "a b", " ", "x\x1cy", "don’t", "日本語", "😀👍", "***", "(ok)", "The", "µ", "ﬁ"]
+    parts = ["It's", "DON'T", "naïve", "é", "éa", "İstanbul", "ΣΑΣ", "12,5", "<|endoftext|>", "<|x", "a<|startoftext|>b", "a b", " ", "x\x1cy", "don’t", "日本語", "😀👍", "***", "(ok)", "The", "µ", "ﬁ", "ÀÉÎ", "Œuvre,", "ſŸŉ", "Åb", "a\u0301b", "x×y÷z"]
     return ["", None, " \n\t", "word " * 20_000] + [rng.choice([" ", "\n", "  ", "\r\n"]).join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(200)]
 
 
-def test_chunks_give_the_librarys_ids(monkeypatch):
+def test_pieces_give_the_librarys_ids(monkeypatch):
     monkeypatch.setattr(tokenfile, "REMEMBERED", 15)
     own, plain = Encoder(PATH), Encoder(PATH).tokenizer
-    assert own.by_chunk
+    assert own.by_piece
     for t in texts():
         want = plain.encode(t or "", add_special_tokens=False).ids
         assert own.encode([(t or "").encode()])[0].tolist() == want
     other = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    assert not other.by_chunk
+    assert not other.by_piece
     assert other.encode([b" two  words "])[0].tolist() == other.tokenizer.encode(" two  words ", add_special_tokens=False).ids
 
 
