@@ -13,7 +13,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,8 @@ from .common import Scratch, default_partitions, table
 SEGMENT = 1 << 21
 #: Words in each of two generations that a worker remembers (about 170 bytes each).
 REMEMBERED = 300_000
-#: Bytes of texts that are encoded together.
-TOGETHER = 2 << 20
+#: Bytes of texts, and new words, that are encoded together.
+TOGETHER, GROUP = 256 << 10, 64
 _SEGMENTS = "part int, segment int, doc_ids array<long>, lengths array<long>, before long, n_tokens long, data binary"
 #: Pieces that are pre-tokens on their own: Latin letters that lower-case one to one, a digit, and ASCII
 #: punctuation without the apostrophe (contractions) and the sign that opens special tokens.
@@ -81,10 +81,10 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Many pieces are encoded as one text, whose ids are cut where words end."""
-        plain = [p for p in pieces if not _ODD.search(p)]
-        odd = [p for p in pieces if _ODD.search(p)]
-        for at in range(0, len(plain), 64):
-            group = plain[at : at + 64]
+        odd = [p for p in pieces if _ODD.search(p)] if _ODD.search(" ".join(pieces)) else []
+        plain = [p for p in pieces if not _ODD.search(p)] if odd else pieces
+        for at in range(0, len(plain), GROUP):
+            group = plain[at : at + GROUP]
             ids = self._raw([" ".join(group)])[0]
             ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(ends) != len(group):
@@ -100,14 +100,20 @@ class Encoder:
         if not self.by_piece:
             return self._raw([t.decode("utf-8") for t in texts])
         pieces = [self._pieces(t.decode("utf-8")) for t in texts]
-        new = set(filterfalse(self.words.__contains__, chain.from_iterable(pieces)))
-        if len(self.words) + len(new) > REMEMBERED:
+        distinct = set(chain.from_iterable(pieces))
+        if len(self.words) + len(distinct) > REMEMBERED:
             self.aged, self.words = self.words, {}
-            new = set(chain.from_iterable(pieces))
-        for piece in new & self.aged.keys():
-            self.words[piece] = self.aged[piece]
-        self._learn(list(new - self.aged.keys()))
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, found)), self.dtype) for found in pieces]
+        words, fresh = self.words, []
+        for piece in distinct:
+            if piece not in words:
+                ids = self.aged.get(piece)
+                if ids is None:
+                    fresh.append(piece)
+                else:
+                    words[piece] = ids
+        self._learn(fresh)
+        here = {piece: words[piece] for piece in distinct}  # small enough for a processor's cache
+        return [np.frombuffer(b"".join(map(here.__getitem__, found)), self.dtype) for found in pieces]
 
 
 _encoders: dict[str, Encoder] = {}
