@@ -8,6 +8,8 @@ the item always stands for one value of the document along an alignment.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ UNITS = (
 ).split()
 #: A capitalised word after a word or comma on the same line; one that opens a sentence isn't a name.
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})\p{Ll}+"
+#: Any capitalised word, sentence and line openers and words after quotes too.
+_CAPITALISED = r"(?<![\p{L}\p{M}\p{N}])\p{Lu}\p{Ll}+"
 _NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
 _UNIT = rf"{NUMBER}( ?)(?:{'|'.join(UNITS)})([^\p{{L}}]|$)"
 _PUNCTUATION = rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}\x20\x09-\x0D]+"
@@ -36,9 +40,9 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, _PUNCTUATION, ""), WORD_SEPARATORS), lambda w: w != "")
 
 
-def canonical_words(text: Column) -> Column:
+def canonical_words(text: Column, name: str = _NAME) -> Column:
     """Lower-case words without punctuation, with placeholders; as many as `plain_words`."""
-    named = F.regexp_replace(F.regexp_replace(text, _NAME, NAME), _NUMBER, NUMBER)
+    named = F.regexp_replace(F.regexp_replace(text, name, NAME), _NUMBER, NUMBER)
     return _words(F.regexp_replace(F.lower(named), _UNIT, f"{NUMBER}$1{UNIT}$2"))
 
 
@@ -53,19 +57,25 @@ def _windows(words: Column, of) -> Column:
     return F.when(n >= WINDOW, runs).when(n > 0, F.array(of(words)))
 
 
-def _item_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(window, item, item_hash, at, slots) for each looked-for window of each different item row."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).dropDuplicates().withColumn("item_hash", F.xxhash64("text"))
-    runs = items.withColumn("words", canonical_words(F.col("text"))).select("item", "item_hash", F.posexplode(_windows(F.col("words"), lambda w: w)).alias("at", "run"))
-    is_slot = lambda w: w.rlike(f"[{NAME}-{UNIT}]")
-    slots = F.size(F.filter("run", is_slot))
-    return runs.where(F.size("run") - slots >= F.least(F.lit(LITERALS), F.size("run"))).select(F.xxhash64("run").alias("window"), "item", "item_hash", "at", (slots > 0).alias("slots"))
+def _is_slot(word: Column) -> Column:
+    return word.rlike(f"[{NAME}-{UNIT}]")
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).dropDuplicates().withColumn("item_hash", F.xxhash64("text"))
 
 
-def _consistent(hits: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
+def _item_windows(items: DataFrame, name: str = _NAME, form: int = 0) -> DataFrame:
+    """(form, window, item, item_hash, at, slots) for each looked-for window of each different item row."""
+    runs = items.withColumn("words", canonical_words(F.col("text"), name)).select("item", "item_hash", F.posexplode(_windows(F.col("words"), lambda w: w)).alias("at", "run"))
+    slots = F.size(F.filter("run", _is_slot))
+    return runs.where(F.size("run") - slots >= F.least(F.lit(LITERALS), F.size("run"))).select(F.lit(form).alias("form"), F.xxhash64("run").alias("window"), "item", "item_hash", "at", (slots > 0).alias("slots"))
+
+
+def _consistent(hits: DataFrame, docs: DataFrame, items: DataFrame, name: str = _NAME) -> DataFrame:
     """Of the hits those on an alignment along which each item value stands for one document value."""
     doc_words = docs.select(F.col("id").alias("_id"), F.xxhash64("text").alias("_hash"), plain_words(F.col("text")).alias("words")).dropDuplicates(["_id", "_hash"])
-    item_words = items.select(F.col("item").alias("_item"), F.xxhash64("text").alias("_item_hash"), plain_words(F.col("text")).alias("asked"), canonical_words(F.col("text")).alias("template")).dropDuplicates(["_item", "_item_hash"])
+    item_words = items.select(F.col("item").alias("_item"), F.xxhash64("text").alias("_item_hash"), plain_words(F.col("text")).alias("asked"), canonical_words(F.col("text"), name).alias("template")).dropDuplicates(["_item", "_item_hash"])
     place = ["id", "text_hash", "item", "item_hash", "shift"]
     here = hits.join(doc_words, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).join(item_words, F.col("item").eqNullSafe(F.col("_item")) & (F.col("item_hash") == F.col("_item_hash")))
     pairs = here.select(*place, F.explode(F.sequence(F.col("at") + 1, F.least(F.col("at") + WINDOW, F.size("template")))).alias("i"), "words", "asked", "template", )
@@ -77,7 +87,7 @@ def _consistent(hits: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame
     return hits.join(torn, same, "left_anti")
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", scratch: Scratch | None = None, whole: bool = False) -> DataFrame:
     """(id, text_hash, item, n_matched, n_windows): documents that hold COVERAGE of an item's windows.
 
     A window is five canonical words; an item of fewer words is one window and is found in documents
@@ -85,18 +95,33 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     other is never found. Null and wordless texts match nothing. Repeated rows count once; equal texts
     under different items give a row for each. The private-use characters that serve as placeholders are
     read as such where a text holds them. Empty tables give no rows; other columns are not read.
+
+    This is what the SQL of op9 states. With `whole`, a window also counts where it meets in a second form
+    in which every capitalised word is a name (slots are held against each form by itself). This only
+    adds: what is found without `whole` is found with it.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    wanted = scratch.write(_item_windows(benchmark, item_col, item_text_col))
+    items = _items(benchmark, item_col, item_text_col)
+    forms = (_NAME, _CAPITALISED) if whole else (_NAME,)
+    wanted = scratch.write(reduce(DataFrame.union, (_item_windows(items, name, k) for k, name in enumerate(forms))))
     asked = wanted.agg(F.count("*").alias("n"), F.coalesce(F.bool_or("slots"), F.lit(False)).alias("slots")).first()
     sized = F.broadcast(wanted) if asked["n"] <= BROADCAST_WINDOWS else wanted
     # The words are a column of their own: inside the lambda they would be made anew for each window.
-    worded = own.select("id", F.xxhash64("text").alias("text_hash"), canonical_words(F.col("text")).alias("words"))
-    seen = worded.select("id", "text_hash", F.posexplode(_windows(F.col("words"), lambda w: F.xxhash64(w))).alias("pos", "window"))
+    worded = own.select("id", F.xxhash64("text").alias("text_hash"), *(canonical_words(F.col("text"), name).alias(f"words{k}") for k, name in enumerate(forms)))
+    runs = [F.coalesce(_windows(F.col(f"words{k}"), lambda w: F.xxhash64(w)), F.array()) for k in range(len(forms))]
+    if whole:
+        # A window that is the same in both forms goes once, for both.
+        worded = worded.select("id", "text_hash", *(r.alias(f"runs{k}") for k, r in enumerate(runs)))
+        both = F.arrays_zip("runs0", "runs1")
+        seen = worded.select("id", "text_hash", F.posexplode(both).alias("pos", "r")).select("id", "text_hash", "pos", F.explode(F.when(F.col("r.runs0") == F.col("r.runs1"), F.array(F.struct(F.lit(-1).alias("of"), F.col("r.runs0").alias("window")))).otherwise(F.array(F.struct(F.lit(0).alias("of"), F.col("r.runs0").alias("window")), F.struct(F.lit(1).alias("of"), F.col("r.runs1").alias("window"))))).alias("w")).select("id", "text_hash", "pos", "w.of", "w.window")
+    else:
+        seen = worded.select("id", "text_hash", F.posexplode(runs[0]).alias("pos", "window"), F.lit(-1).alias("of"))
     place = ["id", "text_hash", "item", "item_hash", "at"]
-    hits = scratch.write(seen.join(sized, "window").groupBy(*place, (F.col("pos") - F.col("at")).alias("shift"), "slots").agg(F.count("*").alias("n")))
-    total = wanted.groupBy("item", "item_hash").agg(F.count("*").alias("n_windows"))
+    met = seen.join(sized, "window").where("of = -1 or of = form")
+    hits = scratch.write(met.groupBy(*place, (F.col("pos") - F.col("at")).alias("shift"), "form", "slots").agg(F.count("*").alias("n")))
+    # Windows of the second form stand at places of the first: they hold as many literals at most.
+    total = wanted.where("form = 0").groupBy("item", "item_hash").agg(F.count("*").alias("n_windows"))
 
     def covered(found: DataFrame) -> DataFrame:
         got = found.groupBy("id", "text_hash", "item", "item_hash").agg(F.countDistinct("at").alias("n_matched"), F.bool_or("slots").alias("slots"))
@@ -111,8 +136,9 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         of = lambda df, kind: hits.join(df, [hits[c].eqNullSafe(df[c]) for c in keys], kind)
         texts = doubtful.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
         few = own.join(texts, F.col("id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_semi")
-        items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-        pairs = pairs.where("not slots").union(covered(_consistent(of(doubtful, "left_semi"), few, items)))
+        held = of(doubtful, "left_semi")
+        sound = reduce(DataFrame.union, (_consistent(held.where(F.col("form") == k), few, items, name) for k, name in enumerate(forms)))
+        pairs = pairs.where("not slots").union(covered(sound))
     return pairs.select(F.col("id").alias(id_col), "text_hash", F.col("item").alias(item_col), "n_matched", "n_windows")
 
 
@@ -124,7 +150,7 @@ def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows whose document holds no benchmark item stay."""
     scratch = Scratch(spark)
-    bad = scratch.write(contaminated_pairs(docs, table(spark, sf_dir, "benchmark"), scratch=scratch).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    bad = scratch.write(contaminated_pairs(docs, table(spark, sf_dir, "benchmark"), scratch=scratch, whole=True).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     return docs.join(bad, same, "left_anti")
 

@@ -36,3 +36,16 @@ def test_stage_drops_only_what_holds_an_item(spark, tmp_path):
     kept = drop_contaminated(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, "clean"), (2, TORN), (None, None), (3, "")], key=str)
+
+
+def stage_keeps(spark, folder, docs, items):
+    spark.createDataFrame([(i, t, 0) for i, t in items], ITEMS).write.parquet(f"{folder}/benchmark.parquet")
+    return sorted(r.doc_id for r in drop_contaminated(spark, spark.createDataFrame([(i, t, 0, "") for i, t in docs], DOCS), str(folder)).collect())
+
+
+def test_stage_finds_names_that_open_sentences(spark, tmp_path):
+    item = "Alice has 5 apples. Alice gives 2 apples to Robert. How many apples does Alice have?"
+    copy = item.replace("Alice", "Carol").replace("Robert", "Dennis").replace("5", "31").replace("2", "17")
+    torn = copy.replace("Carol gives", "Wendy gives")
+    docs = [(1, item), (2, copy), (3, f"Before.\n{copy}\nAfter."), (4, torn), (6, f'He said: "{copy}"')]
+    assert stage_keeps(spark, tmp_path, docs, [(1, item)]) == [4]
