@@ -72,6 +72,37 @@ def _item_windows(items: DataFrame, name: str = _NAME, form: int = 0) -> DataFra
     return runs.where(F.size("run") - slots >= F.least(F.lit(LITERALS), F.size("run"))).select(F.lit(form).alias("form"), F.xxhash64("run").alias("window"), "item", "item_hash", "at", (slots > 0).alias("slots"))
 
 
+def _plain_runs(words: Column, n: int) -> Column:
+    """Hashes of every run of n words, in order; none where there are fewer."""
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n))))
+
+
+def _plain_pairs(docs: DataFrame, items: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(id, text_hash, item, item_hash, n_matched, n_windows) of items found by their words as they stand.
+
+    These are the items that `wanted` cannot find in a longer text: those of fewer than WINDOW words,
+    and those without a window of enough literal words. None where there is no such item.
+    """
+    known = wanted.select(F.col("item").alias("_item"), F.col("item_hash").alias("_item_hash")).distinct()
+    worded = items.select("item", "item_hash", plain_words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    unknown = worded.join(known, F.col("item").eqNullSafe(F.col("_item")) & (F.col("item_hash") == F.col("_item_hash")), "left_anti")
+    rest = worded.where(F.size("words") < WINDOW).union(unknown.where(F.size("words") >= WINDOW))
+    runs = rest.select("item", "item_hash", F.least(F.size("words"), F.lit(WINDOW)).alias("length"), F.posexplode(_windows(F.col("words"), lambda w: F.xxhash64(w))).alias("at", "window"))
+    asked = scratch.write(runs)
+    lengths = {r.length: r.n for r in asked.groupBy("length").agg(F.count("*").alias("n")).collect()}  # WINDOW rows at most
+    if not lengths:
+        return None
+    sized = F.broadcast(asked) if sum(lengths.values()) <= BROADCAST_WINDOWS else asked
+    own = docs.select("id", F.xxhash64("text").alias("text_hash"), plain_words(F.col("text")).alias("words"))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("length"), F.coalesce(F.array_distinct(_plain_runs(F.col("words"), n)), F.array()).alias("runs")) for n in sorted(lengths))))
+    seen = own.select("id", "text_hash", each.alias("e")).select("id", "text_hash", "e.length", F.explode("e.runs").alias("window"))
+    keys = ["item", "item_hash"]
+    got = seen.join(sized, ["length", "window"]).groupBy("id", "text_hash", *keys).agg(F.countDistinct("at").alias("n_matched"))
+    total = asked.groupBy(*keys).agg(F.count("*").alias("n_windows")).select(F.col("item").alias("_item"), F.col("item_hash").alias("_item_hash"), "n_windows")
+    found = got.join(total, F.col("item").eqNullSafe(F.col("_item")) & (F.col("item_hash") == F.col("_item_hash")))
+    return found.where(F.col("n_matched") >= COVERAGE * F.col("n_windows")).select("id", "text_hash", *keys, "n_matched", "n_windows")
+
+
 def _consistent(hits: DataFrame, docs: DataFrame, items: DataFrame, name: str = _NAME) -> DataFrame:
     """Of the hits those on an alignment along which each item value stands for one document value."""
     doc_words = docs.select(F.col("id").alias("_id"), F.xxhash64("text").alias("_hash"), plain_words(F.col("text")).alias("words")).dropDuplicates(["_id", "_hash"])
@@ -97,8 +128,9 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     read as such where a text holds them. Empty tables give no rows; other columns are not read.
 
     This is what the SQL of op9 states. With `whole`, a window also counts where it meets in a second form
-    in which every capitalised word is a name (slots are held against each form by itself). This only
-    adds: what is found without `whole` is found with it.
+    in which every capitalised word is a name (slots are held against each form by itself), and items of
+    fewer than five words or without any looked-for window are found by their plain words anywhere in
+    a text. Both only add: what is found without `whole` is found with it.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -139,6 +171,10 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         held = of(doubtful, "left_semi")
         sound = reduce(DataFrame.union, (_consistent(held.where(F.col("form") == k), few, items, name) for k, name in enumerate(forms)))
         pairs = pairs.where("not slots").union(covered(sound))
+    pairs = pairs.select("id", "text_hash", "item", "item_hash", "n_matched", "n_windows")
+    plain = _plain_pairs(own, items, wanted, scratch) if whole else None
+    if plain is not None:
+        pairs = pairs.union(plain).groupBy("id", "text_hash", "item", "item_hash").agg(F.max_by(F.struct("n_matched", "n_windows"), F.col("n_matched") / F.col("n_windows")).alias("m")).select("id", "text_hash", "item", "m.n_matched", "m.n_windows")
     return pairs.select(F.col("id").alias(id_col), "text_hash", F.col("item").alias(item_col), "n_matched", "n_windows")
 
 

@@ -49,3 +49,9 @@ def test_stage_finds_names_that_open_sentences(spark, tmp_path):
     torn = copy.replace("Carol gives", "Wendy gives")
     docs = [(1, item), (2, copy), (3, f"Before.\n{copy}\nAfter."), (4, torn), (6, f'He said: "{copy}"')]
     assert stage_keeps(spark, tmp_path, docs, [(1, item)]) == [4]
+
+
+def test_stage_finds_short_and_literal_poor_items(spark, tmp_path):
+    sums = "12 + 35 * 7 = 257 and 3 km 4 km"
+    docs = [(1, "so this is not two words either"), (2, f"before it {sums} after it"), (3, f"before it {sums.replace('35', '36')} after it"), (4, "two other words"), (5, "2 plus 2 makes a four"), (6, "")]
+    assert stage_keeps(spark, tmp_path, docs, [(1, "Two words!"), (2, sums), (3, "2 plus 2"), (None, None), (4, "?")]) == [3, 4, 6]
