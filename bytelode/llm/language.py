@@ -197,7 +197,24 @@ def op4_byte_network_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs))
 
 
+def lettered(text: Column) -> Column:
+    """Whether a text is there and has a letter."""
+
+    @F.arrow_udf("boolean")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([t is not None and has_letter(t) for t in texts.cast(pa.binary()).to_pylist()], pa.bool_())
+
+    return of(text)
+
+
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows whose text has no language (null, or no letter) go."""
-    found = docs.withColumn("_found", language(F.col("text"), learn(docs)))
+    """Pipeline stage: rows whose text has no language (null, or no letter) go.
+
+    The network rejects no text that has a letter, so this is a letter test; where no network could be
+    learned it is made directly.
+    """
+    net = learn(docs)
+    if net is None:
+        return docs.where(lettered(F.col("text")))
+    found = docs.withColumn("_found", language(F.col("text"), net))
     return found.where(F.col("_found.lang_pred") != UNDETERMINED).select(*docs.columns)

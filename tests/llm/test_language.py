@@ -44,3 +44,9 @@ def test_without_labels_and_rows(spark):
     assert learn(bare) is None
     assert identify(bare, None).first().lang_pred == "und"
     assert identify(bare.limit(0), learn(bare.limit(0))).count() == 0
+
+
+def test_stage_keeps_texts_where_nothing_can_be_learned(spark):
+    bare = spark.createDataFrame([(1, "some text", None, "", ""), (2, "łódź", None, "", ""), (3, "12 !", None, "", ""), (4, None, None, "", "")], SCHEMA)
+    kept = drop_undetermined(spark, bare, "")
+    assert kept.columns == bare.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
