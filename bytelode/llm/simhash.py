@@ -63,14 +63,14 @@ def _fingerprint_batches(shingle: int):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], ["id", "text_hash", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long. Null and wordless texts have zero."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint_batches(shingle), "id long, fp long")
+    """(id, text_hash, fp): the fingerprint as a signed long. Null and wordless texts have zero."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).mapInArrow(_fingerprint_batches(shingle), "id long, text_hash long, fp long")
 
 
 def _ring() -> tuple[list[int], np.ndarray]:
@@ -186,6 +186,14 @@ def fingerprint_links(prints: DataFrame, scratch: Scratch) -> DataFrame:
     return sort(usual.union(blocks)).mapInArrow(_link_batches, "a long, b long").distinct()
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, text_hash, fp), and (fp, least_id, root) of each fingerprint."""
+    rows = scratch.write(fingerprints(docs, id_col, text_col, shingle))
+    prints = scratch.write(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
+    roots = connected_components(fingerprint_links(prints, scratch), "a", "b", scratch)
+    return rows, prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, scratch: Scratch | None = None) -> DataFrame:
     """(id, fingerprint, component_id) for every row: component_id is the smallest id reachable.
 
@@ -194,10 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives no rows; other columns are not read.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    rows = scratch.write(fingerprints(docs, id_col, text_col, shingle))
-    prints = scratch.write(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
-    roots = connected_components(fingerprint_links(prints, scratch), "a", "b", scratch)
-    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows, rooted = _components(docs, id_col, text_col, shingle, scratch)
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -209,11 +214,19 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the row with the smallest id stays, once.
+    """Pipeline stage: of each group of near copies the row with the smallest (id, text hash) stays, once.
 
-    The operator's own four-word shingles and bits. Rows without an id cannot be named and stay.
+    The operator's own four-word shingles and bits. Rows are told apart by id and text, so another text
+    under the same id is a row of its own. A group's rows without an id cannot be named: of these too
+    one stays, that of the smallest text hash, beside the named one.
     """
-    groups = near_duplicates(docs)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.union(docs.where("doc_id is null"))
+    scratch = Scratch(spark)
+    rows, named = _components(docs.select("doc_id", "text"), "doc_id", "text", SHINGLE, scratch)
+    first = rows.join(named, "fp").groupBy("root", F.col("id").isNull()).agg(F.min(F.struct("id", "text_hash")).alias("first"))
+    keep = scratch.write(first.select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash")).distinct())
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    left = hashed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    # Repeats of the row that stays may differ in other columns; the choice must not hang on the layout.
+    order = F.xxhash64(*docs.columns)
+    one = left.groupBy("doc_id", "_text_hash").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    return one.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -128,3 +128,11 @@ def test_empty_table_and_stage(spark):
     kept = keep_one_of_each(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert kept.columns == ["doc_id", "text", "fp", "root"]
     assert sorted(kept.collect(), key=str) == sorted([spark.createDataFrame([r], SCHEMA).first() for r in (rows[1], rows[3], rows[4])], key=str)
+
+
+def test_stage_tells_rows_apart_by_id_and_text(spark):
+    a, b, c = "a b c d e f g", "other words entirely here now", "third text with words of its own"
+    rows = [(3, a, "", 1), (5, a, "", 1), (5, b, "", 1), (7, c, "", 1), (7, c, "", 2), (None, a, "", 1), (None, a, "", 1), (None, "only here and without any id", "", 1)]
+    kept = [keep_one_of_each(spark, spark.createDataFrame(r, SCHEMA).repartition(n), "").collect() for r, n in ((rows, 1), (rows[::-1], 3))]
+    assert sorted(kept[0], key=str) == sorted(kept[1], key=str)
+    assert sorted(((r.doc_id, r.text) for r in kept[0]), key=str) == sorted([(3, a), (5, b), (7, c), (None, a), (None, rows[-1][1])], key=str)
