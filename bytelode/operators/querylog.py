@@ -6,7 +6,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Values that one task sorts at most for an exact quantile, and how close to its rank (as a share) they are cut.
+SELECT, NEAR = 500_000, 0.0005
 SERIES = ("query_count", "result_count", "latency")
 
 
@@ -47,7 +50,34 @@ def quantiles(log: DataFrame, at: list[float], latency_col: str = "latency_us",
 
 
 def exact_quantiles(log: DataFrame, at: list[float], latency_col: str = "latency_us") -> DataFrame:
-    return log.agg(*(F.expr(f"percentile_disc({q}) within group (order by {latency_col})").alias(f"p{100 * q:g}") for q in at))
+    """One row of doubles: the least value that a share q of the values doesn't exceed; nulls for an empty log.
+
+    Each pass over the log takes two values close around the rank from a sketch and counts exactly on
+    which side of them the rank lies, until at most `SELECT` values are left. No task holds more.
+    """
+    values = log.select(F.col(latency_col).cast("double").alias("v")).where("v is not null")
+    n = values.count()
+    found = [_at_rank(values, max(math.ceil(q * n), 1), n) if n else None for q in at]
+    names = [T.StructField(f"p{100 * q:g}", T.DoubleType()) for q in at]
+    return log.sparkSession.createDataFrame([tuple(found)], T.StructType(names))
+
+
+def _at_rank(values: DataFrame, rank: int, n: int) -> float:
+    """The value at a rank from 1 to n."""
+    v = F.col("v")
+    while n > SELECT:
+        near = [min(1.0, max(0.0, rank / n + d)) for d in (-NEAR, NEAR)]
+        low, high = values.agg(F.percentile_approx("v", near, 10_000)).first()[0]
+        sides = [v < low, v == low, (v > low) & (v < high), (v == high) & (v > low), v > high]
+        counts = values.agg(*(F.count_if(side) for side in sides)).first()
+        for k, n in enumerate(counts):
+            if rank <= n:
+                break
+            rank -= n
+        if k in (1, 3):
+            return low if k == 1 else high
+        values = values.where(sides[k])
+    return values.agg(F.sort_array(F.collect_list("v"))[rank - 1]).first()[0]
 
 
 def frequency(log: DataFrame, pattern_col: str = "pattern") -> DataFrame:

@@ -97,3 +97,15 @@ def test_stream_appends_once(spark, tmp_path):
     c.append_stream(read(), f"{tmp_path}/k").awaitTermination()
     c.rebuild()
     assert {r.doc_id: r.positions for r in c.locate_all(["ca"]).collect()} == {1: [2, 5]} and c.buffer_len() == 8
+
+
+def test_exact_quantiles_hold_few_values_at_once(spark, monkeypatch):
+    monkeypatch.setattr(querylog, "SELECT", 10)
+    values = [float((i * 7919) % 5003) for i in range(5003)] + [17.0] * 3000
+    log = spark.createDataFrame([(v,) for v in values] + [(None,)], "latency_us double").repartition(3)
+    at = [0.0, 0.25, 0.375, 0.5, 0.99, 1.0]
+    want = [sorted(values)[max(math.ceil(q * len(values)), 1) - 1] for q in at]
+    got = querylog.exact_quantiles(log, at)
+    assert list(got.first()) == want and got.columns == ["p0", "p25", "p37.5", "p50", "p99", "p100"]
+    assert "percentile" not in got._jdf.queryExecution().toString()
+    assert list(querylog.exact_quantiles(log.limit(0), [0.5]).first()) == [None]
