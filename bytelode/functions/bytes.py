@@ -37,6 +37,27 @@ def occurrences(text: Column, pattern: Column) -> Column:
     return F.when(F.contains(pattern, F.lit("\0")), F.lit(0).cast("long")).otherwise(n)
 
 
+def has_border(pattern: bytes) -> bool:
+    """Whether the pattern can overlap itself: a proper prefix of it is a suffix, too."""
+    return any(pattern.startswith(pattern[k:]) for k in range(1, len(pattern)))
+
+
+def literal_occurrences(text: Column, pattern: bytes, encoding: str = "latin-1") -> Column:
+    """`occurrences` of a known pattern, from the length that its removal takes off where it cannot overlap itself.
+
+    With encoding "utf-8" the text is a STRING as it is and the pattern's bytes are UTF-8.
+    """
+    if b"\0" in pattern:
+        return F.when(text.isNotNull(), F.lit(0).cast("long"))
+    size = F.octet_length(as_bytes(text)) if encoding == "utf-8" else F.length(text)
+    if not pattern:
+        return (size + 1).cast("long")
+    if has_border(pattern):
+        return occurrences(text if encoding == "latin-1" else byte_text(text), F.lit(pattern.decode("latin-1")))
+    known = pattern.decode(encoding)
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(known), F.lit("")))) / len(known.encode())).cast("long")
+
+
 def holds(text: Column, pattern: Column) -> Column:
     """Whether a pattern occurs; like `occurrences` for empty patterns and the byte 0."""
     return F.contains(text, pattern) & ~F.contains(pattern, F.lit("\0"))

@@ -13,15 +13,26 @@ def _count(text: str, pattern: str) -> str:
     return f"CASE WHEN text IS NULL OR pattern IS NULL THEN NULL WHEN contains(pattern, X'00') THEN 0 ELSE CAST(regexp_count({text}, {_REGEX.format(pattern)}) AS BIGINT) END"
 
 
+def _locate(text: str, pattern: str) -> str:
+    """Each place where the pattern stands is tried, and only in texts that hold it at all."""
+    n, m = f"CAST(octet_length({text}) AS BIGINT)", f"octet_length({pattern})"
+    holds = f"contains({text}, {pattern}) AND NOT contains({pattern}, X'00')"
+    tried = f"filter(sequence(0L, {n} - {m}), i -> substring({text}, CAST(i AS INT) + 1, {m}) = {pattern})"
+    return f"CASE WHEN {text} IS NULL OR {pattern} IS NULL THEN NULL WHEN {m} = 0 THEN sequence(0L, {n}) WHEN {holds} THEN {tried} ELSE CAST(array() AS ARRAY<BIGINT>) END"
+
+
 def register(spark: SparkSession) -> list[str]:
     """Creates the functions in the session and returns their names."""
     text, pattern = _L.format("text"), _L.format("pattern")
+    folded = [f"encode({_FOLD.format(x)}, 'ISO-8859-1') AS {name}" for x, name in ((text, "t"), (pattern, "p"))]
     size = "((octet_length(text) + 1L) * 9 DIV 8) * 8 + 2048 + ((octet_length(text) + 1L) DIV 512 + 1) * 72 + (octet_length(text) DIV greatest(step, 1L) + 1) * 8"
     functions = {
         "bytes_count(text BINARY, pattern BINARY) RETURNS BIGINT": _count(text, pattern),
         "bytes_count_ci(text BINARY, pattern BINARY) RETURNS BIGINT": _count(_FOLD.format(text), _FOLD.format(pattern)),
         "bytes_contains(text BINARY, pattern BINARY) RETURNS BOOLEAN": "contains(text, pattern) AND NOT contains(pattern, X'00')",
         "bytes_contains_ci(text BINARY, pattern BINARY) RETURNS BOOLEAN": f"contains({_FOLD.format(text)}, {_FOLD.format(pattern)}) AND NOT contains(pattern, X'00')",
+        "bytes_locate(text BINARY, pattern BINARY) RETURNS ARRAY<BIGINT>": _locate("text", "pattern"),
+        "bytes_locate_ci(text BINARY, pattern BINARY) RETURNS ARRAY<BIGINT>": f"transform(array(struct({', '.join(folded)})), x -> {_locate('x.t', 'x.p')})[0]",
         "bytes_text_len(text BINARY) RETURNS BIGINT": "CAST(octet_length(text) AS BIGINT)",
         "bytes_sample_step(step BIGINT) RETURNS BIGINT": "greatest(step, 1L)",
         "bytes_index_size(text BINARY, step BIGINT) RETURNS BIGINT": size,

@@ -1,13 +1,14 @@
 """Suffix index of each text: suffix array, Burrows-Wheeler column, cumulative byte table, and look-ups.
 
 Texts up to KERNEL_BYTES are sorted one by one by prefix doubling (Manber and Myers 1993) in numpy, where
-Spark has dealt them; longer ones by the same doubling as DataFrame rounds, whose rows are dealt by bucket.
+Spark has dealt them; longer ones by the same doubling as DataFrame rounds over range partitions.
 An index is a folder of Parquet tables: `sa` (id, sa_rank, pos, bwt_byte, key8), sorted by the first eight
 bytes of the suffix so that a look-up reads few row groups, `c_table`, `info` and `docs`.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,10 +19,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bytes import as_bytes, ascii_lower, byte_text
-from ..plans.patterns import KEY_BYTES, Patterns, key_range, pattern_list
-from ..session import checkpoint
+from ..plans.patterns import KEY_BYTES, MOST_PATTERNS, Patterns, key_range, pattern_list, pattern_table
+from ..session import Scratch, cleared, default_partitions
+from .prefix import sum_before
 
 KERNEL_BYTES = 8 << 20
+#: Suffixes that a Python task sends at once.
+SEND = 500_000
+#: Up to so many patterns are looked up as key ranges, more as a table.
+RANGES = 32
 
 
 def sort_suffixes(text: bytes) -> np.ndarray:
@@ -47,52 +53,82 @@ def sort_suffixes(text: bytes) -> np.ndarray:
         differ, step = np.diff(pair[order]) != 0, 2 * step
 
 
+def _columns(id_of: pa.Array, row: int, text: bytes, order: np.ndarray, first: int) -> pa.RecordBatch:
+    """(id, sa_rank, pos, bwt_byte, key8) of a run of a text's suffixes, those from rank `first` on."""
+    n, data = len(order), np.frombuffer(text + bytes(KEY_BYTES), np.uint8)
+    sizes = np.minimum(KEY_BYTES, len(text) - order)
+    cells = np.arange(KEY_BYTES)
+    keys = data[order[:, None] + cells][cells < sizes[:, None]]
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    key8 = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(keys.tobytes())])
+    bwt = pa.array(data[order - 1].astype(np.int32), mask=order == 0)
+    return pa.RecordBatch.from_arrays([id_of.take(pa.array(np.full(n, row))), pa.array(np.arange(first, first + n)), pa.array(order), bwt, key8], ["id", "sa_rank", "pos", "bwt_byte", "key8"])
+
+
 def _suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, text in enumerate(batch.column(1)):
-            order = sort_suffixes(text.as_py())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(order), row))), pa.array(np.arange(len(order))), pa.array(order)], ["id", "sa_rank", "pos"])
+        for row, cell in enumerate(batch.column(1)):
+            text = cell.as_py()
+            order = sort_suffixes(text)
+            for at in range(0, len(order), SEND):
+                yield _columns(batch.column(0), row, text, order[at : at + SEND], at)
+
+
+def _bucketed(rows: DataFrame, order: list[str], save) -> DataFrame:
+    """Adds to rows of (id, ...) the number of the id's rows that are smaller by `order`.
+
+    Equal rows count as one with its number, and those running sums are taken over range partitions: a
+    bucket that holds most of a text's suffixes is spread over tasks.
+    """
+    sizes = rows.groupBy("id", *order).agg(F.count("*").alias("n"))
+    starts = sum_before(sizes, ["id"], order, {"bucket": "n"}, save).drop("n")
+    return rows.join(starts, ["id", *order])
 
 
 def double_suffixes(texts: DataFrame, save) -> DataFrame:
-    """(id, sa_rank, pos) of (id, text) by prefix doubling in DataFrame rounds; `save` cuts the lineage.
+    """(id, sa_rank, pos, bwt_byte, key8) of (id, text) by prefix doubling in DataFrame rounds; `save` cuts the lineage.
 
     A suffix's rank is the start of its bucket in sorted order. Buckets of one suffix are done; the others
-    are split by the rank of the suffix `step` bytes on. Work is dealt by (id, bucket).
+    are split by the rank of the suffix `step` bytes on. Ids must not be null.
     """
     at = F.explode(F.sequence(F.lit(0), F.octet_length("text"))).alias("pos")
-    keyed = texts.select("id", "text", at).select("id", F.col("pos").cast("long").alias("pos"), F.expr(f"substring(text, pos + 1, {KEY_BYTES})").alias("key"))
-    first = keyed.withColumn("head", F.expr("substring(key, 1, 1)"))
-    starts = first.groupBy("id", "head").agg(F.count("*").alias("n")).select("id", "head", F.coalesce(F.sum("n").over(W.partitionBy("id").orderBy("head").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    inside = F.rank().over(W.partitionBy("id", "head").orderBy("key")) - 1
-    now = save(first.join(starts, ["id", "head"]).select("id", "pos", (F.col("start") + inside).cast("long").alias("bucket")))
+    byte = F.expr("cast(conv(hex(substring(text, pos, 1)), 16, 10) as int)")
+    keyed = save(texts.select("id", "text", at).select("id", F.col("pos").cast("long").alias("pos"), F.when(F.col("pos") > 0, byte).alias("bwt_byte"), F.expr(f"substring(text, pos + 1, {KEY_BYTES})").alias("key8")))
+    now = save(_bucketed(keyed.select("id", "pos", "key8"), ["key8"], save).select("id", "pos", "bucket"))
     step = KEY_BYTES
     while True:
-        sized = now.withColumn("n", F.count("*").over(W.partitionBy("id", "bucket")))
-        if sized.where("n > 1").isEmpty():
-            return now.select("id", F.col("bucket").alias("sa_rank"), "pos")
+        shared = now.groupBy("id", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+        if shared.isEmpty():
+            return now.withColumnRenamed("bucket", "sa_rank").join(keyed, ["id", "pos"]).select("id", "sa_rank", "pos", "bwt_byte", "key8")
         behind = now.select("id", (F.col("pos") - step).alias("pos"), F.col("bucket").alias("behind"))
-        paired = sized.join(behind, ["id", "pos"], "left").withColumn("behind", F.coalesce("behind", F.lit(-1)))
-        split = F.rank().over(W.partitionBy("id", "bucket").orderBy("behind")) - 1
-        now = save(paired.select("id", "pos", (F.col("bucket") + split).cast("long").alias("bucket")))
+        paired = now.withColumnRenamed("bucket", "head").join(behind, ["id", "pos"], "left").withColumn("behind", F.coalesce("behind", F.lit(-1)))
+        now = save(_bucketed(paired, ["head", "behind"], save).select("id", "pos", "bucket"))
         step *= 2
 
 
-def suffix_array(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kernel_bytes: int = KERNEL_BYTES) -> DataFrame:
-    """(id, sa_rank, pos) of every text; null texts have none."""
+def suffix_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kernel_bytes: int = KERNEL_BYTES, scratch: Scratch | None = None) -> DataFrame:
+    """(id, sa_rank, pos, bwt_byte, key8) of every suffix of every text; null texts have none.
+
+    bwt_byte is the byte before the suffix (null for that of the whole text), key8 its first eight bytes.
+    """
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), as_bytes(F.col(text_col)).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     # Sorting suffixes takes far longer than moving the text: deal the texts out, whatever files they came in.
-    spread = texts.where(F.octet_length("text") <= kernel_bytes).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    found = spread.mapInArrow(_suffix_batches, f"id {kind}, sa_rank long, pos long")
+    spread = texts.where(F.octet_length("text") <= kernel_bytes).repartition(default_partitions(docs.sparkSession), "id")
+    found = spread.mapInArrow(_suffix_batches, f"id {kind}, sa_rank long, pos long, bwt_byte int, key8 binary")
     long = texts.where(F.octet_length("text") > kernel_bytes)
     if not long.isEmpty():
-        found = found.union(double_suffixes(long, checkpoint))
+        found = found.union(double_suffixes(long, (scratch or Scratch(docs.sparkSession)).write))
     return found.withColumnRenamed("id", id_col)
 
 
+def suffix_array(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kernel_bytes: int = KERNEL_BYTES) -> DataFrame:
+    """(id, sa_rank, pos) of every text; null texts have none."""
+    return suffix_table(docs, id_col, text_col, kernel_bytes).select(id_col, "sa_rank", "pos")
+
+
 def with_suffix_columns(sa: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds bwt_byte (null for the sentinel) and key8, the first eight bytes of each suffix."""
+    """Adds bwt_byte and key8 to a suffix array that is there already, by a join with the texts."""
     texts = docs.select(F.col(id_col), as_bytes(F.col(text_col)).alias("_text"))
     byte = F.expr("cast(conv(hex(substring(_text, cast(pos as int), 1)), 16, 10) as int)")
     return sa.join(texts, id_col).select(id_col, "sa_rank", "pos", F.when(F.col("pos") > 0, byte).alias("bwt_byte"), F.expr(f"substring(_text, cast(pos as int) + 1, {KEY_BYTES})").alias("key8"))
@@ -134,33 +170,61 @@ class SuffixIndex:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def _hits(self, patterns: Patterns) -> DataFrame:
-        """(id, pattern_id, sa_rank, pos): key ranges are pushed to the scan; beyond eight bytes the text is held
-        against the pattern."""
-        wanted = [(i, p) for i, p in pattern_list(patterns, self.ci) if b"\0" not in p]
-        sa, none = self.table("sa"), F.lit(None).cast("struct<pattern_id:bigint,pattern:binary>")
-        if not wanted:
-            return sa.select(self.id_col, F.lit(0).cast("long").alias("pattern_id"), "sa_rank", "pos").limit(0)
-        ranges, any_range = [], F.lit(False)
-        for i, p in wanted:
-            here = key_range(F.col("key8"), p) if p else F.lit(True)
-            any_range = any_range | here
-            ranges.append(F.when(here, F.struct(F.lit(i).cast("long").alias("pattern_id"), F.lit(p).alias("pattern"))).otherwise(none))
-        found = sa.where(any_range).select(self.id_col, "sa_rank", "pos", F.explode(F.array_compact(F.array(*ranges))).alias("m"))
-        found = found.select(self.id_col, "sa_rank", "pos", "m.*")
+        """(id, pattern_id, sa_rank, pos): a few patterns are key ranges that are pushed to the scan, more are
+        a table that meets the keys' prefixes; beyond eight bytes the text is held against the pattern."""
+        few = None if isinstance(patterns, DataFrame) else [(i, p) for i, p in pattern_list(patterns, self.ci) if b"\0" not in p]
+        asked = pattern_table(self.spark, patterns if few is None else dict(few), self.ci).where(F.expr("not contains(pattern, X'00')"))
+        if few is not None and len(few) <= RANGES:
+            found = self._by_ranges(few, asked.schema["pattern_id"].dataType)
+        else:
+            found = self._by_prefixes(asked)
         short = found.where(F.octet_length("pattern") <= KEY_BYTES)
-        if all(len(p) <= KEY_BYTES for _, p in wanted):
+        if few is not None and all(len(p) <= KEY_BYTES for _, p in few):
             return short.drop("pattern")
         long = found.where(F.octet_length("pattern") > KEY_BYTES).join(self.table("docs"), self.id_col)
         same = F.expr("substring(text, cast(pos as int) + 1, octet_length(pattern)) = pattern")
         return short.union(long.where(same).select(found.columns)).drop("pattern")
 
-    def search_range(self, patterns: Patterns) -> DataFrame:
-        """(id, pattern_id, sp, ep): the rows [sp, ep) of the suffix array; absent patterns have (0, 0)."""
-        hits = self._hits(patterns).groupBy(self.id_col, "pattern_id").agg(F.min("sa_rank").alias("sp"), (F.max("sa_rank") + 1).alias("ep"))
-        ids = F.array(*(F.lit(i).cast("long") for i, _ in pattern_list(patterns)))
-        asked = self.table("info").select(self.id_col, F.explode(ids).alias("pattern_id"))
-        zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-        return asked.join(hits, [self.id_col, "pattern_id"], "left").select(self.id_col, "pattern_id", zero("sp"), zero("ep"))
+    def _by_ranges(self, wanted: list[tuple], kind) -> DataFrame:
+        """(id, pattern_id, sa_rank, pos, pattern) of suffixes whose key may start with a pattern."""
+        sa = self.table("sa").select(F.col(self.id_col), "sa_rank", "pos", "key8")
+        none = F.lit(None).cast(f"struct<pattern_id:{kind.simpleString()},pattern:binary>")
+        if not wanted:
+            return sa.select(self.id_col, F.lit(None).cast(kind).alias("pattern_id"), "sa_rank", "pos", F.lit(b"").alias("pattern")).limit(0)
+        ranges, any_range = [], F.lit(False)
+        for i, p in wanted:
+            here = key_range(F.col("key8"), p) if p else F.lit(True)
+            any_range = any_range | here
+            ranges.append(F.when(here, F.struct(F.lit(i).cast(kind).alias("pattern_id"), F.lit(p).alias("pattern"))).otherwise(none))
+        found = sa.where(any_range).select(self.id_col, "sa_rank", "pos", F.explode(F.array_compact(F.array(*ranges))).alias("m"))
+        return found.select(self.id_col, "m.pattern_id", "sa_rank", "pos", "m.pattern")
+
+    def _by_prefixes(self, asked: DataFrame) -> DataFrame:
+        """The same for a table of patterns: an equi-join on (length, key prefix), for each length that occurs."""
+        headed = asked.withColumn("_n", F.least(F.octet_length("pattern"), F.lit(KEY_BYTES))).withColumn("_head", F.expr("substring(pattern, 1, _n)"))
+        lengths = sorted(r[0] for r in headed.select("_n").distinct().collect())  # nine at most
+        sa = self.table("sa").select(F.col(self.id_col), "sa_rank", "pos", "key8")
+        if not lengths:
+            return self._by_ranges([], asked.schema["pattern_id"].dataType)
+        each = F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.octet_length("key8"))).alias("_n")
+        keys = sa.select("*", each).withColumn("_head", F.expr("substring(key8, 1, _n)"))
+        sized = F.broadcast(headed) if headed.limit(MOST_PATTERNS + 1).count() <= MOST_PATTERNS else headed
+        return keys.join(sized, ["_n", "_head"]).select(self.id_col, "pattern_id", "sa_rank", "pos", "pattern")
+
+    def search_range(self, patterns: Patterns, absent: bool = False) -> DataFrame:
+        """(id, pattern_id, sp, ep): the rows [sp, ep) of the suffix array.
+
+        A pattern that a text does not hold has no row, or with `absent` the row (0, 0): then there are
+        as many rows as texts times patterns.
+        """
+        found = self._hits(patterns).groupBy(self.id_col, "pattern_id").agg(F.min("sa_rank").cast("long").alias("sp"), (F.max("sa_rank") + 1).cast("long").alias("ep"))
+        if not absent:
+            return found
+        wanted = pattern_table(self.spark, patterns, self.ci).select("pattern_id")
+        ids = F.from_json(F.lit(json.dumps([r[0] for r in wanted.collect()])), f"array<{wanted.schema[0].dataType.simpleString()}>")
+        every = self.table("info").select(self.id_col, F.explode(ids).alias("pattern_id"))
+        zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        return every.join(found, [self.id_col, "pattern_id"], "left").select(self.id_col, "pattern_id", zero("sp"), zero("ep"))
 
     def count(self, patterns: Patterns) -> DataFrame:
         return self._hits(patterns).groupBy(self.id_col, "pattern_id").agg(F.count("*").alias("n_matches"))
@@ -183,8 +247,8 @@ def build_index(docs: DataFrame, path: str, sample_step: int = 4, id_col: str =
     own = docs.where(text.isNotNull()).select(F.col(id_col), (F.encode(ascii_lower(byte_text(text)), "ISO-8859-1") if ci else as_bytes(text)).alias("text"))
     own.write.parquet(f"{path}/docs")
     texts = spark.read.parquet(f"{path}/docs")
-    full = with_suffix_columns(suffix_array(texts, id_col), texts, id_col)
-    full.repartitionByRange("key8", id_col).sortWithinPartitions("key8", id_col).write.parquet(f"{path}/sa")
+    with cleared():
+        suffix_table(texts, id_col).repartitionByRange("key8", id_col).sortWithinPartitions("key8", id_col).write.parquet(f"{path}/sa")
     c_table(spark.read.parquet(f"{path}/sa"), id_col).write.parquet(f"{path}/c_table")
     index_info(texts, sample_step, id_col).withColumn("folded", F.lit(ci)).write.parquet(f"{path}/info")
     return SuffixIndex(spark, path, id_col, ci)

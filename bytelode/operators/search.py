@@ -2,109 +2,203 @@
 
 Matches overlap, offsets are bytes from 0, an empty pattern matches at each of the N + 1 places, and a
 pattern that holds the byte 0 matches nowhere. Null texts give no rows. Texts are read once for all
-patterns; there is no join of documents and patterns.
+patterns (once for each MOST_PATTERNS of them); there is no join of documents and patterns. Pattern ids
+are integers, or of whatever type the DataFrame or mapping that names the patterns has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
-from ..functions.bytes import as_bytes, ascii_lower, byte_text, holds, occurrences
-from ..plans.patterns import FEW, Patterns, pattern_list
+from ..functions.bytes import as_bytes, ascii_lower, byte_text, has_border, holds, literal_occurrences
+from ..plans.patterns import FEW, Patterns, parts, pattern_list
 
+#: Rows that a Python task sends at once.
+SEND = 1_000_000
 
-def _texts(docs: DataFrame, id_col: str, text_col: str, ci: bool) -> DataFrame:
-    text = byte_text(F.col(text_col))
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, ci: bool, encoding: str = "latin-1") -> DataFrame:
+    text = F.col(text_col) if encoding == "utf-8" else byte_text(F.col(text_col))
     return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), (ascii_lower(text) if ci else text).alias("text"))
 
 
-def _literal(pattern: bytes) -> Column:
-    return F.lit(pattern.decode("latin-1"))
+def _encoding(docs: DataFrame, text_col: str, wanted: list[tuple]) -> str:
+    """"utf-8" where STRINGs can be searched as they are, else "latin-1": a character for each byte."""
+
+    def whole(p: bytes) -> bool:
+        try:
+            return bool(p.decode()) or not p
+        except UnicodeDecodeError:
+            return False
+
+    return "utf-8" if isinstance(docs.schema[text_col].dataType, StringType) and all(whole(p) for _, p in wanted) else "latin-1"
+
+
+def _each(wanted: list[tuple], value) -> Column:
+    return F.array(*(F.struct(F.lit(i).cast("long").alias("pattern_id"), value(p).alias("value")) for i, p in wanted))
+
 
+class _Names:
+    """Scans work with integers: a set's own where they are, else places in it that `back` turns into ids."""
 
-def _each(patterns: list[tuple[int, bytes]], value) -> Column:
-    return F.array(*(F.struct(F.lit(i).cast("long").alias("pattern_id"), value(_literal(p)).alias("value")) for i, p in patterns))
+    def __init__(self, spark: SparkSession, patterns: Patterns, ci: bool):
+        self.spark, self.wanted = spark, pattern_list(patterns, ci)
+        kind = patterns.schema[0].dataType if isinstance(patterns, DataFrame) else None
+        own = isinstance(kind, IntegralType) if kind is not None else all(isinstance(i, int) for i, _ in self.wanted)
+        self.names = None
+        if not own or any(i is None for i, _ in self.wanted):
+            ids = [i for i, _ in self.wanted]
+            kind = kind.simpleString() if kind is not None else "string"
+            self.names = spark.createDataFrame(list(enumerate(ids)), f"_place long, _name {kind}")
+            self.wanted = [(k, p) for k, (_, p) in enumerate(self.wanted)]
 
+    def back(self, found: DataFrame) -> DataFrame:
+        if self.names is None:
+            return found
+        named = found.join(F.broadcast(self.names), F.col("pattern_id") == F.col("_place"))  # a row for each pattern of the stated set
+        return named.select(*(F.col("_name").alias(c) if c == "pattern_id" else F.col(c) for c in found.columns))
 
-def _automaton(patterns: list[tuple[int, bytes]]):
+
+def _automaton(wanted: list[tuple], encoding: str):
     ids: dict[bytes, list[int]] = {}
-    for i, p in patterns:
+    for i, p in wanted:
         if p and b"\0" not in p:
             ids.setdefault(p, []).append(i)
     found = ahocorasick.Automaton()
     for p, of in ids.items():
-        found.add_word(p.decode("latin-1"), (len(p), of))
+        found.add_word(p.decode(encoding), (len(p.decode(encoding)), of))
     if ids:
         found.make_automaton()
     return found
 
 
-def _scan(patterns: list[tuple[int, bytes]], places: bool):
-    """Rows of (doc_id, pattern_id, place) or, without places, of counts, from one pass over each text."""
-    empty = [i for i, p in patterns if not p]
+#: The last automata that a worker has built, by query set.
+_built: dict[str, object] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(patterns)
 
-        def hits(text: str) -> Iterator[tuple[int, int]]:
-            if len(automaton):
-                for last, (size, of) in automaton.iter(text):
-                    for i in of:
-                        yield i, last + 1 - size
-            for i in empty:
-                for at in range(len(text) + 1):
-                    yield i, at
+def _automaton_of(key: str, sent, encoding: str):
+    if key not in _built:
+        while len(_built) > 3:
+            _built.pop(next(iter(_built)))
+        _built[key] = _automaton(sent.value, encoding)
+    return _built[key]
+
+
+def _sent(spark: SparkSession, wanted: list[tuple]):
+    """A worker reads the patterns and builds its automaton once, not for each batch."""
+    return uuid.uuid4().hex, spark.sparkContext.broadcast(wanted)
+
 
+def _places(text: str, pattern: str) -> np.ndarray:
+    """Where a pattern stands, overlapping itself or not."""
+    if not pattern:
+        return np.arange(len(text) + 1)
+    if not has_border(pattern.encode("latin-1")):
+        pieces = text.split(pattern)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + len(pattern)
+        return np.cumsum(sizes[:-1]) - len(pattern)
+    at, out = text.find(pattern), []
+    while at >= 0:
+        out.append(at)
+        at = text.find(pattern, at + 1)
+    return np.array(out, np.int64)
+
+
+class _Rows:
+    """(row, pattern_id, value) triples that go out in batches."""
+
+    def __init__(self) -> None:
+        self.rows: list[np.ndarray] = []
+        self.ids: list[np.ndarray] = []
+        self.values: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, row: int, ids, values) -> None:
+        values = np.asarray(values, np.int64)
+        self.rows.append(np.full(len(values), row))
+        self.ids.append(np.broadcast_to(np.asarray(ids, np.int64), len(values)))
+        self.values.append(values)
+        self.n += len(values)
+
+    def batch(self, of: pa.Array) -> pa.RecordBatch:
+        join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+        out = pa.RecordBatch.from_arrays([of.take(join(self.rows)), join(self.ids), join(self.values)], ["id", "pattern_id", "value"])
+        self.__init__()
+        return out
+
+
+def _scan(spark: SparkSession, wanted: list[tuple], places: bool, encoding: str):
+    """Rows of (id, pattern_id, place) or, without places, of counts, from one pass over each text."""
+    key, sent = _sent(spark, wanted)
+    few = len(wanted) <= FEW
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = [i for i, p in sent.value if not p]
+        single = [(i, p.decode(encoding)) for i, p in sent.value if b"\0" not in p] if few and places else None
+        automaton = _automaton_of(key, sent, encoding) if single is None else None
         for batch in batches:
-            rows, of, values = [], [], []
+            out = _Rows()
             for row, text in enumerate(batch.column(1)):
-                if places:
-                    for i, at in hits(text.as_py()):
-                        rows.append(row)
-                        of.append(i)
-                        values.append(at)
+                text = text.as_py()
+                if single is not None:
+                    for i, p in single:
+                        out.add(row, i, _places(text, p))
+                elif places:
+                    found = [(i, last + 1 - size) for last, (size, of) in automaton.iter(text) for i in of] if len(automaton) else []
+                    if found:
+                        out.add(row, *zip(*found))
+                    for i in empty:
+                        out.add(row, i, np.arange(len(text) + 1))
                 else:
                     n: dict[int, int] = {}
-                    for i, _ in hits(text.as_py()):
-                        n[i] = n.get(i, 0) + 1
-                    rows += [row] * len(n)
-                    of += n
-                    values += n.values()
-                if len(rows) > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(of, pa.int64()), pa.array(values, pa.int64())], ["id", "pattern_id", "value"])
-                    rows, of, values = [], [], []
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(of, pa.int64()), pa.array(values, pa.int64())], ["id", "pattern_id", "value"])
+                    if len(automaton):
+                        for _, (_, of) in automaton.iter(text):
+                            for i in of:
+                                n[i] = n.get(i, 0) + 1
+                    for i in empty:
+                        n[i] = len(text if encoding == "latin-1" else text.encode()) + 1
+                    if n:
+                        out.add(row, list(n), list(n.values()))
+                if out.n > SEND:
+                    yield out.batch(batch.column(0))
+            yield out.batch(batch.column(0))
 
     return run
 
 
-def _scanned(texts: DataFrame, patterns: list, places: bool, id_col: str, name: str) -> DataFrame:
+def _scanned(texts: DataFrame, wanted: list[tuple], places: bool, id_col: str, name: str, encoding: str = "latin-1") -> DataFrame:
     kind = texts.schema[id_col].dataType.simpleString()
-    found = texts.mapInArrow(_scan(patterns, places), f"id {kind}, pattern_id long, value long")
-    return found.select(F.col("id").alias(id_col), "pattern_id", F.col("value").alias(name))
+    scans = (texts.mapInArrow(_scan(texts.sparkSession, part, places, encoding), f"id {kind}, pattern_id long, value long") for part in parts(wanted))
+    return reduce(DataFrame.union, scans).select(F.col("id").alias(id_col), "pattern_id", F.col("value").alias(name))
 
 
 def count(docs: DataFrame, patterns: Patterns, ci: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pattern_id, n_matches) where a pattern occurs in a text at all."""
-    texts, wanted = _texts(docs, id_col, text_col, ci), pattern_list(patterns, ci)
-    if not wanted:
-        return texts.select(id_col, F.lit(0).cast("long").alias("pattern_id"), F.lit(0).cast("long").alias("n_matches")).limit(0)
-    if len(wanted) > FEW:
-        return _scanned(texts, wanted, False, id_col, "n_matches")
-    found = texts.select(id_col, F.explode(_each(wanted, lambda p: occurrences(F.col("text"), p))).alias("m"))
-    return found.where("m.value > 0").select(id_col, "m.pattern_id", F.col("m.value").alias("n_matches"))
+    names = _Names(docs.sparkSession, patterns, ci)
+    encoding = _encoding(docs, text_col, names.wanted)
+    texts = _texts(docs, id_col, text_col, ci, encoding)
+    if not names.wanted:
+        return names.back(texts.select(id_col, F.lit(0).cast("long").alias("pattern_id"), F.lit(0).cast("long").alias("n_matches")).limit(0))
+    if len(names.wanted) > FEW:
+        return names.back(_scanned(texts, names.wanted, False, id_col, "n_matches", encoding))
+    found = texts.select(id_col, F.explode(_each(names.wanted, lambda p: literal_occurrences(F.col("text"), p, encoding))).alias("m"))
+    return names.back(found.where("m.value > 0").select(id_col, "m.pattern_id", F.col("m.value").alias("n_matches")))
 
 
 def total_counts(docs: DataFrame, patterns: Patterns, ci: bool = False, by: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(by ..., pattern_id, n_matches) over all texts; patterns without a match have no row."""
     keep = F.struct(F.col(id_col), *(by or []))
-    found = count(docs.withColumn("_key", keep), patterns, ci, "_key", text_col)
-    return found.groupBy(*(F.col(f"_key.{c}").alias(c) for c in by or []), "pattern_id").agg(F.sum("n_matches").alias("n_matches"))
+    found = count(docs.select(keep.alias("key"), F.col(text_col).alias("text")), patterns, ci, "key")
+    return found.groupBy(*(F.col(f"key.{c}").alias(c) for c in by or []), "pattern_id").agg(F.sum("n_matches").alias("n_matches"))
 
 
 def contains(docs: DataFrame, patterns: Patterns, ci: bool = False, how: str = "pairs", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,46 +207,43 @@ def contains(docs: DataFrame, patterns: Patterns, ci: bool = False, how: str = "
     `how`: "pairs" gives (id, pattern_id); "semi" the rows of `docs` that hold any, "anti" those that hold
     none (null texts among them).
     """
-    wanted = pattern_list(patterns, ci)
+    names = _Names(docs.sparkSession, patterns, ci)
+    wanted, encoding = names.wanted, _encoding(docs, text_col, names.wanted)
     if how == "pairs":
+        texts = _texts(docs, id_col, text_col, ci, encoding)
         if len(wanted) > FEW:
-            return _scanned(_texts(docs, id_col, text_col, ci), wanted, False, id_col, "n").drop("n")
-        texts = _texts(docs, id_col, text_col, ci)
-        each = _each(wanted, lambda p: holds(F.col("text"), p)) if wanted else F.array().cast("array<struct<pattern_id:bigint,value:boolean>>")
-        return texts.select(id_col, F.explode(each).alias("m")).where("m.value").select(id_col, "m.pattern_id")
+            return names.back(_scanned(texts, wanted, False, id_col, "n", encoding).drop("n"))
+        each = _each(wanted, lambda p: holds(F.col("text"), F.lit(p.decode(encoding)))) if wanted else F.array().cast("array<struct<pattern_id:bigint,value:boolean>>")
+        return names.back(texts.select(id_col, F.explode(each).alias("m")).where("m.value").select(id_col, "m.pattern_id"))
     if how not in ("semi", "anti"):
         raise ValueError("how is pairs, semi or anti")
     # One look-up for each text that stops at the first hit; no join.
-    return docs.where(_any(wanted, ci)(F.col(text_col)) if how == "semi" else ~_any(wanted, ci)(F.col(text_col)))
+    text = F.col(text_col) if encoding == "utf-8" else byte_text(F.col(text_col))
+    text = ascii_lower(text) if ci else text
+    found = reduce(Column.__or__, (_any(docs.sparkSession, part, encoding)(text) for part in parts(wanted)))
+    return docs.where(found if how == "semi" else ~found)
 
 
-def _any(wanted: list[tuple[int, bytes]], ci: bool):
+def _any(spark: SparkSession, wanted: list[tuple], encoding: str):
     if len(wanted) <= FEW:
+        return lambda text: F.coalesce(reduce(Column.__or__, (holds(text, F.lit(p.decode(encoding))) for _, p in wanted), F.lit(False)), F.lit(False))
+    key, sent = _sent(spark, wanted)
 
-        def native(text: Column) -> Column:
-            own = ascii_lower(byte_text(text)) if ci else byte_text(text)
-            tests = F.lit(False)
-            for _, p in wanted:
-                tests = tests | holds(own, _literal(p))
-            return F.coalesce(tests, F.lit(False))
-
-        return native
+    def held(texts: Iterable) -> list[bool]:
+        automaton, always = _automaton_of(key, sent, encoding), any(not p for _, p in sent.value)
+        return [t is not None and (always or (len(automaton) > 0 and next(automaton.iter(t), None) is not None)) for t in texts]
 
-    def run(texts: pa.Array) -> pa.Array:
-        automaton, always = _automaton(wanted), any(not p for _, p in wanted)
-        out = []
-        for t in texts:
-            text = t.as_py()
-            out.append(text is not None and (always or (len(automaton) > 0 and next(automaton.iter(text), None) is not None)))
-        return pa.array(out, pa.bool_())
+    @F.arrow_udf("boolean")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array(held(texts.to_pylist()), pa.bool_())
 
-    udf = F.arrow_udf(run, "boolean")
-    return lambda text: udf(ascii_lower(byte_text(text)) if ci else byte_text(text))
+    return of
 
 
 def locate(docs: DataFrame, patterns: Patterns, ci: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pattern_id, pos): a row for each occurrence, overlapping ones too."""
-    return _scanned(_texts(docs, id_col, text_col, ci), pattern_list(patterns, ci), True, id_col, "pos")
+    names = _Names(docs.sparkSession, patterns, ci)
+    return names.back(_scanned(_texts(docs, id_col, text_col, ci), names.wanted, True, id_col, "pos"))
 
 
 def locate_all(docs: DataFrame, patterns: Patterns, ci: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Patterns are a stated query set that goes to every task; more are refused, not cut off.
+#: Patterns that go to the tasks in one scan; a larger query set takes one scan for each such part.
 MOST_PATTERNS = 100_000
 #: Up to so many patterns are counted by Spark expressions, more by one pass over each text for all.
 FEW = 8
@@ -18,24 +18,41 @@ _FOLD = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.
 Patterns = DataFrame | Mapping | Iterable
 
 
-def pattern_list(patterns: Patterns, ci: bool = False) -> list[tuple[int, bytes]]:
+def pattern_list(patterns: Patterns, ci: bool = False) -> list[tuple]:
     """(id, bytes) pairs. A mapping or a DataFrame of (id, pattern) gives the ids, else they count from 0.
 
-    STRINGs stand for their UTF-8 bytes, and null patterns are left out. With `ci` A-Z are lowered.
+    STRINGs stand for their UTF-8 bytes, and null patterns are left out. With `ci` A-Z are lowered. A
+    query set is stated, so it is held by the driver whole; a stored index takes a table without that.
     """
     if isinstance(patterns, DataFrame):
-        rows = patterns.select(F.col(patterns.columns[0]), F.col(patterns.columns[1]).cast("binary")).take(MOST_PATTERNS + 1)
+        rows = patterns.select(F.col(patterns.columns[0]), F.col(patterns.columns[1]).cast("binary")).collect()
         found = [(r[0], r[1]) for r in rows]
     elif isinstance(patterns, Mapping):
         found = list(patterns.items())
     else:
         found = list(enumerate(patterns))
-    if len(found) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns; split the query set")
     out = [(i, p.encode() if isinstance(p, str) else bytes(p)) for i, p in found if p is not None]
     return [(i, p.translate(_FOLD)) for i, p in out] if ci else out
 
 
+def pattern_table(spark: SparkSession, patterns: Patterns, ci: bool = False) -> DataFrame:
+    """(pattern_id, pattern BINARY); a DataFrame stays a table, with its ids as they are."""
+    if isinstance(patterns, DataFrame):
+        text = F.col(patterns.columns[1]).cast("binary")
+        if ci:
+            text = F.encode(F.translate(F.decode(text, "ISO-8859-1"), string.ascii_uppercase, string.ascii_lowercase), "ISO-8859-1")
+        return patterns.select(F.col(patterns.columns[0]).alias("pattern_id"), text.alias("pattern")).where("pattern is not null")
+    wanted = pattern_list(patterns, ci)
+    kind = "string" if wanted and all(isinstance(i, str) for i, _ in wanted) else "long"
+    return spark.createDataFrame([(i, bytearray(p)) for i, p in wanted], f"pattern_id {kind}, pattern binary")
+
+
+def parts(wanted: list[tuple]) -> Iterator[list[tuple]]:
+    """The query set in parts of MOST_PATTERNS, one at least."""
+    for at in range(0, max(1, len(wanted)), MOST_PATTERNS):
+        yield wanted[at : at + MOST_PATTERNS]
+
+
 def successor(prefix: bytes) -> bytes | None:
     """The least bytes above all that start with `prefix`; None where there are none."""
     kept = prefix.rstrip(b"\xff")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import itertools
+import math
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,9 @@ from pyspark.sql import functions as F
 from .functions.bytes import fnv1a64
 from .functions.sql import register
 from .operators import cache, querylog, search
-from .operators.index import build_index, c_table, index_info, suffix_array, with_suffix_columns
-from .operators.rank import bit_ranks, byte_histogram, byte_ranks
+from .operators.index import build_index, c_table, index_info, suffix_array, suffix_table
+from .operators.rank import bit_ranks, byte_access, byte_histogram, byte_rank, byte_ranks
+from .session import shared_folder
 from .sources.corpus import compress_text, from_compressed, read_table
 from .streaming.incremental import IncrementalCorpus
 
@@ -33,8 +36,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/bytelode-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/bytelode-{uuid.uuid4().hex}"
 
 
 def contamination_pairs(spark, sf_dir):
@@ -100,8 +102,7 @@ def suffix_array_items(spark, sf_dir):
 
 
 def _item_suffixes(spark, sf_dir):
-    items = _benchmark(spark, sf_dir)
-    return with_suffix_columns(suffix_array(items, "item_id"), items, "item_id")
+    return suffix_table(_benchmark(spark, sf_dir), "item_id")
 
 
 def bwt_items(spark, sf_dir):
@@ -117,7 +118,7 @@ def _item_index(spark, sf_dir):
 
 
 def search_range_items(spark, sf_dir):
-    return _item_index(spark, sf_dir).search_range(INDEXED)
+    return _item_index(spark, sf_dir).search_range(INDEXED, absent=True)
 
 
 def locate_suffix_order_items(spark, sf_dir):
@@ -132,6 +133,63 @@ def count_ci_index_items(spark, sf_dir):
     return build_index(_benchmark(spark, sf_dir), _folder(spark), id_col="item_id", ci=True).count(["THE", "tIoN "])
 
 
+def _document_index(spark, sf_dir, ci=False):
+    return build_index(_documents(spark, sf_dir), _folder(spark), ci=ci)
+
+
+def search_range_documents(spark, sf_dir):
+    """From the stored index over all documents; texts without a pattern have no row for it."""
+    return _document_index(spark, sf_dir).search_range(INDEXED)
+
+
+def locate_first_documents(spark, sf_dir):
+    return _document_index(spark, sf_dir).locate(["onon", "tion th"], first=3).select("doc_id", "pattern_id", "pos")
+
+
+def count_index_table_documents(spark, sf_dir):
+    """The index asked for a table of patterns: the benchmark's different words of six and of nine letters, which name themselves."""
+    words = _benchmark(spark, sf_dir).select(F.explode(F.split("text", "[^a-zA-Z]+")).alias("word")).where("length(word) in (6, 9)").distinct()
+    found = _document_index(spark, sf_dir).count(words.select("word", F.col("word").alias("pattern")))
+    return found.withColumnRenamed("pattern_id", "word")
+
+
+def count_ci_index_documents(spark, sf_dir):
+    return _document_index(spark, sf_dir, ci=True).count(["THE", "tIoN "])
+
+
+def bwt_counts_documents(spark, sf_dir):
+    """How often each byte is in the BWT of each document."""
+    suffixes = suffix_table(_documents(spark, sf_dir)).where("bwt_byte is not null")
+    return suffixes.groupBy("doc_id", "bwt_byte").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"))
+
+
+def c_table_documents(spark, sf_dir):
+    return c_table(suffix_table(_documents(spark, sf_dir)))
+
+
+def byte_ranks_documents(spark, sf_dir):
+    return byte_ranks(_documents(spark, sf_dir))
+
+
+def byte_access_documents(spark, sf_dir):
+    """Bytes at the start, the middle and beyond the end, and how many e's precede the middle."""
+    text, middle = F.col("text"), F.floor(F.octet_length("text") / 2)
+    return _documents(spark, sf_dir).select("doc_id", byte_access(text, 0).alias("first"), byte_access(text, middle).alias("middle"), byte_access(text, F.octet_length("text")).alias("beyond"), byte_rank(text, ord("e"), middle).alias("e_before"))
+
+
+def count_letter_fours(spark, sf_dir):
+    """A query set of 456,976 patterns: all strings of four lower-case letters, each named by its number."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    fours = ("".join(p) for p in itertools.product(letters, repeat=4))
+    return search.total_counts(_documents(spark, sf_dir), fours)
+
+
+def count_named_patterns(spark, sf_dir):
+    """Patterns from a table whose ids are texts."""
+    names = read_table(spark, sf_dir, "region").select(F.concat(F.lit("r "), "r_name").alias("name"), F.lower(F.substring("r_name", 1, 3)).alias("pattern"))
+    return search.count(_documents(spark, sf_dir), names).withColumnRenamed("pattern_id", "name")
+
+
 def byte_ranks_items(spark, sf_dir):
     return byte_ranks(_benchmark(spark, sf_dir), "item_id")
 
@@ -169,6 +227,40 @@ def codec_counts(spark, sf_dir):
     return search.count(from_compressed(packed), ["tion"])
 
 
+def codec_locate(spark, sf_dir):
+    packed = compress_text(_documents(spark, sf_dir)).select("doc_id", "data")
+    return search.locate(from_compressed(packed), ["tion", "é"])
+
+
+def codec_docs_with_any(spark, sf_dir):
+    packed = compress_text(_documents(spark, sf_dir)).select("doc_id", "lang", "data")
+    return search.contains(from_compressed(packed), _items(spark, sf_dir), how="semi").select("doc_id", "lang")
+
+
+def codec_lengths(spark, sf_dir):
+    packed = compress_text(_documents(spark, sf_dir)).select("doc_id", "data")
+    return search.text_lengths(from_compressed(packed))
+
+
+def incremental_state(spark, sf_dir):
+    """What a growing corpus says of itself: after an append, after a rebuild, after clearing."""
+    corpus = IncrementalCorpus(spark, _folder(spark))
+    corpus.append(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    states = [("appended", corpus.buffer_len(), corpus.is_built(), corpus.snapshot().count())]
+    corpus.rebuild()
+    states.append(("rebuilt", corpus.buffer_len(), corpus.is_built(), corpus.snapshot().count()))
+    corpus.clear()
+    states.append(("cleared", corpus.buffer_len(), corpus.is_built(), corpus.snapshot().count()))
+    return spark.createDataFrame(states, "state string, buffer_len long, is_built boolean, texts long")
+
+
+def sql_locate(spark, sf_dir):
+    """Places as the SQL functions give them: self-overlapping, folded and absent patterns, a row a place."""
+    register(spark)
+    found = _documents(spark, sf_dir).selectExpr("doc_id", "bytes_locate(text, 'onon') AS a", "bytes_locate_ci(text, 'É Tion') AS b", "bytes_locate(text, 'tion') AS c")
+    return found.selectExpr("doc_id", "stack(3, 0L, a, 1L, b, 2L, c) AS (pattern_id, places)").selectExpr("doc_id", "pattern_id", "explode(places) AS pos")
+
+
 def sql_functions(spark, sf_dir):
     register(spark)
     docs = _documents(spark, sf_dir)
@@ -213,6 +305,23 @@ def query_log_quantiles_sketch(spark, sf_dir):
     return querylog.quantiles(_log(spark, sf_dir), [0.5, 0.99])
 
 
+def query_log_empty(spark, sf_dir):
+    """Each metric of a log without a query."""
+    log = _log(spark, sf_dir).where("false")
+    seen = querylog.estimated_frequency(querylog.count_min(log), spark.range(1).select(F.lit("click").alias("pattern"))).select(F.col("n").alias("value"))
+    parts = {"total": querylog.total(log), "unique": querylog.unique(log), "unique_exact": querylog.unique(log, lg_k=None), "frequency": seen, "hit_rate": cache.hit_rate(log).select("hit_rate"), "p50": querylog.exact_quantiles(log, [0.5])}
+    parts["sketched"] = querylog.quantiles(log, [0.5]).agg(F.count("*").alias("n"))
+    return reduce(DataFrame.union, (df.select(F.lit(name).alias("metric"), F.col(df.columns[0]).cast("double").alias("value")) for name, df in parts.items()))
+
+
+def query_log_latency_scan(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    store = querylog.MetricsStore(spark, _folder(spark))
+    store.record(log)
+    ends = log.agg(F.min("ts_ms").alias("a"), F.max("ts_ms").alias("b")).first()
+    return store.latency(ends["a"] + (ends["b"] - ends["a"]) // 4, ends["b"])
+
+
 def query_log_scan(spark, sf_dir):
     log = _log(spark, sf_dir)
     store = querylog.MetricsStore(spark, _folder(spark))
@@ -241,7 +350,9 @@ QUERIES = {
         search_range_items, locate_suffix_order_items, locate_first_items, count_ci_index_items, byte_ranks_items, byte_histogram_by_lang, bit_ranks_events,
         page_hits, conversation_hits, incremental_snapshot, codec_counts, sql_functions, fnv_hashes, query_log_total, query_log_unique_exact,
         query_log_unique_sketch, query_log_frequency, query_log_frequency_sketch, query_log_quantiles_exact, query_log_quantiles_sketch,
-        query_log_scan, cache_results, cache_hit_rate,
+        query_log_scan, cache_results, cache_hit_rate, search_range_documents, locate_first_documents, count_index_table_documents,
+        count_ci_index_documents, bwt_counts_documents, c_table_documents, byte_ranks_documents, byte_access_documents, count_letter_fours,
+        count_named_patterns, codec_locate, codec_docs_with_any, codec_lengths, incremental_state, sql_locate, query_log_empty, query_log_latency_scan,
     )
 }
 
@@ -271,8 +382,17 @@ def _places_sql(pattern_id: int, pattern: str, text: str = "text") -> str:
       FROM (SELECT doc_id, unnest(string_split({text}, {_quote(pattern)})) AS piece, generate_subscripts(string_split({text}, {_quote(pattern)}), 1) AS k, len(string_split({text}, {_quote(pattern)})) AS n FROM documents)"""
 
 
+def _hits_sql(pattern: str) -> str:
+    """(doc_id, h, pos): each place of a pattern, overlapping ones too, and the text in hexadecimal."""
+    size = 2 * len(pattern.encode())
+    return f"""SELECT doc_id, h, 256 * b + pos AS pos FROM (SELECT doc_id, h, b, unnest(list_filter(range(0, 256), lambda k: substring(piece, 2 * k + 1, {size}) = hex(encode({_quote(pattern)})))) AS pos
+      FROM (SELECT doc_id, h, b, substring(h, 512 * b + 1, {510 + size}) AS piece FROM (SELECT doc_id, h, unnest(range(0, length(h) // 512 + 1)) AS b FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE contains(text, {_quote(pattern)})))))"""
+
+
 _PLACES = f"SELECT doc_id, pattern_id, pos FROM ({_places_sql(0, 'tion')} UNION ALL {_places_sql(1, 'é')}) WHERE k < n"
-_BYTES = "SELECT {key}, ('0x' || b)::INTEGER AS byte, k - 1 AS idx FROM (SELECT {key}, unnest(list_transform(range(1, length(h) // 2 + 1), lambda p: substring(h, 2 * p - 1, 2))) AS b, unnest(range(1, length(h) // 2 + 1)) AS k FROM (SELECT {key}, hex(encode(text)) AS h FROM {table}))"
+#: Cut into pieces first: a place in a long string takes long to reach.
+_BYTES = """SELECT {key}, ('0x' || substring(piece, 2 * k + 1, 2))::INTEGER AS byte, 256 * p + k AS idx FROM (SELECT {key}, p, piece, unnest(range(0, length(piece) // 2)) AS k
+  FROM (SELECT {key}, p, substring(h, 512 * p + 1, 512) AS piece FROM (SELECT {key}, h, unnest(range(0, length(h) // 512 + 1)) AS p FROM (SELECT {key}, hex(encode(text)) AS h FROM {table}))))"""
 #: Suffixes as hexadecimal text: its order is that of the bytes.
 _SUFFIXES = """item AS (SELECT item_id, hex(encode(text)) AS h FROM benchmark),
 suffix AS (SELECT item_id, unnest(range(0, length(h) // 2 + 1)) AS pos, h FROM item),
@@ -304,6 +424,43 @@ ORACLES = {
     "locate_suffix_order_items": f"{_HITS} SELECT item_id, sa_rank, pos, pattern_id FROM hit",
     "locate_first_items": f"{_HITS} SELECT item_id, pattern_id, sa_rank, pos FROM (SELECT item_id, 1 - pattern_id AS pattern_id, sa_rank, pos, row_number() OVER (PARTITION BY item_id, pattern_id ORDER BY sa_rank) AS k FROM hit WHERE pattern_id < 2) WHERE k <= 3",
     "count_ci_index_items": _counts_sql("benchmark", "item_id", "text", ["THE", "tIoN "], True),
+    # A suffix is less than a pattern if its first bytes are; no suffix array is needed for the range.
+    "search_range_documents": f"""WITH asked(pattern_id, p) AS (VALUES {_ASKED}), item AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
+      head AS (SELECT doc_id, substring(piece, 2 * pos + 1, 18) AS s FROM (SELECT doc_id, piece, unnest(range(0, least(256, (n - 512 * b) // 2 + 1))) AS pos FROM (SELECT doc_id, b, length(h) AS n, substring(h, 512 * b + 1, 530) AS piece FROM (SELECT doc_id, h, unnest(range(0, length(h) // 512 + 1)) AS b FROM item)))),
+      told AS (SELECT doc_id, s, count(*) AS n FROM head GROUP BY ALL),
+      ranged AS (SELECT doc_id, pattern_id, coalesce(sum(n) FILTER (WHERE NOT starts_with(s, p) AND s < p), 0) AS sp, sum(n) FILTER (WHERE starts_with(s, p)) AS n FROM told CROSS JOIN asked GROUP BY ALL)
+      SELECT doc_id, pattern_id::BIGINT AS pattern_id, sp::BIGINT AS sp, (sp + n)::BIGINT AS ep FROM ranged WHERE n > 0""",
+    "locate_first_documents": f"""SELECT doc_id, pattern_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pattern_id ORDER BY substring(h, 2 * pos + 1)) AS k
+      FROM (SELECT *, 0::BIGINT AS pattern_id FROM ({_hits_sql("onon")}) UNION ALL SELECT *, 1 FROM ({_hits_sql("tion th")}))) WHERE k <= 3""",
+    "count_index_table_documents": """WITH word AS (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(text, '[^a-zA-Z]+')) AS word FROM benchmark) WHERE length(word) IN (6, 9)),
+      piece AS MATERIALIZED (SELECT doc_id, substring(text, 200 * b + 1, 208) AS piece FROM (SELECT doc_id, text, unnest(range(0, length(text) // 200 + 1)) AS b FROM documents)),
+      gram AS MATERIALIZED (SELECT doc_id, unnest(list_transform(range(1, 201), lambda k: substring(piece, k, 6))) AS word FROM piece UNION ALL SELECT doc_id, unnest(list_transform(range(1, 201), lambda k: substring(piece, k, 9))) FROM piece)
+      SELECT doc_id, word, count(*) AS n_matches FROM gram WHERE word IN (SELECT word FROM word) GROUP BY ALL""",
+    "count_ci_index_documents": _counts_sql("documents", "doc_id", "text", ["THE", "tIoN "], True),
+    # The BWT permutes a text's bytes: the one before the suffix at pos is that at pos - 1.
+    "bwt_counts_documents": f"SELECT doc_id, byte AS bwt_byte, count(*) AS n, sum(idx + 1)::BIGINT AS pos_sum FROM ({_BYTES.format(key='doc_id', table='documents')}) GROUP BY ALL",
+    "c_table_documents": f"""WITH b AS (SELECT doc_id, byte, count(*) AS n FROM (SELECT doc_id, byte FROM ({_BYTES.format(key='doc_id', table='documents')}) UNION ALL SELECT doc_id, 0 FROM documents WHERE text IS NOT NULL) GROUP BY ALL)
+      SELECT d.doc_id, r.byte::INTEGER AS byte, coalesce(sum(b.n), 0)::BIGINT AS c FROM documents d CROSS JOIN range(256) r(byte) LEFT JOIN b ON b.doc_id = d.doc_id AND b.byte < r.byte WHERE d.text IS NOT NULL GROUP BY ALL""",
+    "byte_ranks_documents": f"SELECT *, row_number() OVER (PARTITION BY doc_id, byte ORDER BY idx) - 1 AS rank FROM ({_BYTES.format(key='doc_id', table='documents')})",
+    "byte_access_documents": """SELECT doc_id, CASE WHEN n > 0 THEN ('0x' || substring(h, 1, 2))::INTEGER END AS first, CASE WHEN n > 0 THEN ('0x' || substring(h, 2 * (n // 2) + 1, 2))::INTEGER END AS middle, NULL::INTEGER AS beyond,
+      len(list_filter(range(1, n // 2 + 1), lambda k: substring(h, 2 * k - 1, 2) = '65'))::BIGINT AS e_before FROM (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents)""",
+    "count_letter_fours": """SELECT ((ascii(g[1]) - 97) * 17576 + (ascii(g[2]) - 97) * 676 + (ascii(g[3]) - 97) * 26 + ascii(g[4]) - 97)::BIGINT AS pattern_id, count(*) AS n_matches
+      FROM (SELECT substring(piece, spot, 4) AS g FROM (SELECT substring(text, 200 * b + 1, 203) AS piece FROM (SELECT text, unnest(range(0, length(text) // 200 + 1)) AS b FROM documents)) CROSS JOIN range(1, 201) r(spot)) WHERE regexp_full_match(g, '[a-z]{4}') GROUP BY ALL""",
+    "count_named_patterns": """SELECT doc_id, 'r ' || r_name AS name, (len(string_split(text, lower(r_name[1:3]))) - 1)::BIGINT AS n_matches FROM documents JOIN region ON contains(text, lower(r_name[1:3]))""",
+    "codec_locate": _PLACES,
+    "codec_docs_with_any": "SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))",
+    "codec_lengths": "SELECT doc_id, strlen(text)::BIGINT AS text_len FROM documents",
+    "incremental_state": """SELECT 'appended' AS state, sum(strlen(text))::BIGINT AS buffer_len, false AS is_built, 0::BIGINT AS texts FROM conversations
+      UNION ALL SELECT 'rebuilt', sum(strlen(text))::BIGINT, true, count(DISTINCT conv_id) FROM conversations UNION ALL SELECT 'cleared', 0, false, 0""",
+    "sql_locate": f"""SELECT doc_id, 0::BIGINT AS pattern_id, pos FROM ({_hits_sql("onon")}) UNION ALL SELECT doc_id, pattern_id, pos FROM
+      ({_places_sql(1, "é tion", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')").replace("é", "É")} UNION ALL {_places_sql(2, "tion")}) WHERE k < n""",
+    "query_log_empty": "SELECT * FROM (VALUES ('total', 0.0::DOUBLE), ('unique', 0.0), ('unique_exact', 0.0), ('frequency', 0.0), ('hit_rate', 0.0), ('p50', NULL), ('sketched', 0.0)) m(metric, value)",
+    "query_log_latency_scan": "SELECT ts_ms, value FROM (SELECT epoch_us(ts) // 1000 AS ts_ms, value::FLOAT AS value, min(epoch_us(ts) // 1000) OVER () AS a, max(epoch_us(ts) // 1000) OVER () AS b FROM events) WHERE ts_ms >= a + (b - a) // 4",
+    # So few different patterns that the sketch holds each of them.
+    "query_log_unique_sketch": "SELECT count(DISTINCT event_type)::DOUBLE AS unique_patterns FROM events",
+    "query_log_quantiles_sketch": f"""WITH held AS (SELECT CASE WHEN value > 0 THEN ceil(ln(value) / {math.log(1.01 / 0.99)!r}) END AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL),
+      summed AS (SELECT bucket, sum(n) OVER (ORDER BY bucket NULLS FIRST) AS upto, sum(n) OVER () AS total FROM held)
+      SELECT q, coalesce(2 * power({1.01 / 0.99!r}::DOUBLE, arg_min(bucket, upto)) / ({1.01 / 0.99!r}::DOUBLE + 1), 0.0) AS value FROM summed CROSS JOIN (VALUES (0.5::DOUBLE), (0.99::DOUBLE)) a(q) WHERE upto > q * (total - 1) GROUP BY q""",
     "byte_ranks_items": f"SELECT *, row_number() OVER (PARTITION BY item_id, byte ORDER BY idx) - 1 AS rank FROM ({_BYTES.format(key='item_id', table='benchmark')})",
     "byte_histogram_by_lang": f"SELECT lang, byte, count(*) AS n FROM ({_BYTES.format(key='lang', table='documents')}) GROUP BY ALL",
     "bit_ranks_events": "SELECT idx, bit, ones AS rank1, idx - ones AS rank0 FROM (SELECT event_id AS idx, value > 50 AS bit, coalesce(sum((value > 50)::INTEGER) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ones FROM events)",

@@ -17,6 +17,7 @@ from ..functions.bytes import as_bytes
 from ..operators import search
 from ..operators.index import SuffixIndex, build_index
 from ..plans.patterns import Patterns
+from ..session import Files
 
 _LOG = "id long, seq long, chunk binary, batch string"
 
@@ -25,21 +26,15 @@ class IncrementalCorpus:
     def __init__(self, spark: SparkSession, path: str, sample_step: int = 4):
         self.spark, self.path, self.sample_step = spark, path.rstrip("/"), max(1, sample_step)
 
-    def _fs(self, part: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+    def _files(self) -> Files:
+        return Files(self.spark, self.path)
 
     def _versions(self) -> list[int]:
-        fs, path = self._fs("snapshots")
-        if not fs.exists(path):
-            return []
-        names = {int(s.getPath().getName().split("=")[1]): s.getPath() for s in fs.listStatus(path)}
-        done = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(v for v, p in names.items() if fs.exists(done(p, "_SUCCESS")))
+        files = self._files()
+        return sorted(int(n.split("=")[1]) for n in files.names("snapshots") if files.exists(f"snapshots/{n}/_SUCCESS"))
 
     def _log(self) -> DataFrame:
-        fs, path = self._fs("log")
-        return self.spark.read.schema(_LOG).parquet(f"{self.path}/log") if fs.exists(path) else self.spark.createDataFrame([], _LOG)
+        return self.spark.read.schema(_LOG).parquet(f"{self.path}/log") if self._files().exists("log") else self.spark.createDataFrame([], _LOG)
 
     def append(self, chunks: DataFrame, id_col: str = "doc_id", seq_col: str = "seq", chunk_col: str = "chunk", batch: str | None = None) -> None:
         """Adds chunks; the order of a text's chunks is that of their seq."""
@@ -47,15 +42,24 @@ class IncrementalCorpus:
         rows.write.mode("overwrite").parquet(f"{self.path}/log/batch={batch or uuid.uuid4().hex}")
 
     def append_stream(self, chunks: DataFrame, checkpoint: str, **columns: str) -> StreamingQuery:
-        """Appends what is there of a stream and ends; run it again for what has come since."""
-        writer = chunks.writeStream.foreachBatch(lambda df, epoch: self.append(df, batch=f"stream-{epoch}", **columns))
+        """Appends what is there of a stream and ends; run it again for what has come since.
+
+        A stream is known by a name that lies in its checkpoint folder, so batches of other streams are
+        never overwritten. With a new checkpoint folder it is a new stream, and all it reads is appended.
+        """
+        named = Files(self.spark, checkpoint)
+        names = [n for n in named.names() if n.startswith("appends-")]
+        if not names:
+            names = [f"appends-{uuid.uuid4().hex}"]
+            named.touch(names[0])
+        stream = min(names)
+        writer = chunks.writeStream.foreachBatch(lambda df, epoch: self.append(df, batch=f"{stream}-{epoch}", **columns))
         return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def texts(self) -> DataFrame:
-        """(doc_id, text) of all chunks so far, built or not."""
-        ordered = self._log().groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk"))).alias("c"))
-        text = F.aggregate("c", F.lit(b""), lambda t, x: F.concat(t, F.coalesce(x["chunk"], F.lit(b""))))
-        return ordered.select(F.col("id").alias("doc_id"), text.alias("text"))
+        """(doc_id, text) of all chunks so far, built or not; of equal seq the lesser chunk comes first."""
+        text = F.expr("listagg(chunk, X'') WITHIN GROUP (ORDER BY seq, chunk)")
+        return self._log().groupBy("id").agg(F.coalesce(text, F.lit(b"")).alias("text")).select(F.col("id").alias("doc_id"), "text")
 
     def rebuild(self) -> int:
         """Writes the next snapshot and returns its version."""
@@ -71,8 +75,7 @@ class IncrementalCorpus:
         return self._log().agg(F.coalesce(F.sum(F.octet_length("chunk")), F.lit(0)).alias("n")).first()["n"]
 
     def clear(self) -> None:
-        fs, path = self._fs(".")
-        fs.delete(path, True)
+        self._files().delete()
 
     def snapshot(self) -> DataFrame:
         versions = self._versions()
