@@ -5,6 +5,7 @@ import pytest
 from bytelode.functions import fnv1a64
 from bytelode.functions.sql import register
 from bytelode.operators import search
+from bytelode.plans import patterns as plans
 from bytelode.plans.patterns import pattern_list, successor
 from pyspark.sql import functions as F
 
@@ -111,3 +112,40 @@ def test_sql_functions(spark):
     register(spark)
     row = spark.sql("select bytes_count('abracadabra', 'abra') a, bytes_count('hello', '') b, bytes_count('x', X'00') c, bytes_contains('abc', 'd') d, bytes_count_ci('aAé', 'A') e, bytes_contains_ci('É', 'é') f, bytes_index_size('abcdefghijk', 1) g, bytes_index_size('', 4) h, bytes_index_ratio('', 4) i, bytes_text_len('é') j, bytes_count(null, 'a') k, bytes_sample_step(0) l").first()
     assert tuple(row) == (2, 6, 0, False, 2, False, 2320, 2136, 0.0, 2, None, 1)
+
+
+def test_locate_in_sql(spark):
+    register(spark)
+    cases = [("abracadabra", "abra"), ("aaaa", "aa"), ("é é", "é"), ("", ""), ("ab", ""), ("ab", "abc"), ("xAbab", "AB"), ("x", "y")]
+    df = spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate(cases)] + [(98, None, "a"), (99, "a", None)], "i long, t string, p string")
+    got = {r.i: (r.a, r.b) for r in df.selectExpr("i", "bytes_locate(t, p) a", "bytes_locate_ci(t, p) b").collect()}
+    for i, (t, p) in enumerate(cases):
+        assert got[i] == (places(t.encode(), p.encode()), places(fold(t.encode()), fold(p.encode())))
+    assert got[98] == got[99] == (None, None)
+    assert spark.sql("select bytes_locate(X'610061', X'00') a, bytes_locate(X'FFFF', X'FF') b").first()[:] == ([], [0, 1])
+
+
+def test_query_sets_in_parts_and_named_patterns(spark, monkeypatch):
+    monkeypatch.setattr(plans, "MOST_PATTERNS", 7)
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abc é") for _ in range(60)) for _ in range(20)]
+    patterns = {f"name {p!r}": p for p in {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 3))) for _ in range(60)}}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {(i, n): places(t.encode(), p.encode()) for i, t in enumerate(texts) for n, p in patterns.items() if p in t}
+    table = spark.createDataFrame(list(patterns.items()), "name string, p string")
+    for given in (patterns, table):
+        assert {(r.doc_id, r.pattern_id): r.n_matches for r in search.count(docs, given).collect()} == {k: len(v) for k, v in want.items()}
+        assert {(r.doc_id, r.pattern_id): r.positions for r in search.locate_all(docs, given).collect()} == want
+        assert {tuple(r) for r in search.contains(docs, given).collect()} == set(want)
+    few = dict(list(patterns.items())[:3])
+    assert {(r.doc_id, r.pattern_id): r.n_matches for r in search.count(docs, few).collect()} == {k: len(v) for k, v in want.items() if k[1] in few}
+    rare = [p for p in patterns.values() if len(p) == 3][:20]
+    holding = {i for i, t in enumerate(texts) if any(p in t for p in rare)}
+    assert {r.doc_id for r in search.contains(docs, rare, how="semi").collect()} == holding
+    assert {r.doc_id for r in search.contains(docs, rare, how="anti").collect()} == set(range(20)) - holding
+
+
+def test_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "ab", 5, 6, 7)], "doc_id long, text string, _key long, m long, pattern_id long")
+    assert [tuple(r) for r in search.total_counts(docs, ["a"], by=["_key", "m"]).collect()] == [(5, 6, 0, 1)]
+    assert search.contains(docs, ["a"], how="semi").columns == docs.columns and search.count(docs, ["b"]).count() == 1
