@@ -1,13 +1,12 @@
-"""What several operators share: tables, the held-out rule, scratch tables in the shared folder."""
+"""What several operators share: tables, the held-out rule, rows that keep their columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import Scratch, cleared, default_partitions, shared_folder  # noqa: F401
+
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
@@ -25,49 +24,16 @@ def may_learn(doc_id: Column) -> Column:
     return doc_id.isNotNull() & ~held_out(doc_id)
 
 
-def default_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        own = spark.sparkContext.getCheckpointDir()
-        if own is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bytelode-"))
-            own = spark.sparkContext.getCheckpointDir()
-        folder = own
-    return folder.rstrip("/")
-
-
-class Scratch:
-    """Tables that cut lineage: written once to the shared folder and read from there.
-
-    A lost executor costs only the tasks that were running; what is written stays.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/bytelode-{uuid.uuid4().hex}"
-        self.count = 0
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """The rows as one column `row` beside `keys`: whatever names the table has, none can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(key.alias(name) for name, key in keys.items()))
 
-    def write(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.root}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._bytelode_path = path
-        return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Removes a table that no later plan reads."""
-        self._delete(df._bytelode_path)
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
 
-    def clear(self) -> None:
-        """Removes all tables, once the results that are read from them are written."""
-        self._delete(self.root)
 
-    def _delete(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns, which tells where the nulls are."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(*columns, *(c.isNull() for c in columns))

@@ -5,9 +5,9 @@ few bytes after it, so every run of up to four bytes of the whole text lies in o
 embedded; filters of widths 2, 3 and 4 slide over them; each filter's maximum goes to a softmax. A
 text's answer is the mean of its windows' probabilities, by the bytes they hold.
 
-Training takes a bounded sample: about `per_lang` documents of each language, chosen by a hash of their
-ids, and `per_doc` windows at most of each, spread over the whole text. The driver gets just those
-windows; with up to a few hundred languages that is some hundred megabytes at most.
+Training takes a bounded sample: about `per_lang` windows of each language, drawn by a hash from all windows
+of all its labelled texts, whatever their length. The driver gets just those windows; with up to a few
+hundred languages that is some hundred megabytes at most.
 """
 
 from __future__ import annotations
@@ -20,14 +20,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, may_learn, table
+from .common import held_out, may_learn, packed, table, unpacked
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
-PER_LANG, PER_DOC = 400, 12
+#: Labelled windows of a language that are learned from, in expectation.
+PER_LANG = 3000
 UNDETERMINED = "und"
+#: The pipeline takes a text's language as known if the network gives it so much, more than all others together.
+LEAST_SCORE = 0.5
 #: Windows that go through the network at once.
 BATCH = 64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -134,35 +137,35 @@ def predict(net: ByteNet | None, texts: list[bytes | None]) -> list[tuple[str, f
     return out
 
 
-def _sample_windows(per_doc: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, found = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                text = text.as_py()
-                if text is None or not has_letter(text):
-                    continue
-                wins = windows(text)
-                for i in np.unique(np.linspace(0, len(wins) - 1, per_doc).astype(int)):
-                    langs.append(lang)
-                    found.append(wins[i].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "win"])
+def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        langs, found = [], []
+        for lang, text, at in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2)):
+            text = text.as_py()
+            if not has_letter(text):
+                continue
+            wins = windows(text)
+            for i in at.as_py():
+                langs.append(lang)
+                found.append(wins[i].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "win"])
 
-    return run
 
-
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, per_doc: int = PER_DOC) -> ByteNet | None:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> ByteNet | None:
     """A network from rows that aren't held out and name their language; None where there is none."""
-    rows = docs.where(may_learn(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}  # a row for each language
+    known = docs.where(may_learn(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length(F.col(text_col)) / WINDOW)).cast("long")
+    rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), n.alias("n"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum("n")).collect()}  # a row for each language
     if not counts:
         return None
     langs, share = sorted(counts), F.lit(0.0)
     for lang in langs:
-        share = F.when(F.col(lang_col) == lang, min(1.0, per_lang / counts[lang])).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit(11), id_col), F.lit(1 << 30)) / float(1 << 30)
-    taken = rows.where(draw < share).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sample = taken.mapInArrow(_sample_windows(per_doc), "lang string, win binary").toArrow().sort_by([("lang", "ascending"), ("win", "ascending")])
+        share = F.when(F.col("lang") == lang, min(1.0, per_lang / counts[lang])).otherwise(share)
+    draw = lambda i: F.pmod(F.xxhash64(F.lit(11), F.col("id"), i), F.lit(1 << 30)) / float(1 << 30)
+    at = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: draw(i) < F.col("share"))
+    taken = rows.withColumn("share", share).select("lang", "text", at.alias("at")).where(F.size("at") > 0)
+    sample = taken.mapInArrow(_cut_windows, "lang string, win binary").toArrow().sort_by([("lang", "ascending"), ("win", "ascending")])
     if not sample.num_rows:
         return None
     wins = np.frombuffer(b"".join(sample.column("win").to_pylist()), np.uint8).reshape(sample.num_rows, -1)
@@ -208,13 +211,14 @@ def lettered(text: Column) -> Column:
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows whose text has no language (null, or no letter) go.
+    """Pipeline stage: rows stay whose text the network gives a language at LEAST_SCORE or more.
 
-    The network rejects no text that has a letter, so this is a letter test; where no network could be
-    learned it is made directly.
+    Null and letterless texts go, and so do texts in which no language has the better part of the
+    probability, of all windows by their bytes. Where no network can be learned (no label, empty table) texts
+    with a letter stay. Repeated ids and rows are judged each by their text.
     """
     net = learn(docs)
     if net is None:
         return docs.where(lettered(F.col("text")))
-    found = docs.withColumn("_found", language(F.col("text"), net))
-    return found.where(F.col("_found.lang_pred") != UNDETERMINED).select(*docs.columns)
+    found = packed(docs, found=language(F.col("text"), net))
+    return unpacked(found.where((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= LEAST_SCORE)))

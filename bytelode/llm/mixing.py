@@ -15,11 +15,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_SEPARATORS, Scratch, default_partitions, table
+from ..operators.prefix import sum_before
+from .common import WORD_SEPARATORS, Scratch, default_partitions, packed, row_hash, table, unpacked
 
 #: Buckets that a source is dealt to, and buckets that meet in one on the next level.
 BUCKETS = 4096
@@ -27,29 +27,28 @@ FAN_IN = 64
 #: A source is taken so often at most.
 MOST = 3
 _TINY = 1e-9
-_SCHEMA = "bucket long, source string, id long, text_hash long, size long, copies long, x double, open boolean"
+_SCHEMA = "bucket long, source string, id long, text_hash long, size long, copies long, x double, open boolean, row_hash long"
 
 
-def source_targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
+def source_targets(sizes: DataFrame, most: int = MOST, scratch: Scratch | None = None) -> DataFrame:
     """(source, source_size, target) from (source, source_size), a row for each source.
 
     Sources weigh 1, 2, 3, 1, 2, 3 ... by code point, null last. All words are shared out by weight; a
     target stops at `most` times its source and the excess goes to the others by weight. The fixed point
-    is target = min(most * size, level * weight): sources stop in order of size over weight.
+    is target = min(most * size, level * weight): sources stop in order of size over weight. Ranks and
+    sums run over range partitions, so sources may be as many as web hosts.
     """
-    ranked = sizes.withColumn("weight", 1 + (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % 3)
-    by_ratio = W.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    all_rows = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    levels = ranked.select(
-        "*",
-        F.coalesce(F.sum("source_size").over(by_ratio.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        F.sum("weight").over(by_ratio.rowsBetween(0, W.unboundedFollowing)).alias("weights_left"),
-        F.sum("source_size").over(all_rows).alias("total"),
-    ).withColumn("level", (F.col("total") - most * F.col("before")) / F.col("weights_left"))
+    scratch = scratch or Scratch(sizes.sparkSession)
+    named = sizes.select("source", "source_size", F.col("source").isNull().alias("last"), F.lit(1).alias("one"))
+    ranked = sum_before(named, [], ["last", "source"], {"rank": "one"}, scratch.write)
+    weighed = ranked.withColumn("weight", 1 + F.col("rank") % 3).withColumn("ratio", F.col("source_size") / F.col("weight"))
+    levels = sum_before(weighed, [], ["ratio", "last", "source"], {"before": "source_size", "weights": "weight"}, scratch.write)
+    totals = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    levels = levels.withColumn("level", (totals["size"] - most * F.col("before")) / (totals["weight"] - F.col("weights")))
     # The first source, by ratio, that its level does not fill sets the level of all from there on.
-    unfilled = F.col("level") * F.col("weight") < most * F.col("source_size")
-    level = F.min(F.when(unfilled, F.struct(F.col("source_size") / F.col("weight"), F.col("source").isNull(), "source", "level"))).over(all_rows)["level"]
-    target = F.least(most * F.col("source_size").cast("double"), F.coalesce(level * F.col("weight"), F.lit(0.0)))
+    unfilled = levels.where(F.col("level") * F.col("weight") < most * F.col("source_size"))
+    first = unfilled.agg(F.min(F.struct("ratio", "last", "source", "level")).alias("m")).select("m.level").first()[0]
+    target = F.least(most * F.col("source_size").cast("double"), F.lit(first or 0.0) * F.col("weight"))
     return levels.select("source", "source_size", target.alias("target"))
 
 
@@ -66,7 +65,7 @@ def _settle(i: list, j: list, seed: int, level: int) -> None:
     for doc, by in ((i, moved), (j, -moved)):
         x = doc[6] + by / doc[4]
         if x < _TINY or x > 1 - _TINY:
-            doc[5:] = doc[5] + round(x), 0.0, False
+            doc[5:8] = doc[5] + round(x), 0.0, False
         else:
             doc[6] = x
 
@@ -75,7 +74,7 @@ def _fold(seed: int, level: int, last: bool):
     """Rows sorted by (bucket, source, id) come in and go out; of a bucket and source one document
     stays open at most, and on the last level its fraction is drawn."""
     names = [f.split()[0] for f in _SCHEMA.split(", ")]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64()]
 
     def table_of(rows: list[list]) -> pa.RecordBatch:
         columns = list(zip(*rows)) or [()] * len(names)
@@ -83,7 +82,7 @@ def _fold(seed: int, level: int, last: bool):
 
     def close(doc: list) -> list:
         if last:
-            doc[5:] = doc[5] + int(_draw(seed, level, doc[2], doc[3]) < doc[6]), 0.0, False
+            doc[5:8] = doc[5] + int(_draw(seed, level, doc[2], doc[3]) < doc[6]), 0.0, False
         return doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +109,11 @@ def _fold(seed: int, level: int, last: bool):
     return run
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST, seed: int = 7, scratch: Scratch | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST, seed: int = 7, scratch: Scratch | None = None, tie: Column | None = None) -> DataFrame:
     """(id, source, text_hash, size, source_size, target, copies) for every row.
 
+    With `tie`, a column that tells rows of one id and text apart, row_hash returns it.
+
     Size is the number of words; null text has none. A null source is a source of its own, the last. The
     order in which documents meet, and so every draw, is set by ids, texts and the seed alone: reruns
     and other layouts of the same rows agree. Repeated rows are rounded one by one. Rows without words
@@ -124,10 +125,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             F.col(source_col).cast("string").alias("source"),
             F.col(id_col).cast("long").alias("id"),
             F.xxhash64(text_col).alias("text_hash"),
+            (F.lit(0).cast("long") if tie is None else tie).alias("row_hash"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_SEPARATORS.replace("[", "[^"))), F.lit(0)).cast("long").alias("size"),
         )
     )
-    targets = scratch.write(source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), most))
+    targets = scratch.write(source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), most, scratch))
     # A row for each source; Spark broadcasts it where it is small.
     rate = F.coalesce(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(0.0))
     whole = F.floor(rate + _TINY)
@@ -140,11 +142,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         (F.col("whole") + F.when((F.col("size") == 0) & (alone < F.col("part")), 1).otherwise(0)).cast("long").alias("copies"),
         F.when(open_, F.col("part")).otherwise(0.0).alias("x"),
         open_.alias("open"),
+        "row_hash",
     )
     n, settled = default_partitions(docs.sparkSession), []
     for level in range(1 + math.ceil(math.log(BUCKETS, FAN_IN))):
         last = FAN_IN**level >= BUCKETS
-        dealt = level_rows.repartition(n, "bucket").sortWithinPartitions("bucket", "source", "id", "text_hash")
+        dealt = level_rows.repartition(n, "bucket", "source").sortWithinPartitions("bucket", "source", "id", "text_hash", "row_hash")
         folded = scratch.write(dealt.mapInArrow(_fold(seed, level, last), _SCHEMA))
         settled.append(folded.where("not open"))
         level_rows = folded.where("open").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("long"))
@@ -152,7 +155,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for more in settled[1:]:
         rows = rows.union(more)
     return rows.drop("bucket", "x", "open").join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "text_hash", "size", "source_size", "target", "copies"
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "text_hash", "size", "source_size", "target", "copies", *([] if tie is None else ["row_hash"])
     )
 
 
@@ -162,9 +165,14 @@ def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def take_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each row as often as the mix takes it, and not at all where it takes none."""
-    taken = mix(docs).groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("text_hash").alias("_hash"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
-    once = docs.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_text"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_of")) & (F.col("_text") == F.col("_hash"))
-    return once.join(taken, same).select(*docs.columns)
+    """Pipeline stage: each row as often as the mix takes it, and not at all where it takes none.
+
+    Rows are told apart by all their columns, so a repeated id or text under other columns is a row of its
+    own; rows equal in all of them are each rounded, and their copies are the same whichever is taken.
+    Null and wordless texts round alone. An empty table gives no rows.
+    """
+    taken = mix(docs, tie=row_hash(docs)).groupBy("row_hash", F.coalesce("doc_id", F.lit(0)).alias("key")).agg(F.sum("copies").alias("copies")).where("copies > 0")
+    copies = taken.select("row_hash", "key", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    # The keys are never null, so that one shuffle of the rows serves both their repeats and the join.
+    once = packed(docs, row_hash=row_hash(docs), key=F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).dropDuplicates(["row_hash", "key"])
+    return unpacked(once.join(copies, ["row_hash", "key"]))

@@ -160,7 +160,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = min(1.0, max_rows / max(1, known.count()))
     draw = F.pmod(F.xxhash64(F.lit(13), "_id"), F.lit(1 << 30)) / float(1 << 30)
     few = known.where(draw < share)  # about max_rows rows of 12 bytes
-    rows = docs.join(F.broadcast(few), docs[id_col] == F.col("_id")).select("_id", "_label", statistics_of(docs[text_col]).alias("s"))
+    own = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"))
+    rows = own.join(F.broadcast(few), F.col("_own") == F.col("_id")).select("_id", "_label", statistics_of(F.col("_text")).alias("s"))
     got = rows.select("_id", "_label", "s.*").toArrow().sort_by([("_id", "ascending"), ("_label", "ascending"), ("n_bytes", "ascending")])
     x = np.stack([got.column(s).to_numpy() for s in STATISTICS], 1) if got.num_rows else np.zeros((0, len(STATISTICS)))
     return fit(x, got.column("_label").to_numpy().astype(np.float64))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, default_partitions, table
+from .common import Scratch, default_partitions, packed, row_hash, table, unpacked
 from .components import connected_components
 
 SEED = 42
@@ -223,10 +223,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     scratch = Scratch(spark)
     rows, named = _components(docs.select("doc_id", "text"), "doc_id", "text", SHINGLE, scratch)
     first = rows.join(named, "fp").groupBy("root", F.col("id").isNull()).agg(F.min(F.struct("id", "text_hash")).alias("first"))
-    keep = scratch.write(first.select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash")).distinct())
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    left = hashed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    keep = scratch.write(first.select("first.id", "first.text_hash").distinct())
+    hashed = packed(docs, doc=F.col("doc_id").cast("long"), text_hash=F.xxhash64("text"), order=row_hash(docs))
+    left = hashed.join(keep, hashed["doc"].eqNullSafe(keep["id"]) & (hashed["text_hash"] == keep["text_hash"]), "left_semi")
     # Repeats of the row that stays may differ in other columns; the choice must not hang on the layout.
-    order = F.xxhash64(*docs.columns)
-    one = left.groupBy("doc_id", "_text_hash").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
-    return one.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return unpacked(left.groupBy("doc", "text_hash").agg(F.min_by("row", "order").alias("row")))

@@ -1,8 +1,12 @@
+import math
 import re
+import struct
 
 import pytest
+import xxhash
 
 from bytelode.llm import mixing
+from bytelode.llm.common import row_hash
 from bytelode.llm.mixing import mix, source_targets, take_copies
 
 SCHEMA = "doc_id long, text string, source string, size long, target string"
@@ -76,3 +80,91 @@ def test_stage_repeats_rows(spark):
     got = take_copies(spark, df, "")
     assert got.columns == df.columns and got.count() == sum(copies.values())
     assert mix(df.limit(0)).count() == 0
+
+
+def test_stage_gives_back_rows_that_differ_elsewhere_and_clashing_names(spark):
+    schema = "doc_id long, text string, source string, tag string, row_hash long, _id string, _text string, _of string, _hash string, _copy string, copies long"
+    data = [(1, "a b c", "s", tag, 5, "i", "t", "o", "h", "c", None) for tag in ("x", "y", None)] * 2 + [(None, "a b c", None, "z", 5, "i", "t", "o", "h", "c", 9), (2, None, "s", "x", None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(data, schema).repartition(3)
+    mixed = {}
+    for r in mix(df, tie=row_hash(df)).collect():
+        mixed[r.row_hash] = mixed.get(r.row_hash, 0) + r.copies
+    got = take_copies(spark, df, "")
+    assert got.columns == df.columns
+    want = {}
+    for r in df.select("*", row_hash(df).alias("own")).distinct().collect():
+        want[str(tuple(r)[:-1])] = mixed[r.own]
+    found = {}
+    for r in got.collect():
+        found[str(tuple(r))] = found.get(str(tuple(r)), 0) + 1
+    assert found == {k: n for k, n in want.items() if n} and len(found) > 2
+    assert take_copies(spark, df.limit(0), "").count() == 0
+
+
+def plain_mix(rows, most, seed):
+    """The same rounding by hand: fractions meet in buckets, by (source, id, hash); then buckets meet."""
+    words = {}
+    for source, _, _, size in rows:
+        words[source] = words.get(source, 0) + size
+    targets = plain_targets(words, most)
+    copies, live = {}, {}
+    for source, i, h, size in rows:
+        rate = targets[source] / words[source] if words[source] else 0.0
+        whole = math.floor(rate + 1e-9)
+        part = max(rate - whole, 0.0)
+        copies[i] = whole
+        if size > 0 and part > 1e-9:
+            bucket = signed(xxhash.xxh64_intdigest(struct.pack("<q", h), signed_seed(seed, i))) % mixing.BUCKETS
+            live.setdefault((bucket, source), []).append([i, h, size, part])
+        elif size == 0 and (signed(xxhash.xxh64_intdigest(struct.pack("<q", h), signed_seed(seed, i))) % 2**53) / 2**53 < part:
+            copies[i] += 1
+    level, step = 0, mixing.BUCKETS
+    draw = lambda *parts: xxhash.xxh64_intdigest(repr((level, parts)), seed) / 2**64
+    while True:
+        last, left = mixing.FAN_IN**level >= mixing.BUCKETS, {}
+        for (bucket, source), docs in live.items():
+            docs.sort()
+            held = None
+            for doc in docs:
+                if held is None:
+                    held = doc
+                    continue
+                a, b = held, doc
+                up_room = min(a[2] * (1 - a[3]), b[2] * b[3])
+                down_room = min(a[2] * a[3], b[2] * (1 - b[3]))
+                moved = up_room if draw(a[0], a[1], b[0], b[1]) * (up_room + down_room) < down_room else -down_room
+                a[3] += moved / a[2]
+                b[3] -= moved / b[2]
+                held = None
+                for d in (a, b):
+                    if min(d[3], 1 - d[3]) < 1e-9:
+                        copies[d[0]] += round(d[3])
+                    else:
+                        held = d
+            if held is not None:
+                if last:
+                    copies[held[0]] += draw(held[0], held[1]) < held[3]
+                else:
+                    left.setdefault((bucket // mixing.FAN_IN, source), []).append(held)
+        if last:
+            return copies
+        live, level = left, level + 1
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def signed_seed(seed, i):
+    """Spark hashes columns in turn: each one's hash seeds the next."""
+    return xxhash.xxh64_intdigest(struct.pack("<q", i), xxhash.xxh64_intdigest(struct.pack("<i", seed), 42))
+
+
+def test_one_small_mix_is_the_rounding_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKETS", 16)
+    monkeypatch.setattr(mixing, "FAN_IN", 4)
+    data = [(i, " ".join(["w"] * (i * 5 % 17)), f"s{i % 5}", 1, "x") for i in range(150)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = mix(df).collect()
+    by_hand = plain_mix([(r.source, r.doc_id, r.text_hash, r.size) for r in got], mixing.MOST, 7)
+    assert {r.doc_id: r.copies for r in got} == by_hand
