@@ -45,27 +45,36 @@ class Counter:
         for at, (piece, score) in enumerate(vocabulary):
             self.automaton.add_word(piece, (len(piece), score, at == 0))
         self.automaton.make_automaton()
+        self.longest = max(len(piece) for piece, _ in vocabulary)
         self.unknown = min(score for _, score in vocabulary) - UNKNOWN_COST
         self.known: dict[bytes, int] = {}
 
     def pieces(self, text: str) -> int:
-        """The number of pieces of one word, its leading space sign included."""
+        """The number of pieces of one word, its leading space sign included.
+
+        Only the last ends that a piece can reach back to are remembered, however long the word is.
+        """
         n = len(text)
-        score, count, odd = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        ends: list[list] = [[] for _ in range(n + 1)]
-        for last, found in self.automaton.iter(text):
-            ends[last + 1].append(found)
+        ring = min(n, self.longest) + 1
+        score, count, odd = [0.0] * ring, [0] * ring, [False] * ring
+        matches = self.automaton.iter(text)
+        at = next(matches, None)
         for end in range(1, n + 1):
-            found = ends[end]
-            if not found or found[-1][0] != 1:
-                found.append((1, self.unknown, True))
-            top = None
-            for length, own, unknown in found:
-                start = end - length
+            top, pieces, last, single = None, 0, False, False
+            while at is not None and at[0] < end:
+                length, own, unknown = at[1]
+                start = (end - length) % ring
                 if top is None or own + score[start] > top:
-                    top, count[end], odd[end] = own + score[start], count[start] + (not (unknown and odd[start])), unknown
-            score[end] = top
-        return count[n]
+                    top, pieces, last = own + score[start], count[start] + (not (unknown and odd[start])), unknown
+                single = length == 1
+                at = next(matches, None)
+            if not single:
+                start = (end - 1) % ring
+                if top is None or self.unknown + score[start] > top:
+                    top, pieces, last = self.unknown + score[start], count[start] + (not odd[start]), True
+            here = end % ring
+            score[here], count[here], odd[here] = top, pieces, last
+        return count[n % ring]
 
     def words(self, text: bytes) -> list[int]:
         """The number of pieces of each word between ASCII white space."""

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_SEPARATORS, Scratch, table
+from .common import WORD_SEPARATORS, Scratch, packed, table, unpacked
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -21,6 +21,9 @@ COVERAGE = 0.8
 LITERALS = 2
 #: Windows of a benchmark that are broadcast at most; beyond it both sides are shuffled by hash.
 BROADCAST_WINDOWS = 200_000
+#: Bare hashes of windows (some 32 bytes each) that are broadcast at most, so that only windows which may
+#: be met are shuffled.
+BROADCAST_HASHES = 2_000_000
 
 NAME, NUMBER, UNIT = "", "", ""
 UNITS = (
@@ -149,6 +152,10 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         seen = worded.select("id", "text_hash", F.posexplode(both).alias("pos", "r")).select("id", "text_hash", "pos", F.explode(F.when(F.col("r.runs0") == F.col("r.runs1"), F.array(F.struct(F.lit(-1).alias("of"), F.col("r.runs0").alias("window")))).otherwise(F.array(F.struct(F.lit(0).alias("of"), F.col("r.runs0").alias("window")), F.struct(F.lit(1).alias("of"), F.col("r.runs1").alias("window"))))).alias("w")).select("id", "text_hash", "pos", "w.of", "w.window")
     else:
         seen = worded.select("id", "text_hash", F.posexplode(runs[0]).alias("pos", "window"), F.lit(-1).alias("of"))
+    if asked["n"] > BROADCAST_WINDOWS:
+        hashes = wanted.select("window").distinct()
+        if hashes.count() <= BROADCAST_HASHES:
+            seen = seen.join(F.broadcast(hashes), "window", "left_semi")
     place = ["id", "text_hash", "item", "item_hash", "at"]
     met = seen.join(sized, "window").where("of = -1 or of = form")
     hits = scratch.write(met.groupBy(*place, (F.col("pos") - F.col("at")).alias("shift"), "form", "slots").agg(F.count("*").alias("n")))
@@ -184,29 +191,43 @@ def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows whose document holds no benchmark item stay."""
+    """Pipeline stage: rows whose document holds no benchmark item stay.
+
+    Null and wordless texts stay. Rows of one id are judged each by its text; repeated rows stay or go
+    together. An empty table or benchmark takes nothing away.
+    """
     scratch = Scratch(spark)
-    bad = scratch.write(contaminated_pairs(docs, table(spark, sf_dir, "benchmark"), scratch=scratch, whole=True).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(bad, same, "left_anti")
+    bad = scratch.write(contaminated_pairs(docs, table(spark, sf_dir, "benchmark"), scratch=scratch, whole=True).select("doc_id", "text_hash").distinct())
+    own = packed(docs, doc=F.col("doc_id"), own_hash=F.xxhash64("text"))
+    return unpacked(own.join(bad, own["doc"].eqNullSafe(bad["doc_id"]) & (own["own_hash"] == bad["text_hash"]), "left_anti"))
 
 
 OP9_SQL = rf"""
 WITH source AS (
   SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT DISTINCT 'b', item_id, text FROM benchmark WHERE text IS NOT NULL
-), spaced AS (SELECT side, id, string_split(text, ' ') AS e FROM source),
+), spaced AS (SELECT side, id, text, string_split(text, ' ') AS e FROM source),
 named AS (
-  SELECT side, id, array_to_string(list_transform(range(1, len(e) + 1), lambda i: CASE
+  SELECT side, id, text, array_to_string(list_transform(range(1, len(e) + 1), lambda i: CASE
     WHEN i > 1 AND regexp_matches(e[i], '^\p{{Lu}}\p{{Ll}}+') AND regexp_matches(e[i - 1], '[\p{{L}}\p{{N}},;]$') THEN regexp_replace(e[i], '^\p{{Lu}}\p{{Ll}}+', '{NAME}') ELSE e[i] END), ' ') AS t FROM spaced
 ), canonical AS (
-  SELECT side, id, list_filter(string_split_regex(regexp_replace(regexp_replace(lower(regexp_replace(t, '\p{{N}}+(?:[.,]\p{{N}}+)*', '{NUMBER}', 'g')),
+  SELECT side, id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS plain, list_filter(string_split_regex(regexp_replace(regexp_replace(lower(regexp_replace(t, '\p{{N}}+(?:[.,]\p{{N}}+)*', '{NUMBER}', 'g')),
     '{NUMBER}( ?)(?:{'|'.join(UNITS)})([^\p{{L}}]|$)', '{NUMBER}\1{UNIT}\2', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM named
 ), windows AS (
   SELECT side, id, spot, CASE WHEN len(w) >= {WINDOW} THEN w[spot:spot + {WINDOW - 1}] ELSE w END AS run
   FROM (SELECT side, id, w, unnest(range(1, greatest(len(w) - {WINDOW - 2}, 2))) AS spot FROM canonical WHERE len(w) > 0)
 ), wanted AS (
-  SELECT id AS item_id, spot, run FROM windows WHERE side = 'b' AND len(list_filter(run, lambda w: NOT regexp_matches(w, '[{NAME}-{UNIT}]'))) >= least({LITERALS}, len(run))
-), found AS (SELECT d.id AS doc_id, b.item_id, count(DISTINCT b.spot) AS n_matched FROM windows d JOIN wanted b ON d.run = b.run WHERE d.side = 'd' GROUP BY ALL),
-total AS (SELECT item_id, count(*) AS n_windows FROM wanted GROUP BY item_id)
-SELECT doc_id, item_id, n_matched, n_windows, n_matched / n_windows AS coverage FROM found JOIN total USING (item_id) WHERE n_matched >= {COVERAGE} * n_windows
+  SELECT id AS item_id, spot, run, len(list_filter(run, lambda w: regexp_matches(w, '[{NAME}-{UNIT}]'))) AS slots
+  FROM windows WHERE side = 'b' AND len(list_filter(run, lambda w: NOT regexp_matches(w, '[{NAME}-{UNIT}]'))) >= least({LITERALS}, len(run))
+), hit AS (SELECT DISTINCT d.id AS doc_id, b.item_id, b.spot, d.spot - b.spot AS shift, b.slots > 0 AS slots FROM windows d JOIN wanted b ON d.run = b.run WHERE d.side = 'd'),
+total AS (SELECT item_id, count(*) AS n_windows FROM wanted GROUP BY item_id),
+pair AS (SELECT doc_id, item_id, n_matched, n_windows, doubtful FROM (SELECT doc_id, item_id, count(DISTINCT spot) AS n_matched, bool_or(slots) AS doubtful FROM hit GROUP BY ALL) JOIN total USING (item_id) WHERE n_matched >= {COVERAGE} * n_windows),
+held AS (SELECT hit.* FROM hit JOIN pair USING (doc_id, item_id) WHERE doubtful),
+cell AS (SELECT DISTINCT doc_id, item_id, shift, spot + k AS i FROM held CROSS JOIN range({WINDOW}) r(k)),
+-- Along an alignment a value of the item stands for one value of the document.
+torn AS (SELECT DISTINCT doc_id, item_id, shift FROM (
+  SELECT c.doc_id, c.item_id, c.shift, b.plain[c.i] AS asks, d.plain[c.i + c.shift] AS has FROM cell c JOIN canonical b ON b.side = 'b' AND b.id = c.item_id JOIN canonical d ON d.side = 'd' AND d.id = c.doc_id
+  WHERE c.i <= len(b.w) AND regexp_matches(b.w[c.i], '[{NAME}-{UNIT}]')) GROUP BY doc_id, item_id, shift, asks HAVING count(DISTINCT has) > 1),
+sound AS (SELECT doc_id, item_id, count(DISTINCT spot) AS n_matched FROM held ANTI JOIN torn USING (doc_id, item_id, shift) GROUP BY ALL),
+found AS (SELECT doc_id, item_id, n_matched, n_windows FROM pair WHERE NOT doubtful UNION ALL SELECT doc_id, item_id, n_matched, n_windows FROM sound JOIN total USING (item_id) WHERE n_matched >= {COVERAGE} * n_windows)
+SELECT doc_id, item_id, n_matched, n_windows, n_matched / n_windows AS coverage FROM found
 """

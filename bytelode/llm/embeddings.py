@@ -4,11 +4,18 @@ After a random rotation a vector is cut into BLOCKS parts; each part has its own
 vectors, and every choice of one code word a part is a filter direction (Becker, Ducas, Gama and
 Laarhoven 2016). A vector passes all filters whose direction it is near enough to. They are list-decoded:
 sums over the first half of the parts and over the second are sorted, and only choices that reach the
-threshold are walked. Vectors of one label that share a filter are candidates; 128 sign bits drop most
-that are far apart, and the cosine of the rest is taken in double precision.
+threshold are walked. Vectors of one label that share a filter are candidates.
 
 Equal vectors of a label are one row from the start, with a count: a vector that a third of all rows
-hold costs no pairs. The number of filters follows the number of vectors, so a filter's vectors stay few.
+hold costs no pairs. The number of filters follows the number of vectors, so a filter's vectors stay few
+unless they are near each other. A filter of up to SMALL vectors lists its candidates: 128 sign bits drop
+most that are far apart, and the cosine of the rest is taken in double precision. A larger one (a cluster
+of near vectors) is cut into blocks; each pair of blocks is a task's matrix product, which gives numbers
+of links and a spanning forest, never the pairs. Two vectors that share a large filter are counted at the
+least one that they share, and are no candidates elsewhere.
+
+Decoding costs the square root of the number of filters a vector, some 2 ms at 10^9 vectors; more BLOCKS
+would cost less there.
 """
 
 from __future__ import annotations
@@ -19,18 +26,23 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import Scratch, table
+from .common import Scratch, default_partitions, table
 from .components import connected_components
 
 COSINE = 0.98
 BLOCKS = 4
 #: Filters that a vector passes, in expectation, and at least.
-PASSED, LEAST = 24, 8
+PASSED, LEAST = 24, 16
+#: Steps, in deviations of a filter's cosine, by which the threshold of a vector that passes fewer is lowered.
+STEP = 0.2
 SIGN_BITS = 128
+#: Vectors of a filter whose candidates are listed, and of a block of a larger one.
+SMALL, BLOCK = 128, 1024
 
 
 class CapFilters:
@@ -45,6 +57,7 @@ class CapFilters:
         for a, b in zip(self.bounds, self.bounds[1:]):
             code = rng.normal(size=(self.size, b - a)) if b > a else np.zeros((self.size, 0))
             self.codes.append(code / np.maximum(1e-300, np.linalg.norm(code, axis=1, keepdims=True)) / math.sqrt(BLOCKS))
+        self.step = STEP / math.sqrt(dim)
         self.threshold = NormalDist().inv_cdf(1 - PASSED / self.size**BLOCKS) / math.sqrt(dim)
         self.planes = rng.normal(size=(dim, SIGN_BITS))
         #: Bits in which vectors at the cosine differ, and six deviations.
@@ -67,7 +80,7 @@ class CapFilters:
                 counts = pairs - starts
                 if counts.sum() >= min(LEAST, pairs):
                     break
-                need -= 0.02
+                need -= self.step
             within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             out.append(np.repeat(near, counts) * pairs + by_second[np.repeat(starts, counts) + within])
         return out
@@ -104,11 +117,104 @@ def _filter_batches(rows: int):
 @F.arrow_udf(DoubleType())
 def cosine(a: pa.Array, b: pa.Array) -> pa.Array:
     """Of two columns of lists of equal lengths, in double precision."""
-    out = np.empty(len(a))
-    for i, (x, y) in enumerate(zip(a, b)):
-        x, y = np.array(x.values, np.float64), np.array(y.values, np.float64)
-        out[i] = x @ y / math.sqrt((x @ x) * (y @ y))
-    return pa.array(out)
+    x, y = (np.asarray(v.flatten(), np.float64) for v in (a, b))
+    starts = np.concatenate(([0], np.cumsum(pc.list_value_length(a))[:-1])).astype(np.int64) if len(a) else np.zeros(0, np.int64)
+    dot = lambda u, v: np.add.reduceat(u * v, starts) if len(starts) else np.zeros(0)
+    return pa.array(dot(x, y) / np.sqrt(dot(x, x) * dot(y, y)))
+
+
+def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by filter come in, candidates go out: those whose sign bits are near and that share no large filter."""
+    kept: list[list] = []
+
+    def pairs(rows: list[list]) -> pa.RecordBatch:
+        a, b, start = [], [], 0
+        for end in range(1, len(rows) + 1):
+            if end < len(rows) and rows[end][:3] == rows[start][:3]:
+                continue
+            if end - start > 1:
+                reps = np.array([r[3] for r in rows[start:end]])
+                signs = np.array([r[4:6] for r in rows[start:end]], np.int64).view(np.uint64)
+                near = np.bitwise_count(signs[:, None] ^ signs[None]).sum(axis=2, dtype=np.int64) <= rows[start][6]
+                for i, j in zip(*np.nonzero(near & (reps[:, None] < reps[None]))):
+                    wide = rows[start + i][7]
+                    if not wide or not set(wide) & set(rows[start + j][7] or ()):
+                        a.append(reps[i])
+                        b.append(reps[j])
+            start = end
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["rep_a", "rep_b"])
+
+    for batch in batches:
+        rows = kept + [list(r) for r in zip(*(c.to_pylist() for c in batch.columns))]
+        cut = next((i for i in range(len(rows), 0, -1) if rows[i - 1][:3] != rows[-1][:3]), 0)
+        kept = rows[cut:]
+        if cut:
+            yield pairs(rows[:cut])
+    if kept:
+        yield pairs(kept)
+
+
+def _spanning(links: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of a symmetric matrix of links."""
+    left, a, b = np.ones(len(links), bool), [], []
+    for root in range(len(links)):
+        queue = [root] if left[root] else []
+        left[root] = False
+        while queue:
+            top = queue.pop()
+            got = np.flatnonzero(links[top] & left)
+            left[got] = False
+            a += [top] * len(got)
+            b += got.tolist()
+            queue += got.tolist()
+    return a, b
+
+
+def _block_batches(least: float):
+    """Rows sorted by (filter, pair of blocks) come in; (rep, others, None) with links of a vector and
+    (rep, None, to) with edges of a forest go out."""
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        mine = rows[0][2]
+        first, second = rows[0][3], rows[0][4]
+        block = np.array([r[5] for r in rows])
+        reps, weight = np.array([r[6] for r in rows], np.int64), np.array([r[7] for r in rows], np.int64)
+        x = np.array([r[8] for r in rows], np.float64)
+        units = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+        near = units @ units.T >= least
+        np.fill_diagonal(near, False)
+        if first != second:
+            near &= block[:, None] != block[None]  # pairs within a block have a task of their own
+        # A pair is counted at the least large filter that it shares.
+        earlier = sorted({c for r in rows for c in r[9] if c < mine})
+        counted = near
+        if earlier:
+            place = {c: k for k, c in enumerate(earlier)}
+            held = np.zeros((len(rows), len(earlier)), np.float32)
+            for i, r in enumerate(rows):
+                held[i, [place[c] for c in r[9] if c < mine]] = 1
+            counted = near & (held @ held.T == 0)
+        others = counted @ weight
+        a, b = _spanning(near)
+        some = np.flatnonzero(others)
+        none = lambda n: pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([reps[some], reps[a]]).astype(np.int64)), pa.concat_arrays([pa.array(others[some], pa.int64()), none(len(a))]), pa.concat_arrays([none(len(some)), pa.array(reps[b].astype(np.int64))])],
+            ["rep", "others", "to"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if kept and kept[-1][:5] != row[:5]:
+                    yield links(kept)
+                    kept = []
+                kept.append(row)
+        if kept:
+            yield links(kept)
+
+    return run
 
 
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = COSINE, scratch: Scratch | None = None) -> DataFrame:
@@ -117,31 +223,50 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     Vectors link at a cosine of `least` (0.98 or more) within a label. Null labels, null or zero vectors
     and vectors with null or non-finite components link with nothing, vectors of other dimensions neither.
     Repeated rows stay rows and link with each other. Ids should be unique; a null id counts as a link
-    but is never a component's id. An empty table gives no rows; other columns are not read.
+    but is never a component's id. An empty table gives no rows; other columns are not read. Vectors are
+    told apart by 128 bits of hashes.
     """
-    scratch = scratch or Scratch(rows.sparkSession)
+    spark = rows.sparkSession
+    scratch = scratch or Scratch(spark)
     v = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0))  # one zero
     own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(F.forall("v", finite) & F.exists("v", lambda x: x != 0), F.lit(False))
-    keyed = scratch.write(own.withColumn("rep", F.when(good, F.xxhash64("label", F.size("v"), "v"))))
-    reps = scratch.write(keyed.where("rep is not null").groupBy("rep").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least_id")))
-    parts = max(reps.sparkSession.sparkContext.defaultParallelism, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hashed = lambda seed: F.when(good, F.xxhash64(F.lit(seed), "label", F.size("v"), "v"))
+    keyed = scratch.write(own.select("id", "label", "v", hashed(1).alias("h1"), hashed(2).alias("h2")))
+    grouped = keyed.where("h1 is not null").groupBy("h1", "h2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least_id"))
+    reps = scratch.write(grouped.withColumn("rep", F.monotonically_increasing_id()))
+    parts = max(spark.sparkContext.defaultParallelism, default_partitions(spark))
     spread = reps.select("rep", "label", "v").repartition(parts, "rep")
     caps = scratch.write(spread.mapInArrow(_filter_batches(reps.count()), "rep long, label string, dim int, cap long, s1 long, s2 long, most int"))
-    left, right = (caps.select("label", "dim", "cap", *(F.col(c).alias(c + side) for c in ("rep", "s1", "s2", "most"))) for side in ("_a", "_b"))
-    bits = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
-    pairs = left.join(right, ["label", "dim", "cap"]).where((F.col("rep_a") < F.col("rep_b")) & (bits <= F.col("most_a"))).select("rep_a", "rep_b").distinct()
+    cap = ["label", "dim", "cap"]
+    large = scratch.write(caps.groupBy(*cap).agg(F.count("*").alias("vectors")).where(F.col("vectors") > SMALL))
+    within = scratch.write(caps.join(large, cap).select(*cap, "rep", "vectors"))
+    wide = scratch.write(within.groupBy("rep").agg(F.collect_list("cap").alias("wide")))  # the filters of one vector
+
+    listed = caps.join(large, cap, "left_anti").join(wide, "rep", "left").select(*cap, "rep", "s1", "s2", "most", "wide")
+    pairs = listed.repartition(parts, *cap).sortWithinPartitions(*cap).mapInArrow(_pair_batches, "rep_a long, rep_b long").distinct()
     vector = lambda side: reps.select(F.col("rep").alias("rep_" + side), F.col("v").alias("v_" + side), F.col("n").alias("n_" + side))
     links = scratch.write(pairs.join(vector("a"), "rep_a").join(vector("b"), "rep_b").where(cosine("v_a", "v_b") >= least).select("rep_a", "rep_b", "n_a", "n_b"))
-    ends = links.select(F.col("rep_a").alias("rep"), F.col("n_b").alias("n")).union(links.select(F.col("rep_b").alias("rep"), F.col("n_a").alias("n")))
+
+    blocks = F.ceil(F.col("vectors") / BLOCK).cast("long")
+    cut = within.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    each = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = each.select(*cap, F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "rep")
+    filled = placed.join(reps.select("rep", "n", "v"), "rep").join(wide, "rep").select(*cap, "first", "second", "block", "rep", "n", "v", "wide")
+    group = [*cap, "first", "second"]
+    found = scratch.write(filled.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(_block_batches(least), "rep long, others long, to long"))
+    scratch.drop(caps)
+
+    ends = links.select(F.col("rep_a").alias("rep"), F.col("n_b").alias("n")).union(links.select(F.col("rep_b").alias("rep"), F.col("n_a").alias("n"))).union(found.where("others is not null").select("rep", "others"))
     linked = ends.groupBy("rep").agg(F.sum("n").alias("others"))
-    roots = connected_components(links, "rep_a", "rep_b", scratch).withColumnRenamed("node", "rep")
-    rooted = reps.select("rep", "n", "least_id").join(roots, "rep", "left").join(linked, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    edges = links.select("rep_a", "rep_b").union(found.where("to is not null").select("rep", "to"))
+    roots = connected_components(edges, "rep_a", "rep_b", scratch).withColumnRenamed("node", "rep")
+    rooted = reps.select("rep", "h1", "h2", "n", "least_id").join(roots, "rep", "left").join(linked, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("rep", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    out = keyed.select("id", "rep").join(named, "rep", "left").select(
-        "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+    named = rooted.join(ids, "root").select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    out = keyed.select("id", "h1", "h2").join(named, ["h1", "h2"], "left").select(
+        "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     )
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, default_partitions, packed, row_hash, table, unpacked
+from .common import Scratch, default_partitions, table
 from .components import connected_components
 
 SEED = 42
@@ -40,22 +40,31 @@ SMALL = 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The 64 bits as an unsigned number; zero for null text or no word."""
+def shingle_hashes(text: bytes | None, shingle: int) -> bytes:
+    """The XXH64 of each shingle, eight bytes each, the highest first; nothing for null text or no word."""
     words = text.lower().split() if text else []  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return b""
     joined, count = b" ".join(words), max(1, len(words) - shingle + 1)
     if count == 1:
-        hashed = xxhash.xxh64_digest(joined, SEED)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[: count - 1] + 1)).tolist()
-        digest = xxhash.xxh64_digest
-        hashed = b"".join([digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :].tolist())])
+        return xxhash.xxh64_digest(joined, SEED)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[: count - 1] + 1)).tolist()
+    digest = xxhash.xxh64_digest
+    return b"".join([digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :].tolist())])
+
+
+def _majority(hashed: bytes) -> bytes:
+    """Of 64-bit hashes the bits that over half of them have."""
     columns = np.frombuffer(hashed, np.uint8).reshape(-1, 8)
     set_bits = np.concatenate([np.bincount(columns[:, k], minlength=256) @ _BITS for k in range(8)])
-    return int.from_bytes(np.packbits(2 * set_bits > count).tobytes(), "big")
+    return np.packbits(2 * set_bits > len(columns)).tobytes()
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The 64 bits as an unsigned number; zero for null text or no word."""
+    hashed = shingle_hashes(text, shingle)
+    return int.from_bytes(_majority(hashed), "big") if hashed else 0
 
 
 def _fingerprint_batches(shingle: int):
@@ -211,20 +220,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
-
-
-def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the row with the smallest (id, text hash) stays, once.
-
-    The operator's own four-word shingles and bits. Rows are told apart by id and text, so another text
-    under the same id is a row of its own. A group's rows without an id cannot be named: of these too
-    one stays, that of the smallest text hash, beside the named one.
-    """
-    scratch = Scratch(spark)
-    rows, named = _components(docs.select("doc_id", "text"), "doc_id", "text", SHINGLE, scratch)
-    first = rows.join(named, "fp").groupBy("root", F.col("id").isNull()).agg(F.min(F.struct("id", "text_hash")).alias("first"))
-    keep = scratch.write(first.select("first.id", "first.text_hash").distinct())
-    hashed = packed(docs, doc=F.col("doc_id").cast("long"), text_hash=F.xxhash64("text"), order=row_hash(docs))
-    left = hashed.join(keep, hashed["doc"].eqNullSafe(keep["id"]) & (hashed["text_hash"] == keep["text_hash"]), "left_semi")
-    # Repeats of the row that stays may differ in other columns; the choice must not hang on the layout.
-    return unpacked(left.groupBy("doc", "text_hash").agg(F.min_by("row", "order").alias("row")))

@@ -37,3 +37,19 @@ def test_counts_are_the_librarys_on_the_public_vocabulary(spark, monkeypatch):
         want.append((i, len(words), sum(len(library.encode(SPACE + w, add_special_tokens=False).ids) for w in words)))
     assert got == sorted(want, key=str)
     assert token_counts(df.limit(0)).count() == 0
+
+
+def test_a_long_word_takes_no_more_memory(spark):
+    import tracemalloc
+
+    vocabulary = unigram_vocabulary(PATH)
+    own, library = Counter(vocabulary), Tokenizer(Unigram(vocabulary, unk_id=0, byte_fallback=False))
+    rng = random.Random(3)
+    for word in ("".join(rng.choice("theandof日é0x") for _ in range(60_000)), "a" * 5_000):
+        assert own.pieces(SPACE + word) == len(library.encode(SPACE + word, add_special_tokens=False).ids)
+    word = "".join(rng.choice("abcdefgh") for _ in range(1_000)) * 1_000
+    tracemalloc.start()
+    assert own.pieces(word) > 100_000
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+    assert token_counts(spark.createDataFrame([(1, word)], "doc_id long, text string")).first().n_words == 1

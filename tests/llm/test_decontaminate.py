@@ -1,4 +1,10 @@
+import random
+import re
+
+import regex
+
 from bytelode.llm import decontaminate
+from bytelode.llm import decontaminate as d
 from bytelode.llm.decontaminate import contaminated_pairs, drop_contaminated
 
 DOCS = "doc_id long, text string, item_id long, words string"
@@ -55,3 +61,113 @@ def test_stage_finds_short_and_literal_poor_items(spark, tmp_path):
     sums = "12 + 35 * 7 = 257 and 3 km 4 km"
     docs = [(1, "so this is not two words either"), (2, f"before it {sums} after it"), (3, f"before it {sums.replace('35', '36')} after it"), (4, "two other words"), (5, "2 plus 2 makes a four"), (6, "")]
     assert stage_keeps(spark, tmp_path, docs, [(1, "Two words!"), (2, sums), (3, "2 plus 2"), (None, None), (4, "?")]) == [3, 4, 6]
+
+
+PUNCTUATION = rf"[^\p{{L}}\p{{M}}\p{{N}}{d.NAME}-{d.UNIT}\x20\x09-\x0D]+"
+
+
+def plain_words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", regex.sub(PUNCTUATION, "", text.lower())) if w]
+
+
+def plain_template(text):
+    text = regex.sub(r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+", d.NAME, text)
+    text = regex.sub(r"\p{N}+(?:[.,]\p{N}+)*", d.NUMBER, text).lower()
+    text = regex.sub(rf"{d.NUMBER}( ?)(?:{'|'.join(d.UNITS)})(?=[^\p{{L}}]|$)", rf"{d.NUMBER}\1{d.UNIT}", text)
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", regex.sub(PUNCTUATION, "", text)) if w]
+
+
+def plain_windows(words):
+    return [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+
+
+def plain_pairs(docs, items):
+    """Items found in documents, by hand: at least 0.8 of the windows on alignments without a torn slot."""
+    slot = lambda w: any(c in w for c in (d.NAME, d.NUMBER, d.UNIT))
+    out = set()
+    for i, text in docs:
+        words, template = plain_words(text), plain_template(text)
+        assert len(words) == len(template)
+        spots = {}
+        for at, run in enumerate(plain_windows(template)):
+            spots.setdefault(run, []).append(at)
+        for k, item in items:
+            asked, form = plain_words(item), plain_template(item)
+            wanted = {at: run for at, run in enumerate(plain_windows(form)) if sum(not slot(w) for w in run) >= min(2, len(run))}
+            hits = {(at, p - at) for at, run in wanted.items() for p in spots.get(run, ())}
+            covered = lambda hits: {at for at, _ in hits} if wanted and len({at for at, _ in hits}) >= 0.8 * len(wanted) else None
+            if covered(hits) is None:
+                continue
+            if any(slot(w) for at, _ in hits for w in wanted[at]):
+                torn = set()
+                for shift in {s for _, s in hits}:
+                    values = {}
+                    for at in (a for a, s in hits if s == shift):
+                        for x in range(at, min(at + 5, len(form))):
+                            if slot(form[x]) and x + shift < len(words):
+                                values.setdefault(asked[x], set()).add(words[x + shift])
+                    if any(len(v) > 1 for v in values.values()):
+                        torn.add(shift)
+                hits = {h for h in hits if h[1] not in torn}
+            if covered(hits) is not None:
+                out.add((i, k, len(covered(hits)), len(wanted)))
+    return out
+
+
+NAMES, THINGS = ["Alice", "Robert", "Carol", "Dennis", "Émile", "Wendy"], ["apples", "pears", "coins", "stamps"]
+
+
+def generated():
+    rng = random.Random(12)
+
+    def question(a, b, x, y, thing, unit):
+        return f"On Monday {a} has {x} {thing} and gives {b} {y} {thing}, so {a} walks {x} {unit} and keeps the rest of the {x} {thing} while {b}, with {y} {thing}, walks {y} {unit} home again."
+
+    items, docs = [], []
+    for k in range(8):
+        a, b = rng.sample(NAMES, 2)
+        items.append((k, question(a, b, rng.randint(10, 99), rng.randint(2, 9), rng.choice(THINGS), rng.choice(["km", "miles"]))))
+    for i in range(60):
+        a, b = rng.sample(NAMES, 2)
+        x, y, thing = rng.randint(10, 99), rng.randint(2, 9), rng.choice(THINGS)
+        text = question(a, b, x, y, thing, rng.choice(["km", "m", "miles"]))
+        kind = i % 6
+        if kind == 1:  # a number, or a name, that does not stay what it was
+            text = text[::-1].replace(str(x)[::-1], str(x + 1)[::-1], 1)[::-1]
+        elif kind == 2:
+            text = text.replace(f"so {a}", f"so {rng.choice([n for n in NAMES if n not in (a, b)])}")
+        elif kind == 3:  # two alignments in one document, one of them torn
+            text = text.replace(f"so {a}", "so Nobody") + " " + question(a, b, x, y, thing, "km")
+        elif kind == 4:  # a part only
+            text = " ".join(text.split()[: rng.randint(20, 36)])
+        docs.append((i, f"Before it\n{text} and after it" if i % 2 else text))
+    return docs, items + [(20, "12 7 9"), (21, "two words")]
+
+
+def test_slots_are_checked_as_by_hand_and_in_sql(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    docs, items = generated()
+    want = plain_pairs(docs, items)
+    spark.createDataFrame([(i, t, 0, "") for i, t in docs], DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t, 0) for i, t in items], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = lambda: {(r.doc_id, r.item_id, r.n_matched, r.n_windows) for r in d.op9_template_decontamination(spark, str(tmp_path)).collect()}
+    assert found() == want
+    torn = {i for i, _ in docs if i % 6 in (1, 2)}
+    assert {i for i, *_ in want} & {i for i, _ in docs if i % 6 in (0, 3, 5)} and not {i for i, *_ in want} & torn
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.sql(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    rows = con.sql(f"select doc_id, item_id, n_matched, n_windows from ({d.OP9_SQL})").fetchall()
+    assert set(rows) == want and len(rows) == len(want)
+    monkeypatch.setattr(d, "BROADCAST_WINDOWS", 0)
+    assert found() == want
+    monkeypatch.setattr(d, "BROADCAST_HASHES", 0)
+    assert found() == want
+
+
+def test_stage_with_clashing_names(spark, tmp_path):
+    spark.createDataFrame([(1, ITEM, 0)], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, COPY, 7, 8, 9), (2, "clean", 7, 8, 9)], "doc_id long, text string, _id long, _hash long, text_hash long")
+    kept = drop_contaminated(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "clean", 7, 8, 9)]

@@ -1,5 +1,11 @@
+import math
 import random
+import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from bytelode.llm import language
 from bytelode.llm.language import drop_undetermined, has_letter, identify, learn, windows
 
 SCHEMA = "doc_id long, text string, lang string, lang_pred string, found string"
@@ -50,3 +56,64 @@ def test_stage_keeps_texts_where_nothing_can_be_learned(spark):
     bare = spark.createDataFrame([(1, "some text", None, "", ""), (2, "łódź", None, "", ""), (3, "12 !", None, "", ""), (4, None, None, "", "")], SCHEMA)
     kept = drop_undetermined(spark, bare, "")
     assert kept.columns == bare.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
+def test_network_is_the_convolution_by_hand():
+    rng = np.random.default_rng(4)
+    net = language.train(rng.integers(0, 256, (40, 259)).astype(np.uint8), rng.integers(0, 3, 40), ["a", "b", "c"], epochs=1)
+    for text in (b"", b"Short", bytes(rng.integers(1, 256, 700).astype(np.uint8)), b"ab" * 300):
+        held, totals = [], np.zeros(3)
+        for at in range(0, max(1, len(text)), 256):
+            lower = [b + 32 if 65 <= b <= 90 else b for b in text]
+            seen = (lower[at : at + 259] + [0] * 259)[:259]
+            best = [-math.inf] * 48
+            for place in range(256):
+                for f in range(48):
+                    width = (2, 3, 4)[f // 16]
+                    value = sum(float(net.embed[seen[place + k], e]) * float(net.filters[k * 8 + e, f]) for k in range(width) for e in range(8))
+                    best[f] = max(best[f], value)
+            hidden = [max(0.0, b + float(net.bias[f])) for f, b in enumerate(best)]
+            logits = [sum(h * float(net.out[f, c]) for f, h in enumerate(hidden)) + float(net.out_bias[c]) for c in range(3)]
+            odds = [math.exp(x - max(logits)) for x in logits]
+            n = len(text[at : at + 256])
+            held.append(n)
+            totals += n * np.array(odds) / sum(odds)
+        if not text:
+            continue
+        want = totals / sum(held)
+        if not language.has_letter(text):
+            continue
+        (lang, score), = language.predict(net, [text])
+        assert lang == net.langs[int(want.argmax())] and abs(score - want.max()) < 1e-4
+
+
+def test_training_follows_the_gradient():
+    """The loss falls along the step taken, and a narrow filter's unused rows stay zero."""
+    rng = np.random.default_rng(5)
+    wins = rng.integers(97, 110, (60, 259)).astype(np.uint8)
+    labels = (wins[:, 10] % 2).astype(int)
+    wins[labels == 1, 20:23] = np.frombuffer(b"xyz", np.uint8)
+    loss = lambda net: -np.log(net.probabilities(wins)[np.arange(60), labels]).mean()
+    short, long = (language.train(wins, labels, ["a", "b"], epochs=n) for n in (1, 40))
+    assert loss(long) < 0.1 < loss(short)
+    assert not long.filters[16:, :16].any() and not long.filters[24:, 16:32].any() and not long.embed[0].any()
+
+
+def test_windows_are_drawn_from_whole_texts(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(language, "train", lambda wins, labels, langs: taken.append((wins, labels, langs)))
+    words = " ".join(f"{i:06d}word" for i in range(20_000))
+    df = spark.createDataFrame([(1, words, "xx"), (3, "short text", "yy"), (None, words, "xx")], "doc_id long, text string, lang string")
+    learn(df, per_lang=100)
+    wins, labels, langs = taken[0]
+    assert langs == ["xx", "yy"] and 60 < (labels == 0).sum() < 140 and (labels == 1).sum() == 1
+    places = sorted(int(re.search(rb"(\d{6})word", w.tobytes())[1]) for w in wins[labels == 0])
+    assert places[0] < 1500 and places[-1] > 18_500
+
+
+def test_stage_rejects_what_is_no_language(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t, i, i) for i, t in enumerate(["thing", "żółć", "both of them", None, "12"])], "doc_id long, text string, found long, row long")
+    monkeypatch.setattr(language, "learn", lambda docs: language.ByteNet(["a"], *[None] * 5))
+    monkeypatch.setattr(language, "language", lambda text, net: F.when(text.isNull() | (text == "12"), F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))).otherwise(F.struct(F.lit("a").alias("lang_pred"), F.when(text.startswith("both"), 0.4).otherwise(0.5).alias("score"))))
+    kept = drop_undetermined(spark, df, "")
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1]

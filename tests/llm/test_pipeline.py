@@ -72,3 +72,25 @@ def test_stages_take_effect_and_run_is_what_they_give(spark, tmp_path):
         start += n
     assert [r[0] for r in got] == ids[4]
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(got)
+
+
+def write(spark, folder, rows, **extra):
+    schema = DOCS + "".join(f", {name} long" for name in extra)
+    spark.createDataFrame([(*r, *extra.values()) for r in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_run_without_labels_with_repeated_ids_and_clashing_names(spark, tmp_path):
+    words = [" ".join(f"{a}{chr(97 + k)}{chr(97 + j % 26)}" for j in range(40)) for k, a in enumerate("qwertyuiop")]
+    data = [(1, words[0], None, "s", 1), (1, words[1], None, "s", 1), (1, words[1], None, "s", 1), (None, words[2], None, None, None), (2, f"{words[3]} {ITEM}", None, "s", 1), (3, None, None, "s", 1), (3, "", None, None, 1)]
+    names = dict.fromkeys("row doc order text_hash row_hash own_hash key found _id _hash _text _of _copy id".split(), 5)
+    write(spark, tmp_path, data, **names)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    size = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
+    assert {(r.doc_id, r.n_tokens) for r in got} <= {(1, size(words[0])), (1, size(words[1])), (None, size(words[2]))} and len(got) > 0
+
+
+def test_run_of_nothing(spark, tmp_path):
+    write(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

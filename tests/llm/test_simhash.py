@@ -6,7 +6,8 @@ import xxhash
 from bytelode.llm import simhash
 from bytelode.llm.common import Scratch
 from bytelode.llm.components import connected_components
-from bytelode.llm.simhash import fingerprint, fingerprint_links, keep_one_of_each, near_duplicates
+from bytelode.llm.nearcopies import keep_one_of_each
+from bytelode.llm.simhash import fingerprint, fingerprint_links, near_duplicates
 
 SCHEMA = "doc_id long, text string, fp string, root long"
 
