@@ -9,7 +9,7 @@ are integers, or of whatever type the DataFrame or mapping that names the patter
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StringType
 
 from ..functions.bytes import as_bytes, ascii_lower, byte_text, has_border, holds, literal_occurrences
-from ..plans.patterns import FEW, Patterns, parts, pattern_list
+from ..plans.patterns import FEW, FOLD, Patterns, parts, pattern_list
 
 #: Rows that a Python task sends at once.
 SEND = 1_000_000
@@ -68,14 +68,14 @@ class _Names:
         return named.select(*(F.col("_name").alias(c) if c == "pattern_id" else F.col(c) for c in found.columns))
 
 
-def _automaton(wanted: list[tuple], encoding: str):
+def _automaton(wanted: list[tuple]):
     ids: dict[bytes, list[int]] = {}
     for i, p in wanted:
         if p and b"\0" not in p:
             ids.setdefault(p, []).append(i)
     found = ahocorasick.Automaton()
     for p, of in ids.items():
-        found.add_word(p.decode(encoding), (len(p.decode(encoding)), of))
+        found.add_word(p.decode("latin-1"), (len(p), of))
     if ids:
         found.make_automaton()
     return found
@@ -85,11 +85,11 @@ def _automaton(wanted: list[tuple], encoding: str):
 _built: dict[str, object] = {}
 
 
-def _automaton_of(key: str, sent, encoding: str):
+def _automaton_of(key: str, sent):
     if key not in _built:
         while len(_built) > 3:
             _built.pop(next(iter(_built)))
-        _built[key] = _automaton(sent.value, encoding)
+        _built[key] = _automaton(sent.value)
     return _built[key]
 
 
@@ -136,19 +136,24 @@ class _Rows:
         return out
 
 
-def _scan(spark: SparkSession, wanted: list[tuple], places: bool, encoding: str):
-    """Rows of (id, pattern_id, place) or, without places, of counts, from one pass over each text."""
+def _as_text(data: bytes, ci: bool) -> str:
+    """A character for each byte."""
+    return (data.translate(FOLD) if ci else data).decode("latin-1")
+
+
+def _scan(spark: SparkSession, wanted: list[tuple], places: bool, ci: bool):
+    """Rows of (id, pattern_id, place) or, without places, of counts, from one pass over each text's bytes."""
     key, sent = _sent(spark, wanted)
     few = len(wanted) <= FEW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = [i for i, p in sent.value if not p]
-        single = [(i, p.decode(encoding)) for i, p in sent.value if b"\0" not in p] if few and places else None
-        automaton = _automaton_of(key, sent, encoding) if single is None else None
+        single = [(i, p.decode("latin-1")) for i, p in sent.value if b"\0" not in p] if few and places else None
+        automaton = _automaton_of(key, sent) if single is None else None
         for batch in batches:
             out = _Rows()
             for row, text in enumerate(batch.column(1)):
-                text = text.as_py()
+                text = _as_text(text.as_py(), ci)
                 if single is not None:
                     for i, p in single:
                         out.add(row, i, _places(text, p))
@@ -165,7 +170,7 @@ def _scan(spark: SparkSession, wanted: list[tuple], places: bool, encoding: str)
                             for i in of:
                                 n[i] = n.get(i, 0) + 1
                     for i in empty:
-                        n[i] = len(text if encoding == "latin-1" else text.encode()) + 1
+                        n[i] = len(text) + 1
                     if n:
                         out.add(row, list(n), list(n.values()))
                 if out.n > SEND:
@@ -175,9 +180,10 @@ def _scan(spark: SparkSession, wanted: list[tuple], places: bool, encoding: str)
     return run
 
 
-def _scanned(texts: DataFrame, wanted: list[tuple], places: bool, id_col: str, name: str, encoding: str = "latin-1") -> DataFrame:
+def _scanned(docs: DataFrame, wanted: list[tuple], places: bool, ci: bool, id_col: str, text_col: str, name: str) -> DataFrame:
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), as_bytes(F.col(text_col)).alias("text"))
     kind = texts.schema[id_col].dataType.simpleString()
-    scans = (texts.mapInArrow(_scan(texts.sparkSession, part, places, encoding), f"id {kind}, pattern_id long, value long") for part in parts(wanted))
+    scans = (texts.mapInArrow(_scan(texts.sparkSession, part, places, ci), f"id {kind}, pattern_id long, value long") for part in parts(wanted))
     return reduce(DataFrame.union, scans).select(F.col("id").alias(id_col), "pattern_id", F.col("value").alias(name))
 
 
@@ -189,7 +195,7 @@ def count(docs: DataFrame, patterns: Patterns, ci: bool = False, id_col: str = "
     if not names.wanted:
         return names.back(texts.select(id_col, F.lit(0).cast("long").alias("pattern_id"), F.lit(0).cast("long").alias("n_matches")).limit(0))
     if len(names.wanted) > FEW:
-        return names.back(_scanned(texts, names.wanted, False, id_col, "n_matches", encoding))
+        return names.back(_scanned(docs, names.wanted, False, ci, id_col, text_col, "n_matches"))
     found = texts.select(id_col, F.explode(_each(names.wanted, lambda p: literal_occurrences(F.col("text"), p, encoding))).alias("m"))
     return names.back(found.where("m.value > 0").select(id_col, "m.pattern_id", F.col("m.value").alias("n_matches")))
 
@@ -212,38 +218,36 @@ def contains(docs: DataFrame, patterns: Patterns, ci: bool = False, how: str = "
     if how == "pairs":
         texts = _texts(docs, id_col, text_col, ci, encoding)
         if len(wanted) > FEW:
-            return names.back(_scanned(texts, wanted, False, id_col, "n", encoding).drop("n"))
+            return names.back(_scanned(docs, wanted, False, ci, id_col, text_col, "n").drop("n"))
         each = _each(wanted, lambda p: holds(F.col("text"), F.lit(p.decode(encoding)))) if wanted else F.array().cast("array<struct<pattern_id:bigint,value:boolean>>")
         return names.back(texts.select(id_col, F.explode(each).alias("m")).where("m.value").select(id_col, "m.pattern_id"))
     if how not in ("semi", "anti"):
         raise ValueError("how is pairs, semi or anti")
     # One look-up for each text that stops at the first hit; no join.
-    text = F.col(text_col) if encoding == "utf-8" else byte_text(F.col(text_col))
-    text = ascii_lower(text) if ci else text
-    found = reduce(Column.__or__, (_any(docs.sparkSession, part, encoding)(text) for part in parts(wanted)))
+    found = reduce(Column.__or__, (_any(docs.sparkSession, part, F.col(text_col), encoding, ci) for part in parts(wanted)))
     return docs.where(found if how == "semi" else ~found)
 
 
-def _any(spark: SparkSession, wanted: list[tuple], encoding: str):
+def _any(spark: SparkSession, wanted: list[tuple], text: Column, encoding: str, ci: bool) -> Column:
     if len(wanted) <= FEW:
-        return lambda text: F.coalesce(reduce(Column.__or__, (holds(text, F.lit(p.decode(encoding))) for _, p in wanted), F.lit(False)), F.lit(False))
+        own = text if encoding == "utf-8" else byte_text(text)
+        own = ascii_lower(own) if ci else own
+        return F.coalesce(reduce(Column.__or__, (holds(own, F.lit(p.decode(encoding))) for _, p in wanted), F.lit(False)), F.lit(False))
     key, sent = _sent(spark, wanted)
 
-    def held(texts: Iterable) -> list[bool]:
-        automaton, always = _automaton_of(key, sent, encoding), any(not p for _, p in sent.value)
-        return [t is not None and (always or (len(automaton) > 0 and next(automaton.iter(t), None) is not None)) for t in texts]
-
     @F.arrow_udf("boolean")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array(held(texts.to_pylist()), pa.bool_())
+        automaton, always = _automaton_of(key, sent), any(not p for _, p in sent.value)
+        found = (t is not None and (always or (len(automaton) > 0 and next(automaton.iter(_as_text(t, ci)), None) is not None)) for t in texts.to_pylist())
+        return pa.array(list(found), pa.bool_())
 
-    return of
+    return of(as_bytes(text))
 
 
 def locate(docs: DataFrame, patterns: Patterns, ci: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pattern_id, pos): a row for each occurrence, overlapping ones too."""
     names = _Names(docs.sparkSession, patterns, ci)
-    return names.back(_scanned(_texts(docs, id_col, text_col, ci), names.wanted, True, id_col, "pos"))
+    return names.back(_scanned(docs, names.wanted, True, ci, id_col, text_col, "pos"))
 
 
 def locate_all(docs: DataFrame, patterns: Patterns, ci: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

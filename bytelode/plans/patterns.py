@@ -13,7 +13,8 @@ MOST_PATTERNS = 100_000
 #: Up to so many patterns are counted by Spark expressions, more by one pass over each text for all.
 FEW = 8
 KEY_BYTES = 8
-_FOLD = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
+#: A-Z to a-z, as a table of bytes.
+FOLD = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
 Patterns = DataFrame | Mapping | Iterable
 
@@ -32,7 +33,7 @@ def pattern_list(patterns: Patterns, ci: bool = False) -> list[tuple]:
     else:
         found = list(enumerate(patterns))
     out = [(i, p.encode() if isinstance(p, str) else bytes(p)) for i, p in found if p is not None]
-    return [(i, p.translate(_FOLD)) for i, p in out] if ci else out
+    return [(i, p.translate(FOLD)) for i, p in out] if ci else out
 
 
 def pattern_table(spark: SparkSession, patterns: Patterns, ci: bool = False) -> DataFrame:

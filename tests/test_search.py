@@ -149,3 +149,12 @@ def test_columns_that_clash(spark):
     docs = spark.createDataFrame([(1, "ab", 5, 6, 7)], "doc_id long, text string, _key long, m long, pattern_id long")
     assert [tuple(r) for r in search.total_counts(docs, ["a"], by=["_key", "m"]).collect()] == [(5, 6, 0, 1)]
     assert search.contains(docs, ["a"], how="semi").columns == docs.columns and search.count(docs, ["b"]).count() == 1
+
+
+def test_strings_that_are_not_utf8(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"a\xffb a\xff")), (2, bytearray("é".encode()))], "doc_id long, b binary").select("doc_id", F.expr("cast(b as string)").alias("text"))
+    for patterns in (["a", "b", "é"], [*"abcdefghij", "é"]):
+        got = {(r.doc_id, patterns[r.pattern_id]): r.n_matches for r in search.count(docs, patterns).collect()}
+        assert got == {(1, "a"): 2, (1, "b"): 1, (2, "é"): 1}
+    assert {tuple(r) for r in search.locate(docs, [b"\xff"]).collect()} == {(1, 0, 1), (1, 0, 5)}
+    assert search.contains(docs, ["x"] * 9 + ["a"], how="semi").count() == 1
