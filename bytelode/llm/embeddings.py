@@ -124,34 +124,42 @@ def cosine(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by filter come in, candidates go out: those whose sign bits are near and that share no large filter."""
-    kept: list[list] = []
-
-    def pairs(rows: list[list]) -> pa.RecordBatch:
-        a, b, start = [], [], 0
-        for end in range(1, len(rows) + 1):
-            if end < len(rows) and rows[end][:3] == rows[start][:3]:
-                continue
-            if end - start > 1:
-                reps = np.array([r[3] for r in rows[start:end]])
-                signs = np.array([r[4:6] for r in rows[start:end]], np.int64).view(np.uint64)
-                near = np.bitwise_count(signs[:, None] ^ signs[None]).sum(axis=2, dtype=np.int64) <= rows[start][6]
-                for i, j in zip(*np.nonzero(near & (reps[:, None] < reps[None]))):
-                    wide = rows[start + i][7]
-                    if not wide or not set(wide) & set(rows[start + j][7] or ()):
-                        a.append(reps[i])
-                        b.append(reps[j])
-            start = end
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["rep_a", "rep_b"])
+    """Rows sorted by filter come in, candidates go out: those whose sign bits are near and that share no large filter.
+
+    A filter holds SMALL rows at most, so each row meets the next few by shifts of whole columns.
+    """
+    kept: tuple | None = None
+
+    def pairs(group: np.ndarray, reps: np.ndarray, signs: np.ndarray, most: np.ndarray, wide: np.ndarray) -> pa.RecordBatch:
+        found = []
+        for step in range(1, min(SMALL, len(reps))):
+            at = np.flatnonzero((group[step:] == group[:-step]).all(axis=1))
+            if not len(at):
+                break
+            near = np.bitwise_count(signs[at] ^ signs[at + step]).sum(axis=1, dtype=np.int64) <= most[at]
+            found.append(np.stack([at[near], at[near] + step]))
+        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        elsewhere = [wide[i] is not None and wide[j] is not None and bool(set(wide[i]) & set(wide[j])) for i, j in zip(a, b)]
+        left = ~np.array(elsewhere, bool)
+        a, b = reps[a[left]], reps[b[left]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["rep_a", "rep_b"])
 
     for batch in batches:
-        rows = kept + [list(r) for r in zip(*(c.to_pylist() for c in batch.columns))]
-        cut = next((i for i in range(len(rows), 0, -1) if rows[i - 1][:3] != rows[-1][:3]), 0)
-        kept = rows[cut:]
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]]
+        wide = np.empty(batch.num_rows, object)
+        wide[:] = batch.column(7).to_pylist()
+        rows = np.stack(columns[:3], axis=1), columns[3], np.stack(columns[4:6], axis=1).view(np.uint64), columns[6], wide
+        if kept is not None:
+            rows = tuple(np.concatenate(x) for x in zip(kept, rows))
+        if not len(rows[1]):
+            continue
+        last = np.flatnonzero((rows[0] != rows[0][-1]).any(axis=1))
+        cut = last[-1] + 1 if len(last) else 0
+        kept = tuple(x[cut:] for x in rows)
         if cut:
-            yield pairs(rows[:cut])
-    if kept:
-        yield pairs(kept)
+            yield pairs(*(x[:cut] for x in rows))
+    if kept is not None and len(kept[1]):
+        yield pairs(*kept)
 
 
 def _spanning(links: np.ndarray) -> tuple[list[int], list[int]]:
@@ -244,10 +252,11 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     within = scratch.write(caps.join(large, cap).select(*cap, "rep", "vectors"))
     wide = scratch.write(within.groupBy("rep").agg(F.collect_list("cap").alias("wide")))  # the filters of one vector
 
-    listed = caps.join(large, cap, "left_anti").join(wide, "rep", "left").select(*cap, "rep", "s1", "s2", "most", "wide")
+    # Labels meet by a hash here; that they are equal is told with the vectors.
+    listed = caps.join(large, cap, "left_anti").join(wide, "rep", "left").select(F.xxhash64("label").alias("label"), F.col("dim").cast("long"), "cap", "rep", "s1", "s2", "most", "wide")
     pairs = listed.repartition(parts, *cap).sortWithinPartitions(*cap).mapInArrow(_pair_batches, "rep_a long, rep_b long").distinct()
-    vector = lambda side: reps.select(F.col("rep").alias("rep_" + side), F.col("v").alias("v_" + side), F.col("n").alias("n_" + side))
-    links = scratch.write(pairs.join(vector("a"), "rep_a").join(vector("b"), "rep_b").where(cosine("v_a", "v_b") >= least).select("rep_a", "rep_b", "n_a", "n_b"))
+    vector = lambda side: reps.select(F.col("rep").alias("rep_" + side), F.col("label").alias("label_" + side), F.col("v").alias("v_" + side), F.col("n").alias("n_" + side))
+    links = scratch.write(pairs.join(vector("a"), "rep_a").join(vector("b"), "rep_b").where("label_a = label_b").where(cosine("v_a", "v_b") >= least).select("rep_a", "rep_b", "n_a", "n_b"))
 
     blocks = F.ceil(F.col("vectors") / BLOCK).cast("long")
     cut = within.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))

@@ -20,7 +20,8 @@ def shard_by_size(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
     which the middle of its bytes falls, so a shard misses its target by half of the rows at its two
     ends at most; a row larger than a target can leave a shard empty. Slots count from 0 in each shard.
     Rows are ordered by (id, text checksum, size), null first, so repeated ids have a defined place.
-    Null text has a null checksum. An empty table gives no rows; other columns are not read.
+    Equal texts are not kept together: where a third of the rows share one, shards with near equal bytes
+    could not hold it. Null text has a null checksum. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)

@@ -226,5 +226,8 @@ def op5_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_and_read(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: every row's ids are written and read back."""
+    """Pipeline stage, the last: every row's ids are written and read back.
+
+    Null and empty texts give the end id alone, repeated rows and ids a row each. An empty table gives none.
+    """
     return encode_and_read(docs)
