@@ -29,8 +29,9 @@ EMBED = 8
 #: Labelled windows of a language that are learned from, in expectation.
 PER_LANG = 3000
 UNDETERMINED = "und"
-#: The pipeline takes a text's language as known if the network gives it so much, more than all others together.
-LEAST_SCORE = 0.5
+#: The pipeline takes a text's language as known from this share of the way from chance (equal odds of all
+#: languages) to certainty on. Short texts in a language come down to a seventh of it.
+LEAST_GAIN = 0.1
 #: Windows that go through the network at once.
 BATCH = 64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -211,14 +212,15 @@ def lettered(text: Column) -> Column:
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows stay whose text the network gives a language at LEAST_SCORE or more.
+    """Pipeline stage: rows stay whose text the network gives a language by LEAST_GAIN over chance.
 
-    Null and letterless texts go, and so do texts in which no language has the better part of the
-    probability, of all windows by their bytes. Where no network can be learned (no label, empty table) texts
+    Null and letterless texts go, and so do texts in which all languages are about as likely, over all
+    windows by their bytes. Where no network can be learned (no label, empty table) texts
     with a letter stay. Repeated ids and rows are judged each by their text.
     """
     net = learn(docs)
     if net is None:
         return docs.where(lettered(F.col("text")))
+    chance = 1 / len(net.langs)
     found = packed(docs, found=language(F.col("text"), net))
-    return unpacked(found.where((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= LEAST_SCORE)))
+    return unpacked(found.where((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= chance + LEAST_GAIN * (1 - chance))))

@@ -113,7 +113,7 @@ def test_windows_are_drawn_from_whole_texts(spark, monkeypatch):
 
 def test_stage_rejects_what_is_no_language(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, i, i) for i, t in enumerate(["thing", "żółć", "both of them", None, "12"])], "doc_id long, text string, found long, row long")
-    monkeypatch.setattr(language, "learn", lambda docs: language.ByteNet(["a"], *[None] * 5))
-    monkeypatch.setattr(language, "language", lambda text, net: F.when(text.isNull() | (text == "12"), F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))).otherwise(F.struct(F.lit("a").alias("lang_pred"), F.when(text.startswith("both"), 0.4).otherwise(0.5).alias("score"))))
+    monkeypatch.setattr(language, "learn", lambda docs: language.ByteNet(["a", "b", "c", "d"], *[None] * 5))
+    monkeypatch.setattr(language, "language", lambda text, net: F.when(text.isNull() | (text == "12"), F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))).otherwise(F.struct(F.lit("a").alias("lang_pred"), F.when(text.startswith("both"), 0.32).otherwise(0.33).alias("score"))))
     kept = drop_undetermined(spark, df, "")
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1]
