@@ -34,19 +34,24 @@ def _key(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def common_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def _sized(lines: DataFrame) -> DataFrame:
+    """Hashes to join with: broadcast up to BROADCAST_LINES, so that no line's rows meet in one task."""
+    return F.broadcast(lines) if lines.count() <= BROADCAST_LINES else lines
+
+
+def common_lines(lines: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> DataFrame:
     """(line) hashes that `min_sites` sites or more carry, from (line, site) rows; null sites don't count.
 
     A line has no more sites than rows, so plain counts first leave out the many that are rare.
     """
     sited = lines.where("site is not null")
-    frequent = sited.groupBy("line").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_sites).select("line")
-    few = sited.join(frequent, "line", "left_semi")
-    sketched = few.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("estimate"))
+    frequent = scratch.write(sited.groupBy("line").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_sites).select("line"))
+    few = sited.join(_sized(frequent), "line", "left_semi")
+    sketched = scratch.write(few.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("estimate")))
     sure = sketched.where(F.col("estimate") >= SURE * min_sites).select("line")
     near = sketched.where((F.col("estimate") >= NEAR * min_sites) & (F.col("estimate") < SURE * min_sites)).select("line")
     # A line's sites once each: what a third of all rows carry is a few rows of each task.
-    exact = few.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    exact = sited.join(_sized(near), "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     return sure.union(exact.select("line"))
 
 
@@ -80,7 +85,7 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keys = F.array_compact(F.array_distinct(F.transform(_lines(F.col("text")), _key)))
     slim = scratch.write(own.select("id", "site", F.xxhash64("text").alias("text_hash"), keys.alias("lines")))
     each = slim.select("id", "text_hash", "site", F.explode("lines").alias("line"))
-    common = scratch.write(common_lines(each.select("line", "site"), min_sites))
+    common = scratch.write(common_lines(each.select("line", "site"), scratch, min_sites))
     if common.count() <= BROADCAST_LINES:
         held = np.sort(common.toArrow().column("line").to_numpy())
         found = own.withColumn("keys", keys)
