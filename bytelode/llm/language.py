@@ -212,15 +212,15 @@ def lettered(text: Column) -> Column:
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows stay whose text the network gives a language by LEAST_GAIN over chance.
+    """Pipeline stage: rows stay whose text the network gives a language by LEAST_GAIN over chance, or half of the probability.
 
     Null and letterless texts go, and so do texts in which all languages are about as likely, over all
-    windows by their bytes. Where no network can be learned (no label, empty table) texts
-    with a letter stay. Repeated ids and rows are judged each by their text.
+    windows by their bytes. Of one or two languages the likelier always has half, so texts with a letter
+    stay, as they do where no network can be learned (no label, empty table). Repeated ids and rows are judged each by their text.
     """
     net = learn(docs)
     if net is None:
         return docs.where(lettered(F.col("text")))
     chance = 1 / len(net.langs)
     found = packed(docs, found=language(F.col("text"), net))
-    return unpacked(found.where((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= chance + LEAST_GAIN * (1 - chance))))
+    return unpacked(found.where((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= min(0.5, chance + LEAST_GAIN * (1 - chance)))))
