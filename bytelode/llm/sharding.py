@@ -58,17 +58,21 @@ def op1_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-#: CRC-32 of a blob, byte by byte, from the reversed polynomial.
-_CRC32_SQL = """
+#: The table for CRC-32 byte by byte, from the reversed polynomial.
+CRC32_STEPS = """
 WITH RECURSIVE steps(i, k, v) AS (
   SELECT i, 0, i FROM range(256) r(i)
   UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8
-), crc_table AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
+), crc_table AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8)"""
+_CRC32_SQL = (
+    CRC32_STEPS
+    + """,
 crcs AS (
   SELECT text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h) // 2 + 1), lambda p: ('0x' || substring(h, 2 * p - 1, 2))::BIGINT)),
          lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
   FROM (SELECT text, hex(encode(text)) AS h FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)), crc_table
 )"""
+)
 
 OP1_SQL = (
     _CRC32_SQL
