@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from bytelode.llm.language import has_letter, learn, predict
 from bytelode.llm.mixing import mix
-from bytelode.llm.simhash import fingerprint
+from tests.llm.test_nearcopies import exact_kept
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ITEM = "this very passage of the benchmark has words that no other text has in just such an order"
@@ -48,16 +48,7 @@ def test_stages_take_effect_and_run_is_what_they_give(spark, tmp_path):
     assert ids[1] == sorted(i for i, t in texts.items() if predict(net, [None if t is None else t.encode()])[0][0] != "und")
     assert ids[1] == sorted(i for i, t in texts.items() if t and has_letter(t.encode()))
 
-    prints, left = {i: fingerprint(texts[i].encode()) for i in ids[1]}, []
-    group = {i: i for i in ids[1]}
-    changed = True
-    while changed:
-        changed = False
-        for a in ids[1]:
-            for b in ids[1]:
-                if (prints[a] ^ prints[b]).bit_count() <= 4 and group[b] < group[a]:
-                    group[a], changed = group[b], True
-    left = sorted(i for i in ids[1] if group[i] == i)
+    left = sorted(exact_kept({i: texts[i] for i in ids[1]}))
     assert ids[2] == left and len(left) < len(ids[1])
     assert ids[3] == [i for i in left if ITEM not in texts[i].lower()] and len(ids[3]) < len(left)
 
