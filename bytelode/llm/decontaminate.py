@@ -4,11 +4,15 @@ Names, numbers and units become typed placeholders, so a question with other val
 template. Windows of canonical words are joined by hash with the benchmark's windows; an item is found in
 a document when enough of its windows are there and, where windows hold placeholders, one value of
 the item always stands for one value of the document along an alignment.
+
+Words have three forms: with placeholders where names stand inside a sentence, with placeholders for every capitalised word, and
+plain, so that a copy in capitals is found, too. A window that is the same in all forms goes once.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +72,18 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).dropDuplicates().withColumn("item_hash", F.xxhash64("text"))
 
 
+#: The forms of words: how names are told in the first two; the last is plain.
+_NAMED = (_NAME, _CAPITALISED)
+PLAIN = len(_NAMED)
+
+
+def _plain_windows(items: DataFrame) -> DataFrame:
+    """(form, window, item, item_hash, at, slots) for each window of plain words of items of WINDOW words or more."""
+    worded = items.withColumn("words", plain_words(F.col("text"))).where(F.size("words") >= WINDOW)
+    runs = worded.select("item", "item_hash", F.posexplode(_windows(F.col("words"), lambda w: F.xxhash64(w))).alias("at", "window"))
+    return runs.select(F.lit(PLAIN).alias("form"), "window", "item", "item_hash", "at", F.lit(False).alias("slots"))
+
+
 def _item_windows(items: DataFrame, name: str = _NAME, form: int = 0) -> DataFrame:
     """(form, window, item, item_hash, at, slots) for each looked-for window of each different item row."""
     runs = items.withColumn("words", canonical_words(F.col("text"), name)).select("item", "item_hash", F.posexplode(_windows(F.col("words"), lambda w: w)).alias("at", "run"))
@@ -80,30 +96,20 @@ def _plain_runs(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n))))
 
 
-def _plain_pairs(docs: DataFrame, items: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """(id, text_hash, item, item_hash, n_matched, n_windows) of items found by their words as they stand.
-
-    These are the items that `wanted` cannot find in a longer text: those of fewer than WINDOW words,
-    and those without a window of enough literal words. None where there is no such item.
-    """
-    known = wanted.select(F.col("item").alias("_item"), F.col("item_hash").alias("_item_hash")).distinct()
-    worded = items.select("item", "item_hash", plain_words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    unknown = worded.join(known, F.col("item").eqNullSafe(F.col("_item")) & (F.col("item_hash") == F.col("_item_hash")), "left_anti")
-    rest = worded.where(F.size("words") < WINDOW).union(unknown.where(F.size("words") >= WINDOW))
-    runs = rest.select("item", "item_hash", F.least(F.size("words"), F.lit(WINDOW)).alias("length"), F.posexplode(_windows(F.col("words"), lambda w: F.xxhash64(w))).alias("at", "window"))
-    asked = scratch.write(runs)
-    lengths = {r.length: r.n for r in asked.groupBy("length").agg(F.count("*").alias("n")).collect()}  # WINDOW rows at most
+def _short_pairs(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(id, text_hash, item, item_hash, n_matched, n_windows) of items of fewer than WINDOW words, which are one
+    window and found by their words as they stand. None where there is no such item."""
+    worded = items.select("item", "item_hash", plain_words(F.col("text")).alias("words"))
+    asked = scratch.write(worded.where((F.size("words") > 0) & (F.size("words") < WINDOW)).select("item", "item_hash", F.size("words").alias("length"), F.xxhash64("words").alias("window")))
+    lengths = {r.length: r.n for r in asked.groupBy("length").agg(F.count("*").alias("n")).collect()}  # fewer than WINDOW rows
     if not lengths:
         return None
     sized = F.broadcast(asked) if sum(lengths.values()) <= BROADCAST_WINDOWS else asked
     own = docs.select("id", F.xxhash64("text").alias("text_hash"), plain_words(F.col("text")).alias("words"))
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("length"), F.coalesce(F.array_distinct(_plain_runs(F.col("words"), n)), F.array()).alias("runs")) for n in sorted(lengths))))
     seen = own.select("id", "text_hash", each.alias("e")).select("id", "text_hash", "e.length", F.explode("e.runs").alias("window"))
-    keys = ["item", "item_hash"]
-    got = seen.join(sized, ["length", "window"]).groupBy("id", "text_hash", *keys).agg(F.countDistinct("at").alias("n_matched"))
-    total = asked.groupBy(*keys).agg(F.count("*").alias("n_windows")).select(F.col("item").alias("_item"), F.col("item_hash").alias("_item_hash"), "n_windows")
-    found = got.join(total, F.col("item").eqNullSafe(F.col("_item")) & (F.col("item_hash") == F.col("_item_hash")))
-    return found.where(F.col("n_matched") >= COVERAGE * F.col("n_windows")).select("id", "text_hash", *keys, "n_matched", "n_windows")
+    one = F.lit(1).cast("long")
+    return seen.join(sized, ["length", "window"]).select("id", "text_hash", "item", "item_hash", one.alias("n_matched"), one.alias("n_windows")).distinct()
 
 
 def _consistent(hits: DataFrame, docs: DataFrame, items: DataFrame, name: str = _NAME) -> DataFrame:
@@ -121,68 +127,65 @@ def _consistent(hits: DataFrame, docs: DataFrame, items: DataFrame, name: str =
     return hits.join(torn, same, "left_anti")
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", scratch: Scratch | None = None, whole: bool = False) -> DataFrame:
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(id, text_hash, item, n_matched, n_windows): documents that hold COVERAGE of an item's windows.
 
-    A window is five canonical words; an item of fewer words is one window and is found in documents
-    of just these words. Windows with under two literal words are not looked for, an item without any
-    other is never found. Null and wordless texts match nothing. Repeated rows count once; equal texts
-    under different items give a row for each. The private-use characters that serve as placeholders are
+    A window is five words. Canonical windows meet in one of two forms, one in which names stand inside a sentence and one
+    in which every capitalised word is a name; slots are held against each form by itself, and windows with under two
+    literal words are not looked for. An item is also found by COVERAGE of its windows of plain words, all of which are
+    looked for, and an item of fewer than five words by these words in a row, anywhere in a text. Where both find it, the
+    greater share counts, then the one of more windows. Null and wordless texts match nothing. Repeated rows count once;
+    equal texts under different items give a row for each. The private-use characters that serve as placeholders are
     read as such where a text holds them. Empty tables give no rows; other columns are not read.
-
-    This is what the SQL of op9 states. With `whole`, a window also counts where it meets in a second form
-    in which every capitalised word is a name (slots are held against each form by itself), and items of
-    fewer than five words or without any looked-for window are found by their plain words anywhere in
-    a text. Both only add: what is found without `whole` is found with it.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     items = _items(benchmark, item_col, item_text_col)
-    forms = (_NAME, _CAPITALISED) if whole else (_NAME,)
-    wanted = scratch.write(reduce(DataFrame.union, (_item_windows(items, name, k) for k, name in enumerate(forms))))
+    wanted = scratch.write(reduce(DataFrame.union, (_item_windows(items, name, k) for k, name in enumerate(_NAMED)), _plain_windows(items)))
     asked = wanted.agg(F.count("*").alias("n"), F.coalesce(F.bool_or("slots"), F.lit(False)).alias("slots")).first()
     sized = F.broadcast(wanted) if asked["n"] <= BROADCAST_WINDOWS else wanted
     # The words are a column of their own: inside the lambda they would be made anew for each window.
-    worded = own.select("id", F.xxhash64("text").alias("text_hash"), *(canonical_words(F.col("text"), name).alias(f"words{k}") for k, name in enumerate(forms)))
-    runs = [F.coalesce(_windows(F.col(f"words{k}"), lambda w: F.xxhash64(w)), F.array()) for k in range(len(forms))]
-    if whole:
-        # A window that is the same in both forms goes once, for both.
-        worded = worded.select("id", "text_hash", *(r.alias(f"runs{k}") for k, r in enumerate(runs)))
-        both = F.arrays_zip("runs0", "runs1")
-        seen = worded.select("id", "text_hash", F.posexplode(both).alias("pos", "r")).select("id", "text_hash", "pos", F.explode(F.when(F.col("r.runs0") == F.col("r.runs1"), F.array(F.struct(F.lit(-1).alias("of"), F.col("r.runs0").alias("window")))).otherwise(F.array(F.struct(F.lit(0).alias("of"), F.col("r.runs0").alias("window")), F.struct(F.lit(1).alias("of"), F.col("r.runs1").alias("window"))))).alias("w")).select("id", "text_hash", "pos", "w.of", "w.window")
-    else:
-        seen = worded.select("id", "text_hash", F.posexplode(runs[0]).alias("pos", "window"), F.lit(-1).alias("of"))
+    words = [*(canonical_words(F.col("text"), name) for name in _NAMED), plain_words(F.col("text"))]
+    worded = own.select("id", F.xxhash64("text").alias("text_hash"), *(w.alias(f"words{k}") for k, w in enumerate(words)))
+    runs = [F.coalesce(_windows(F.col(f"words{k}"), lambda w: F.xxhash64(w)), F.array()).alias(f"runs{k}") for k in range(len(words))]
+    # A window that is the same in all forms goes once, for all; `of` has a bit for each form.
+    hashed = [F.col(f"r.runs{k}") for k in range(len(words))]
+    same = reduce(and_, (h == hashed[0] for h in hashed[1:]))
+    one = F.array(F.struct(F.lit((1 << len(words)) - 1).alias("of"), hashed[0].alias("window")))
+    each = F.array(*(F.struct(F.lit(1 << k).alias("of"), h.alias("window")) for k, h in enumerate(hashed)))
+    zipped = worded.select("id", "text_hash", *runs).select("id", "text_hash", F.posexplode(F.arrays_zip(*(f"runs{k}" for k in range(len(words))))).alias("pos", "r"))
+    seen = zipped.select("id", "text_hash", "pos", F.explode(F.when(same, one).otherwise(each)).alias("w")).select("id", "text_hash", "pos", "w.of", "w.window")
     if asked["n"] > BROADCAST_WINDOWS:
         hashes = wanted.select("window").distinct()
         if hashes.count() <= BROADCAST_HASHES:
             seen = seen.join(F.broadcast(hashes), "window", "left_semi")
     place = ["id", "text_hash", "item", "item_hash", "at"]
-    met = seen.join(sized, "window").where("of = -1 or of = form")
+    met = seen.join(sized, "window").where("(of & shiftleft(1, form)) != 0")
     hits = scratch.write(met.groupBy(*place, (F.col("pos") - F.col("at")).alias("shift"), "form", "slots").agg(F.count("*").alias("n")))
-    # Windows of the second form stand at places of the first: they hold as many literals at most.
-    total = wanted.where("form = 0").groupBy("item", "item_hash").agg(F.count("*").alias("n_windows"))
 
-    def covered(found: DataFrame) -> DataFrame:
+    def covered(found: DataFrame, form: int) -> DataFrame:
+        """Of one form's windows; those of the second form stand at places of the first and hold as many literals at most."""
         got = found.groupBy("id", "text_hash", "item", "item_hash").agg(F.countDistinct("at").alias("n_matched"), F.bool_or("slots").alias("slots"))
-        per = total.select(F.col("item").alias("_item"), F.col("item_hash").alias("_item_hash"), "n_windows")
+        per = wanted.where(F.col("form") == form).groupBy(F.col("item").alias("_item"), F.col("item_hash").alias("_item_hash")).agg(F.count("*").alias("n_windows"))
         return got.join(per, F.col("item").eqNullSafe(F.col("_item")) & (F.col("item_hash") == F.col("_item_hash"))).where(F.col("n_matched") >= COVERAGE * F.col("n_windows")).drop("_item", "_item_hash")
 
-    pairs = covered(hits)
+    pairs = covered(hits.where(F.col("form") < PLAIN), 0)
     if asked["slots"]:
         pairs = scratch.write(pairs)
         doubtful = pairs.where("slots").select("id", "text_hash", "item", "item_hash")
         keys = doubtful.columns
-        of = lambda df, kind: hits.join(df, [hits[c].eqNullSafe(df[c]) for c in keys], kind)
+        held = hits.where(F.col("form") < PLAIN).join(doubtful, [hits[c].eqNullSafe(doubtful[c]) for c in keys], "left_semi")
         texts = doubtful.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
         few = own.join(texts, F.col("id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_semi")
-        held = of(doubtful, "left_semi")
-        sound = reduce(DataFrame.union, (_consistent(held.where(F.col("form") == k), few, items, name) for k, name in enumerate(forms)))
-        pairs = pairs.where("not slots").union(covered(sound))
-    pairs = pairs.select("id", "text_hash", "item", "item_hash", "n_matched", "n_windows")
-    plain = _plain_pairs(own, items, wanted, scratch) if whole else None
-    if plain is not None:
-        pairs = pairs.union(plain).groupBy("id", "text_hash", "item", "item_hash").agg(F.max_by(F.struct("n_matched", "n_windows"), F.col("n_matched") / F.col("n_windows")).alias("m")).select("id", "text_hash", "item", "m.n_matched", "m.n_windows")
-    return pairs.select(F.col("id").alias(id_col), "text_hash", F.col("item").alias(item_col), "n_matched", "n_windows")
+        sound = reduce(DataFrame.union, (_consistent(held.where(F.col("form") == k), few, items, name) for k, name in enumerate(_NAMED)))
+        pairs = pairs.where("not slots").union(covered(sound, 0))
+    names = ["id", "text_hash", "item", "item_hash", "n_matched", "n_windows"]
+    pairs = pairs.select(names).union(covered(hits.where(F.col("form") == PLAIN), PLAIN).select(names))
+    short = _short_pairs(own, items, scratch)
+    pairs = pairs if short is None else pairs.union(short)
+    best = F.max(F.struct((F.col("n_matched") / F.col("n_windows")).alias("share"), "n_windows", "n_matched")).alias("m")
+    found = pairs.groupBy("id", "text_hash", "item", "item_hash").agg(best)
+    return found.select(F.col("id").alias(id_col), "text_hash", F.col("item").alias(item_col), "m.n_matched", "m.n_windows")
 
 
 def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,37 +200,47 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     together. An empty table or benchmark takes nothing away.
     """
     scratch = Scratch(spark)
-    bad = scratch.write(contaminated_pairs(docs, table(spark, sf_dir, "benchmark"), scratch=scratch, whole=True).select("doc_id", "text_hash").distinct())
+    bad = scratch.write(contaminated_pairs(docs, table(spark, sf_dir, "benchmark"), scratch=scratch).select("doc_id", "text_hash").distinct())
     own = packed(docs, doc=F.col("doc_id"), own_hash=F.xxhash64("text"))
     return unpacked(own.join(bad, own["doc"].eqNullSafe(bad["doc_id"]) & (own["own_hash"] == bad["text_hash"]), "left_anti"))
 
 
+_SQL_CLEAN = rf"list_filter(string_split_regex(regexp_replace({{}}, '[^\p{{{{L}}}}\p{{{{M}}}}\p{{{{N}}}}{NAME}-{UNIT}\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 OP9_SQL = rf"""
 WITH source AS (
   SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT DISTINCT 'b', item_id, text FROM benchmark WHERE text IS NOT NULL
 ), spaced AS (SELECT side, id, text, string_split(text, ' ') AS e FROM source),
 named AS (
-  SELECT side, id, text, array_to_string(list_transform(range(1, len(e) + 1), lambda i: CASE
+  SELECT side, 0 AS form, id, array_to_string(list_transform(range(1, len(e) + 1), lambda i: CASE
     WHEN i > 1 AND regexp_matches(e[i], '^\p{{Lu}}\p{{Ll}}+') AND regexp_matches(e[i - 1], '[\p{{L}}\p{{N}},;]$') THEN regexp_replace(e[i], '^\p{{Lu}}\p{{Ll}}+', '{NAME}') ELSE e[i] END), ' ') AS t FROM spaced
-), canonical AS (
-  SELECT side, id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS plain, list_filter(string_split_regex(regexp_replace(regexp_replace(lower(regexp_replace(t, '\p{{N}}+(?:[.,]\p{{N}}+)*', '{NUMBER}', 'g')),
-    '{NUMBER}( ?)(?:{'|'.join(UNITS)})([^\p{{L}}]|$)', '{NUMBER}\1{UNIT}\2', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM named
+  UNION ALL SELECT side, 1, id, regexp_replace(text, '(^|[^\p{{L}}\p{{M}}\p{{N}}])\p{{Lu}}\p{{Ll}}+', '\1{NAME}', 'g') FROM source
+), plain AS (SELECT side, id, {_SQL_CLEAN.format("lower(text)")} AS w FROM source),
+canonical AS (
+  SELECT side, form, id, {_SQL_CLEAN.format(f"regexp_replace(lower(regexp_replace(t, '{_NUMBER}', '{NUMBER}', 'g')), '{_UNIT}', '{NUMBER}" + chr(92) + f"1{UNIT}" + chr(92) + "2', 'g')")} AS w FROM named
+  UNION ALL SELECT side, {PLAIN}, id, w FROM plain
 ), windows AS (
-  SELECT side, id, spot, CASE WHEN len(w) >= {WINDOW} THEN w[spot:spot + {WINDOW - 1}] ELSE w END AS run
-  FROM (SELECT side, id, w, unnest(range(1, greatest(len(w) - {WINDOW - 2}, 2))) AS spot FROM canonical WHERE len(w) > 0)
+  SELECT side, form, id, spot, CASE WHEN len(w) >= {WINDOW} THEN w[spot:spot + {WINDOW - 1}] ELSE w END AS run
+  FROM (SELECT side, form, id, w, unnest(range(1, greatest(len(w) - {WINDOW - 2}, 2))) AS spot FROM canonical WHERE len(w) > 0)
 ), wanted AS (
-  SELECT id AS item_id, spot, run, len(list_filter(run, lambda w: regexp_matches(w, '[{NAME}-{UNIT}]'))) AS slots
-  FROM windows WHERE side = 'b' AND len(list_filter(run, lambda w: NOT regexp_matches(w, '[{NAME}-{UNIT}]'))) >= least({LITERALS}, len(run))
-), hit AS (SELECT DISTINCT d.id AS doc_id, b.item_id, b.spot, d.spot - b.spot AS shift, b.slots > 0 AS slots FROM windows d JOIN wanted b ON d.run = b.run WHERE d.side = 'd'),
-total AS (SELECT item_id, count(*) AS n_windows FROM wanted GROUP BY item_id),
-pair AS (SELECT doc_id, item_id, n_matched, n_windows, doubtful FROM (SELECT doc_id, item_id, count(DISTINCT spot) AS n_matched, bool_or(slots) AS doubtful FROM hit GROUP BY ALL) JOIN total USING (item_id) WHERE n_matched >= {COVERAGE} * n_windows),
-held AS (SELECT hit.* FROM hit JOIN pair USING (doc_id, item_id) WHERE doubtful),
-cell AS (SELECT DISTINCT doc_id, item_id, shift, spot + k AS i FROM held CROSS JOIN range({WINDOW}) r(k)),
+  SELECT form, id AS item_id, spot, run, CASE WHEN form < {PLAIN} THEN len(list_filter(run, lambda w: regexp_matches(w, '[{NAME}-{UNIT}]'))) ELSE 0 END AS slots
+  FROM windows WHERE side = 'b' AND CASE WHEN form = {PLAIN} THEN len(run) = {WINDOW} ELSE len(list_filter(run, lambda w: NOT regexp_matches(w, '[{NAME}-{UNIT}]'))) >= least({LITERALS}, len(run)) END
+), hit AS (SELECT DISTINCT b.form, d.id AS doc_id, b.item_id, b.spot, d.spot - b.spot AS shift, b.slots > 0 AS slots FROM windows d JOIN wanted b ON d.run = b.run AND d.form = b.form WHERE d.side = 'd'),
+total AS (SELECT form, item_id, count(*) AS n_windows FROM wanted GROUP BY ALL),
+pair AS (SELECT doc_id, item_id, n_matched, n_windows, doubtful FROM (SELECT doc_id, item_id, count(DISTINCT spot) AS n_matched, bool_or(slots) AS doubtful FROM hit WHERE form < {PLAIN} GROUP BY ALL) JOIN total USING (item_id) WHERE form = 0 AND n_matched >= {COVERAGE} * n_windows),
+held AS (SELECT hit.* FROM hit JOIN pair USING (doc_id, item_id) WHERE doubtful AND form < {PLAIN}),
+cell AS (SELECT DISTINCT form, doc_id, item_id, shift, spot + k AS i FROM held CROSS JOIN range({WINDOW}) r(k)),
 -- Along an alignment a value of the item stands for one value of the document.
-torn AS (SELECT DISTINCT doc_id, item_id, shift FROM (
-  SELECT c.doc_id, c.item_id, c.shift, b.plain[c.i] AS asks, d.plain[c.i + c.shift] AS has FROM cell c JOIN canonical b ON b.side = 'b' AND b.id = c.item_id JOIN canonical d ON d.side = 'd' AND d.id = c.doc_id
-  WHERE c.i <= len(b.w) AND regexp_matches(b.w[c.i], '[{NAME}-{UNIT}]')) GROUP BY doc_id, item_id, shift, asks HAVING count(DISTINCT has) > 1),
-sound AS (SELECT doc_id, item_id, count(DISTINCT spot) AS n_matched FROM held ANTI JOIN torn USING (doc_id, item_id, shift) GROUP BY ALL),
-found AS (SELECT doc_id, item_id, n_matched, n_windows FROM pair WHERE NOT doubtful UNION ALL SELECT doc_id, item_id, n_matched, n_windows FROM sound JOIN total USING (item_id) WHERE n_matched >= {COVERAGE} * n_windows)
-SELECT doc_id, item_id, n_matched, n_windows, n_matched / n_windows AS coverage FROM found
+torn AS (SELECT DISTINCT form, doc_id, item_id, shift FROM (
+  SELECT c.form, c.doc_id, c.item_id, c.shift, a.w[c.i] AS asks, d.w[c.i + c.shift] AS has FROM cell c JOIN canonical b ON b.side = 'b' AND b.form = c.form AND b.id = c.item_id
+  JOIN plain a ON a.side = 'b' AND a.id = c.item_id JOIN plain d ON d.side = 'd' AND d.id = c.doc_id
+  WHERE c.i <= len(b.w) AND regexp_matches(b.w[c.i], '[{NAME}-{UNIT}]')) GROUP BY form, doc_id, item_id, shift, asks HAVING count(DISTINCT has) > 1),
+sound AS (SELECT doc_id, item_id, count(DISTINCT spot) AS n_matched FROM held ANTI JOIN torn USING (form, doc_id, item_id, shift) GROUP BY ALL),
+as_it_stands AS (SELECT doc_id, item_id, count(DISTINCT spot) AS n_matched FROM hit WHERE form = {PLAIN} GROUP BY ALL),
+short AS (SELECT id AS item_id, w FROM plain WHERE side = 'b' AND len(w) BETWEEN 1 AND {WINDOW - 1}),
+found AS (
+  SELECT doc_id, item_id, n_matched, n_windows FROM pair WHERE NOT doubtful
+  UNION ALL SELECT doc_id, item_id, n_matched, n_windows FROM sound JOIN total USING (item_id) WHERE form = 0 AND n_matched >= {COVERAGE} * n_windows
+  UNION ALL SELECT doc_id, item_id, n_matched, n_windows FROM as_it_stands JOIN total USING (item_id) WHERE form = {PLAIN} AND n_matched >= {COVERAGE} * n_windows
+  UNION ALL SELECT d.id, s.item_id, 1, 1 FROM short s JOIN plain d ON d.side = 'd' AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(s.w, ' ') || ' '))
+SELECT doc_id, item_id, n_matched, n_windows, n_matched / n_windows AS coverage FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched / n_windows DESC, n_windows DESC) AS k FROM found) WHERE k = 1
 """
