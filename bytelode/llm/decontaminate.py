@@ -64,6 +64,10 @@ def _windows(words: Column, of) -> Column:
     return F.when(n >= WINDOW, runs).when(n > 0, F.array(of(words)))
 
 
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def _is_slot(word: Column) -> Column:
     return word.rlike(f"[{NAME}-{UNIT}]")
 
@@ -80,7 +84,7 @@ PLAIN = len(_NAMED)
 def _plain_windows(items: DataFrame) -> DataFrame:
     """(form, window, item, item_hash, at, slots) for each window of plain words of items of WINDOW words or more."""
     worded = items.withColumn("words", plain_words(F.col("text"))).where(F.size("words") >= WINDOW)
-    runs = worded.select("item", "item_hash", F.posexplode(_windows(F.col("words"), lambda w: F.xxhash64(w))).alias("at", "window"))
+    runs = worded.select("item", "item_hash", F.posexplode(_windows(_hashes(F.col("words")), lambda h: F.xxhash64(h))).alias("at", "window"))
     return runs.select(F.lit(PLAIN).alias("form"), "window", "item", "item_hash", "at", F.lit(False).alias("slots"))
 
 
@@ -88,7 +92,7 @@ def _item_windows(items: DataFrame, name: str = _NAME, form: int = 0) -> DataFra
     """(form, window, item, item_hash, at, slots) for each looked-for window of each different item row."""
     runs = items.withColumn("words", canonical_words(F.col("text"), name)).select("item", "item_hash", F.posexplode(_windows(F.col("words"), lambda w: w)).alias("at", "run"))
     slots = F.size(F.filter("run", _is_slot))
-    return runs.where(F.size("run") - slots >= F.least(F.lit(LITERALS), F.size("run"))).select(F.lit(form).alias("form"), F.xxhash64("run").alias("window"), "item", "item_hash", "at", (slots > 0).alias("slots"))
+    return runs.where(F.size("run") - slots >= F.least(F.lit(LITERALS), F.size("run"))).select(F.lit(form).alias("form"), F.xxhash64(_hashes(F.col("run"))).alias("window"), "item", "item_hash", "at", (slots > 0).alias("slots"))
 
 
 def _plain_runs(words: Column, n: int) -> Column:
@@ -144,10 +148,10 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     wanted = scratch.write(reduce(DataFrame.union, (_item_windows(items, name, k) for k, name in enumerate(_NAMED)), _plain_windows(items)))
     asked = wanted.agg(F.count("*").alias("n"), F.coalesce(F.bool_or("slots"), F.lit(False)).alias("slots")).first()
     sized = F.broadcast(wanted) if asked["n"] <= BROADCAST_WINDOWS else wanted
-    # The words are a column of their own: inside the lambda they would be made anew for each window.
+    # A word is hashed once, a window from its words' hashes; these are columns of their own, else each window made them anew.
     words = [*(canonical_words(F.col("text"), name) for name in _NAMED), plain_words(F.col("text"))]
-    worded = own.select("id", F.xxhash64("text").alias("text_hash"), *(w.alias(f"words{k}") for k, w in enumerate(words)))
-    runs = [F.coalesce(_windows(F.col(f"words{k}"), lambda w: F.xxhash64(w)), F.array()).alias(f"runs{k}") for k in range(len(words))]
+    worded = own.select("id", F.xxhash64("text").alias("text_hash"), *(_hashes(w).alias(f"words{k}") for k, w in enumerate(words)))
+    runs = [F.coalesce(_windows(F.col(f"words{k}"), lambda h: F.xxhash64(h)), F.array()).alias(f"runs{k}") for k in range(len(words))]
     # A window that is the same in all forms goes once, for all; `of` has a bit for each form.
     hashed = [F.col(f"r.runs{k}") for k in range(len(words))]
     same = reduce(and_, (h == hashed[0] for h in hashed[1:]))
