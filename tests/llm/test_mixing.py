@@ -1,4 +1,5 @@
 import math
+import os
 import re
 import struct
 
@@ -57,8 +58,9 @@ def test_each_source_comes_near_its_target_and_reruns_agree(spark, monkeypatch):
         assert int(rate) <= r.copies <= min(3, int(rate) + 1)
         taken[r.source] = taken.get(r.source, 0) + r.copies * r.size
     for s, t in taken.items():
-        largest = max(r.size for r in got if r.source == s)
-        assert abs(t - want[s]) <= largest
+        sizes = sorted(r.size for r in got if r.source == s and r.size)
+        # One document that is most of its source is taken or not.
+        assert abs(t - want[s]) <= max(0.02 * want[s], sum(sizes[:3]), sizes[-1] if sizes[-1] > sum(sizes[:-1]) else 0)
     again = mix(df.repartition(2)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert sorted(map(str, got)) != sorted(map(str, mix(df, seed=8).collect()))
@@ -107,24 +109,54 @@ def plain_mix(rows, most, seed):
     for source, _, _, size in rows:
         words[source] = words.get(source, 0) + size
     targets = plain_targets(words, most)
-    copies, live = {}, {}
+    copies, live, late = {}, {}, {}
+    hashed = lambda k, i, h: signed(xxhash.xxh64_intdigest(struct.pack("<q", h), signed_seed(seed + k, i)))
+    waits = {}
+    for source in words:
+        bits = sorted(r[3].bit_length() for r in rows if r[0] == source and r[3])
+        upto = {b: sum(x <= b for x in bits) for b in bits}
+        waits[source] = next(((b, mixing.WAITING / n) for b, n in upto.items() if n >= min(mixing.WAITING, math.ceil(len(bits) / 4))), None)
     for source, i, h, size in rows:
         rate = targets[source] / words[source] if words[source] else 0.0
         whole = math.floor(rate + 1e-9)
         part = max(rate - whole, 0.0)
         copies[i] = whole
         if size > 0 and part > 1e-9:
-            bucket = signed(xxhash.xxh64_intdigest(struct.pack("<q", h), signed_seed(seed, i))) % mixing.BUCKETS
-            live.setdefault((bucket, source), []).append([i, h, size, part])
-        elif size == 0 and (signed(xxhash.xxh64_intdigest(struct.pack("<q", h), signed_seed(seed, i))) % 2**53) / 2**53 < part:
+            if size.bit_length() <= waits[source][0] and hashed(1, i, h) % 2**53 / 2**53 < waits[source][1]:
+                late.setdefault((0, source), []).append([i, h, size, part])
+            else:
+                live.setdefault((hashed(0, i, h) % mixing.BUCKETS, source), []).append([i, h, size, part])
+        elif size == 0 and hashed(0, i, h) % 2**53 / 2**53 < part:
             copies[i] += 1
     level, step = 0, mixing.BUCKETS
     draw = lambda *parts: xxhash.xxh64_intdigest(repr((level, parts)), seed) / 2**64
     while True:
         last, left = mixing.FAN_IN**level >= mixing.BUCKETS, {}
+        for place, docs in late.items() if last else ():
+            live.setdefault(place, []).extend(docs)
         for (bucket, source), docs in live.items():
-            docs.sort()
+            docs.sort(key=lambda d: (-d[2], *d))
             held = None
+            while last and docs:  # the first against all others together
+                (i, h, size, x), rest = docs[0], docs[1:]
+                there = sum(d[2] * d[3] for d in rest)
+                room = sum(d[2] * (1 - d[3]) for d in rest)
+                to_doc, to_rest = min(size * (1 - x), there), min(size * x, room)
+                up, down = there >= size * (1 - x), room >= size * x
+                if to_doc + to_rest > 1e-9 and (up if up != down else draw(i, h) * (to_doc + to_rest) < to_rest):
+                    x += to_doc / size
+                    for d in rest:
+                        d[3] *= 1 - to_doc / there
+                elif to_doc + to_rest > 1e-9:
+                    x -= to_rest / size
+                    for d in rest:
+                        d[3] = 1 - (1 - d[3]) * (1 - to_rest / room)
+                elif 1e-9 < x < 1 - 1e-9:
+                    x = draw(i, h) < x
+                if 1e-9 < x < 1 - 1e-9:
+                    x = xxhash.xxh64_intdigest(repr((level + 1, (i, h))), seed) / 2**64 < x
+                copies[i] += round(x)
+                docs = rest
             for doc in docs:
                 if held is None:
                     held = doc
@@ -142,15 +174,32 @@ def plain_mix(rows, most, seed):
                     else:
                         held = d
             if held is not None:
-                if last:
-                    copies[held[0]] += draw(held[0], held[1]) < held[3]
-                else:
-                    left.setdefault((bucket // mixing.FAN_IN, source), []).append(held)
+                left.setdefault((bucket // mixing.FAN_IN, source), []).append(held)
         if last:
             return copies
         live, level = left, level + 1
 
 
+def test_given_sources_come_within_a_few_words_in_a_hundred(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables aren't here")
+    taken = {}
+    for r in mixing.op8_pivotal_mix(spark, folder).collect():
+        t = taken.setdefault(r.source, [r.target, 0])
+        t[1] += r.taken
+    assert len(taken) > 10 and all(abs(got - target) <= 0.02 * target for target, got in taken.values())
+
+
+def test_repeated_rows_share_their_copies(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_STEP", 7)
+    data = [(1, "a b c d", "s", 1, "")] * 50 + [(i, "a b c", "t", 1, "") for i in range(100, 130)]
+    got = mix(spark.createDataFrame(data, SCHEMA).repartition(3)).collect()
+    same = [r.copies for r in got if r.doc_id == 1]
+    rate = plain_targets({"s": 200, "t": 90})["s"] / 200
+    assert len(got) == 80 and len(same) == 50 and max(same) - min(same) <= 1 and abs(sum(same) - 50 * rate) < 1
+
+
 def signed(x):
     return x - 2**64 if x >= 2**63 else x
 
