@@ -82,7 +82,7 @@ class Counter:
         for word in text.split():
             n = known.get(word)
             if n is None:
-                n = self.pieces(SPACE + word.decode("utf-8"))
+                n = self.pieces(SPACE + word.decode("utf-8", "replace"))
                 if len(word) <= LONGEST:
                     if len(known) >= REMEMBERED:
                         known.clear()
@@ -110,7 +110,7 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     """(id, n_words, n_tokens) for every row, over its whole text.
 
     A word is a run of characters other than ASCII white space, with the space sign before it; nothing
-    is normalised. Null, empty and blank texts have none. Repeated rows stay rows. An empty table gives no
+    is normalised; bytes that are no UTF-8 count as replacement characters. Null, empty and blank texts have none. Repeated rows stay rows. An empty table gives no
     rows; other columns are not read.
     """
     if path is None:

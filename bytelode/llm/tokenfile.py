@@ -98,8 +98,8 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_piece:
-            return self._raw([t.decode("utf-8") for t in texts])
-        pieces = [self._pieces(t.decode("utf-8")) for t in texts]
+            return self._raw([t.decode("utf-8", "replace") for t in texts])
+        pieces = [self._pieces(t.decode("utf-8", "replace")) for t in texts]
         distinct = set(chain.from_iterable(pieces))
         if len(self.words) + len(distinct) > REMEMBERED:
             self.aged, self.words = self.words, {}
