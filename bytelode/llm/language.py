@@ -12,7 +12,9 @@ hundred languages that is some hundred megabytes at most.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import base64
+import binascii
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,12 +28,13 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
-#: Labelled windows of a language that are learned from, in expectation.
+#: Languages that are learned, those of the most text; and labelled windows of each that are learned from, in expectation.
+MOST_LANGS = 500
 PER_LANG = 3000
 UNDETERMINED = "und"
-#: The pipeline takes a text's language as known from this share of the way from chance (equal odds of all
-#: languages) to certainty on. Short texts in a language come down to a seventh of it.
-LEAST_GAIN = 0.1
+#: The pipeline's class for texts in none of the languages, and labelled windows of a language it learns from. Every
+#: HELD-th labelled text is not trained on; that share of those (of each language) stays whatever the network says.
+NONE, STAGE_PER_LANG, HELD, KEEP = "", 1500, 5, 0.998
 #: Windows that go through the network at once.
 BATCH = 64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -122,6 +125,14 @@ def has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
+def _mean(net: ByteNet, text: bytes) -> np.ndarray:
+    """The mean of the windows' probabilities, by the bytes they hold."""
+    wins = windows(text)
+    held = np.full(len(wins), WINDOW, np.float64)
+    held[-1] = len(text) - WINDOW * (len(wins) - 1)
+    return held @ net.probabilities(wins) / held.sum()
+
+
 def predict(net: ByteNet | None, texts: list[bytes | None]) -> list[tuple[str, float]]:
     """(language, score) of each text; null and letterless texts, and all without a model, are `und` at 0."""
     out = []
@@ -129,10 +140,7 @@ def predict(net: ByteNet | None, texts: list[bytes | None]) -> list[tuple[str, f
         if net is None or text is None or not has_letter(text):
             out.append((UNDETERMINED, 0.0))
             continue
-        wins = windows(text)
-        held = np.full(len(wins), WINDOW, np.float64)
-        held[-1] = len(text) - WINDOW * (len(wins) - 1)
-        mean = held @ net.probabilities(wins) / held.sum()
+        mean = _mean(net, text)
         best = int(mean.argmax())
         out.append((net.langs[best], float(min(1.0, max(0.0, mean[best])))))
     return out
@@ -152,26 +160,106 @@ def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "win"])
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> ByteNet | None:
-    """A network from rows that aren't held out and name their language; None where there is none."""
+def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> tuple[np.ndarray, list[str]]:
+    """Labelled windows and their languages: about `per_lang` of each language, of rows that aren't held out."""
     known = docs.where(may_learn(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = F.greatest(F.lit(1), F.ceil(F.octet_length(F.col(text_col)) / WINDOW)).cast("long")
     rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), n.alias("n"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum("n")).collect()}  # a row for each language
-    if not counts:
-        return None
-    langs, share = sorted(counts), F.lit(0.0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, min(1.0, per_lang / counts[lang])).otherwise(share)
+    share = rows.groupBy("lang").agg((per_lang / F.sum("n")).alias("share"))
+    # Languages of the most windows, at most: a dirty column has millions of values.
+    few = share.orderBy("share", "lang").limit(MOST_LANGS)
     draw = lambda i: F.pmod(F.xxhash64(F.lit(11), F.col("id"), i), F.lit(1 << 30)) / float(1 << 30)
     at = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: draw(i) < F.col("share"))
-    taken = rows.withColumn("share", share).select("lang", "text", at.alias("at")).where(F.size("at") > 0)
+    taken = rows.join(F.broadcast(few), "lang").select("lang", "text", at.alias("at")).where(F.size("at") > 0)
     sample = taken.mapInArrow(_cut_windows, "lang string, win binary").toArrow().sort_by([("lang", "ascending"), ("win", "ascending")])
-    if not sample.num_rows:
+    wins = np.frombuffer(b"".join(sample.column("win").to_pylist()), np.uint8).reshape(sample.num_rows, WINDOW + max(WIDTHS) - 1)
+    return wins, sample.column("lang").to_pylist()
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> ByteNet | None:
+    """A network from rows that aren't held out and name their language; None where there is none."""
+    wins, names = _sample(docs, id_col, text_col, lang_col, per_lang)
+    if not len(wins):
         return None
-    wins = np.frombuffer(b"".join(sample.column("win").to_pylist()), np.uint8).reshape(sample.num_rows, -1)
-    labels = np.array([langs.index(x) for x in sample.column("lang").to_pylist()])
-    return train(wins, labels, langs)
+    langs = sorted(set(names))
+    return train(wins, np.array([langs.index(x) for x in names]), langs)
+
+
+def _cut(text: bytes, rng: np.random.Generator) -> bytes:
+    """A window as it is or, half the time, its start of 12 bytes or more, up to a space where there is one."""
+    if rng.random() < 0.5 or len(text) < 24:
+        return text
+    short = text[: int(np.exp(rng.uniform(np.log(12), np.log(len(text)))))]
+    return short[: short.rfind(b" ")] if b" " in short[8:] else short
+
+
+def _spoilt(text: bytes, alphabets: list[str], rng: np.random.Generator) -> bytes:
+    """One window in none of the languages, made from one in a language."""
+    words, kind = text.decode("utf-8", "ignore").split() or ["x"], int(rng.integers(8))
+    if kind == 0:  # its bytes, shuffled
+        return rng.permutation(np.frombuffer(text, np.uint8)).tobytes()
+    if kind == 1:  # random letters of the alphabet, as words or as one run
+        letters = list(alphabets[int(rng.integers(len(alphabets)))])
+        return "".join(" " if rng.random() < 0.15 else str(rng.choice(letters)) for _ in range(WINDOW)).encode()[:WINDOW]
+    if kind == 2:  # each word's letters, shuffled
+        return " ".join("".join(rng.permutation(list(w))) for w in words).encode()[:WINDOW]
+    if kind == 3:  # encoded data
+        raw = rng.integers(0, 256, WINDOW, np.uint8).tobytes() if rng.random() < 0.5 else text
+        made = (base64.b64encode, base64.b32encode, binascii.hexlify)[int(rng.integers(3))](raw).lower()
+        return made[: int(rng.integers(WINDOW // 2, WINDOW + 1))]
+    if kind in (4, 5):  # a script at random: letters of one block of code points
+        start = int(rng.choice([0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0xB80, 0xE00, 0x1200, 0x3040, 0x4E00, 0x6000, 0x8000, 0xAC00, 0xC000]))
+        return "".join(" " if rng.random() < 0.15 else chr(start + int(rng.integers(0, 96))) for _ in range(WINDOW // 2)).encode()[:WINDOW]
+    # Words as names between marks, as in programs and data.
+    name = lambda: str(rng.choice(["_", "", "."])).join(str(w).strip(".,") for w in rng.choice(words, int(rng.integers(1, 3))))
+    marks = ["(", ")", "):\n    ", " = ", ";\n", " == ", "[", "]", ", ", ".", " {\n", "}\n", " -> ", "'", '"', " + ", "0", "1", ": ", "<", ">", "/", "\n        ", " -= ", "#"]
+    return "".join(name() + "".join(rng.choice(marks, int(rng.integers(1, 4)))) for _ in range(WINDOW // 6)).encode()[:WINDOW]
+
+
+def _window(text: bytes) -> np.ndarray:
+    return windows(text[:WINDOW])[0]
+
+
+def odd_windows(texts: list[bytes], n: int, rng: np.random.Generator) -> np.ndarray:
+    """`n` windows in none of the languages that `texts` are in."""
+    alphabets = sorted({"".join(sorted({c for c in t.decode("utf-8", "ignore") if c.isalpha()})) or "x" for t in texts})
+    return np.stack([_window(_cut(_spoilt(texts[int(rng.integers(len(texts)))], alphabets, rng), rng)) for _ in range(n)])
+
+
+@dataclass
+class Gate:
+    """A network with the class NONE, and the probability of NONE from which a text is rejected."""
+
+    net: ByteNet
+    bound: float
+
+    def stays(self, texts: list[bytes | None]) -> list[bool]:
+        """Texts with a letter that the network does not give to NONE; null texts go."""
+        out, at = [], self.net.langs.index(NONE)
+        for text in texts:
+            found = None if text is None or not has_letter(text) else _mean(self.net, text)
+            out.append(found is not None and bool(found[at] <= self.bound))
+        return out
+
+
+def learn_gate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = STAGE_PER_LANG, seed: int = 5) -> Gate | None:
+    """The gate from labelled rows; None where there are none. Of the windows every HELD-th sets the bound."""
+    wins, names = _sample(docs, id_col, text_col, lang_col, per_lang)
+    if not len(wins):
+        return None
+    rng, langs = np.random.default_rng(seed), [NONE, *sorted(set(names) - {NONE})]
+    texts = [w[:WINDOW].tobytes().rstrip(b"\0") for w in wins]
+    labels = np.array([langs.index(x) for x in names])
+    held = rng.permutation(len(texts)) % HELD == 0 if len(texts) >= 20 * HELD else np.zeros(len(texts), bool)
+    clean = np.stack([_window(_cut(t, rng)) for t in texts])
+    own = [t for t, h in zip(texts, held) if not h]
+    odd = odd_windows(own, max(2 * int(np.bincount(labels).max()), len(own)), rng)
+    net = train(np.concatenate([clean[~held], odd]), np.concatenate([labels[~held], np.zeros(len(odd), np.int64)]), langs)
+    bound = 0.5
+    for lang in np.unique(labels[held]):
+        found = net.probabilities(clean[held & (labels == lang)])[:, 0]
+        bound = max(bound, float(np.quantile(found, KEEP)))
+    return Gate(net, bound)
 
 
 def language(text: Column, net: ByteNet | None) -> Column:
@@ -201,26 +289,24 @@ def op4_byte_network_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs))
 
 
-def lettered(text: Column) -> Column:
-    """Whether a text is there and has a letter."""
+def _flag(of) -> Callable[[Column], Column]:
+    """A column of whether `of` holds, for texts in lists."""
 
     @F.arrow_udf("boolean")
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array([t is not None and has_letter(t) for t in texts.cast(pa.binary()).to_pylist()], pa.bool_())
+    def flags(texts: pa.Array) -> pa.Array:
+        return pa.array(of(texts.cast(pa.binary()).to_pylist()), pa.bool_())
 
-    return of(text)
+    return flags.asNondeterministic()  # so that Spark runs it once a row
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows stay whose text the network gives a language by LEAST_GAIN over chance, or half of the probability.
+    """Pipeline stage: rows stay whose text is in a language, by a network that knows a class for what is in none.
 
-    Null and letterless texts go, and so do texts in which all languages are about as likely, over all
-    windows by their bytes. Of one or two languages the likelier always has half, so texts with a letter
-    stay, as they do where no network can be learned (no label, empty table). Repeated ids and rows are judged each by their text.
+    Null and letterless texts go, and so do random letters, encoded data, program text and scripts that no labelled text
+    has. Where nothing can be learned (no label, empty table) texts with a letter stay. Repeated ids and rows
+    are judged each by their text.
     """
-    net = learn(docs)
-    if net is None:
-        return docs.where(lettered(F.col("text")))
-    chance = 1 / len(net.langs)
-    found = packed(docs, found=language(F.col("text"), net))
-    return unpacked(found.where((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= min(0.5, chance + LEAST_GAIN * (1 - chance)))))
+    gate = learn_gate(docs)
+    stays = gate.stays if gate is not None else lambda texts: [t is not None and has_letter(t) for t in texts]
+    found = packed(docs, stays=_flag(stays)(F.col("text")))
+    return unpacked(found.where("stays"))

@@ -1,11 +1,18 @@
+import argparse
+import ast
+import base64
+import inspect
 import math
+import os
 import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from bytelode.llm import language
+from bytelode.llm.common import held_out
 from bytelode.llm.language import drop_undetermined, has_letter, identify, learn, windows
 
 SCHEMA = "doc_id long, text string, lang string, lang_pred string, found string"
@@ -111,9 +118,36 @@ def test_windows_are_drawn_from_whole_texts(spark, monkeypatch):
     assert places[0] < 1500 and places[-1] > 18_500
 
 
-def test_stage_rejects_what_is_no_language(spark, monkeypatch):
+def junk(rng, clean):
+    """Texts in no language, of five kinds, by other means than those the gate is trained with."""
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    program = inspect.getsource(argparse) + inspect.getsource(ast)
+    return {
+        "letters": [run("abcdefghijklmnopqrstuvwxyz ", 400) for _ in range(100)],
+        "encoded": [base64.b64encode(rng.randbytes(300)).decode() for _ in range(50)] + [base64.b64encode(t[:300].encode()).decode() for t in clean[:50]],
+        "cyrillic": [run("абвгдежзийклмнопрстуфхцчшщъыьэюя ", 300) for _ in range(100)],
+        "cjk": ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(120)) for _ in range(100)],
+        "program": [program[k : k + 1500] for k in range(2000, 62_000, 1500)],
+    }
+
+
+@pytest.mark.parametrize("langs", [["de", "en", "es", "fr"], ["de", "en"]])
+def test_gate_keeps_languages_and_rejects_the_rest(spark, langs):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables aren't here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where(F.col("lang").isin(langs))
+    clean = [r.text for r in docs.where(held_out(F.col("doc_id")) & F.col("text").isNotNull()).collect() if has_letter(r.text.encode())]
+    gate = language.learn_gate(docs)
+    kept = lambda texts: sum(gate.stays([t.encode() for t in texts])) / len(texts)
+    assert kept(clean) >= 0.995 and kept([" ".join(t.split()[:8]) for t in clean]) >= 0.97
+    assert {kind: kept(texts) for kind, texts in junk(random.Random(4), clean).items() if kept(texts) > 0.1} == {}
+
+
+def test_stage_judges_by_the_gate(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, i, i) for i, t in enumerate(["thing", "żółć", "both of them", None, "12"])], "doc_id long, text string, found long, row long")
-    monkeypatch.setattr(language, "learn", lambda docs: language.ByteNet(["a", "b", "c", "d"], *[None] * 5))
-    monkeypatch.setattr(language, "language", lambda text, net: F.when(text.isNull() | (text == "12"), F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))).otherwise(F.struct(F.lit("a").alias("lang_pred"), F.when(text.startswith("both"), 0.32).otherwise(0.33).alias("score"))))
+    net = language.ByteNet(["", "a"], *[None] * 5)
+    monkeypatch.setattr(language, "learn_gate", lambda docs: language.Gate(net, 0.7))
+    monkeypatch.setattr(language.Gate, "stays", lambda self, texts: [t is not None and t.startswith(b"both") for t in texts])
     kept = drop_undetermined(spark, df, "")
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1]
+    assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [2]
