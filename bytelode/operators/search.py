@@ -1,15 +1,16 @@
 """Exact substring search over a table of texts for a set of patterns.
 
 Matches overlap, offsets are bytes from 0, an empty pattern matches at each of the N + 1 places, and a
-pattern that holds the byte 0 matches nowhere. Null texts give no rows. Texts are read once for all
-patterns (once for each MOST_PATTERNS of them); there is no join of documents and patterns. Pattern ids
-are integers, or of whatever type the DataFrame or mapping that names the patterns has.
+pattern that holds the byte 0 matches nowhere. Null texts give no rows. Texts are read once, whatever the
+number of patterns (those of a table over 128 bytes are held against texts that are read again): a stated query set goes to the tasks, a DataFrame of patterns (and a stated set of more than
+MOST_PATTERNS) stays a table that the texts' windows meet by hash (windows.py). Pattern ids are integers, or of
+whatever type the DataFrame or mapping that names the patterns has.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
 import ahocorasick
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StringType
 
 from ..functions.bytes import as_bytes, ascii_lower, byte_text, has_border, holds, literal_occurrences
-from ..plans.patterns import FEW, FOLD, Patterns, parts, pattern_list
+from ..plans.patterns import FEW, FOLD, MOST_PATTERNS, Patterns, pattern_list
+from . import windows
 
 #: Rows that a Python task sends at once.
 SEND = 1_000_000
@@ -183,12 +185,28 @@ def _scan(spark: SparkSession, wanted: list[tuple], places: bool, ci: bool):
 def _scanned(docs: DataFrame, wanted: list[tuple], places: bool, ci: bool, id_col: str, text_col: str, name: str) -> DataFrame:
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), as_bytes(F.col(text_col)).alias("text"))
     kind = texts.schema[id_col].dataType.simpleString()
-    scans = (texts.mapInArrow(_scan(texts.sparkSession, part, places, ci), f"id {kind}, pattern_id long, value long") for part in parts(wanted))
-    return reduce(DataFrame.union, scans).select(F.col("id").alias(id_col), "pattern_id", F.col("value").alias(name))
+    found = texts.mapInArrow(_scan(texts.sparkSession, wanted, places, ci), f"id {kind}, pattern_id long, value long")
+    return found.select(F.col("id").alias(id_col), "pattern_id", F.col("value").alias(name))
+
+
+def _as_table(spark: SparkSession, patterns: Patterns) -> tuple[Patterns, DataFrame | None]:
+    """The stated query set, or the table that patterns are or are better held as."""
+    if isinstance(patterns, DataFrame):
+        return patterns, patterns
+    stated = list(patterns.items()) if isinstance(patterns, Mapping) else list(enumerate(patterns))
+    if len(stated) <= MOST_PATTERNS:
+        return dict(stated), None
+    kind = "long" if all(isinstance(i, int) for i, _ in stated) else "string"
+    rows = pa.table({"id": pa.array([i for i, _ in stated], pa.int64() if kind == "long" else pa.string()), "pattern": pa.array([p.encode() if isinstance(p, str) else p for _, p in stated], pa.binary())})
+    return patterns, spark.createDataFrame(rows)
 
 
 def count(docs: DataFrame, patterns: Patterns, ci: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pattern_id, n_matches) where a pattern occurs in a text at all."""
+    patterns, table = _as_table(docs.sparkSession, patterns)
+    if table is not None:
+        found = windows.occurrences(windows.texts_of(docs, F.col(id_col), text_col), windows.prepare(table, ci), False, ci)
+        return found.groupBy(F.col("key").alias(id_col), "pattern_id").agg(F.sum("value").alias("n_matches"))
     names = _Names(docs.sparkSession, patterns, ci)
     encoding = _encoding(docs, text_col, names.wanted)
     texts = _texts(docs, id_col, text_col, ci, encoding)
@@ -203,6 +221,11 @@ def count(docs: DataFrame, patterns: Patterns, ci: bool = False, id_col: str = "
 def total_counts(docs: DataFrame, patterns: Patterns, ci: bool = False, by: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(by ..., pattern_id, n_matches) over all texts; patterns without a match have no row."""
     keep = F.struct(F.col(id_col), *(by or []))
+    patterns, table = _as_table(docs.sparkSession, patterns)
+    if table is not None:
+        own = F.struct(*(F.col(c) for c in by)) if by else F.lit(0)
+        found = windows.occurrences(windows.texts_of(docs, own, text_col), windows.prepare(table, ci), False, ci, by or [])
+        return found.groupBy(*(F.col(f"key.{c}").alias(c) for c in by or []), "pattern_id").agg(F.sum("value").alias("n_matches"))
     found = count(docs.select(keep.alias("key"), F.col(text_col).alias("text")), patterns, ci, "key")
     return found.groupBy(*(F.col(f"key.{c}").alias(c) for c in by or []), "pattern_id").agg(F.sum("n_matches").alias("n_matches"))
 
@@ -213,6 +236,9 @@ def contains(docs: DataFrame, patterns: Patterns, ci: bool = False, how: str = "
     `how`: "pairs" gives (id, pattern_id); "semi" the rows of `docs` that hold any, "anti" those that hold
     none (null texts among them).
     """
+    patterns, table = _as_table(docs.sparkSession, patterns)
+    if table is not None:
+        return _table_contains(docs, table, ci, how, id_col, text_col)
     names = _Names(docs.sparkSession, patterns, ci)
     wanted, encoding = names.wanted, _encoding(docs, text_col, names.wanted)
     if how == "pairs":
@@ -224,10 +250,25 @@ def contains(docs: DataFrame, patterns: Patterns, ci: bool = False, how: str = "
     if how not in ("semi", "anti"):
         raise ValueError("how is pairs, semi or anti")
     # One look-up for each text that stops at the first hit; no join.
-    found = reduce(Column.__or__, (_any(docs.sparkSession, part, F.col(text_col), encoding, ci) for part in parts(wanted)))
+    found = _any(docs.sparkSession, wanted, F.col(text_col), encoding, ci)
     return docs.where(found if how == "semi" else ~found)
 
 
+def _table_contains(docs: DataFrame, table: DataFrame, ci: bool, how: str, id_col: str, text_col: str) -> DataFrame:
+    ready = windows.prepare(table, ci)
+    if how == "pairs":
+        return windows.occurrences(windows.texts_of(docs, F.col(id_col), text_col), ready, False, ci).select(F.col("key").alias(id_col), "pattern_id").distinct()
+    if how not in ("semi", "anti"):
+        raise ValueError("how is pairs, semi or anti")
+    # Texts are told apart by 128 bits of hashes of their bytes.
+    text = as_bytes(F.col(text_col))
+    told = F.struct(F.xxhash64(F.lit(3), text).alias("h1"), F.xxhash64(F.lit(4), text).alias("h2"))
+    held = windows.occurrences(windows.texts_of(docs, told, text_col), ready, False, ci).select("key.h1", "key.h2").distinct()
+    own = docs.select(F.struct("*").alias("row"), F.when(F.col(text_col).isNotNull(), told).alias("told"))
+    same = (own["told.h1"] == held["h1"]) & (own["told.h2"] == held["h2"])
+    return own.join(held, same, "left_semi" if how == "semi" else "left_anti").select("row.*")
+
+
 def _any(spark: SparkSession, wanted: list[tuple], text: Column, encoding: str, ci: bool) -> Column:
     if len(wanted) <= FEW:
         own = text if encoding == "utf-8" else byte_text(text)
@@ -246,6 +287,10 @@ def _any(spark: SparkSession, wanted: list[tuple], text: Column, encoding: str,
 
 def locate(docs: DataFrame, patterns: Patterns, ci: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pattern_id, pos): a row for each occurrence, overlapping ones too."""
+    patterns, table = _as_table(docs.sparkSession, patterns)
+    if table is not None:
+        found = windows.occurrences(windows.texts_of(docs, F.col(id_col), text_col), windows.prepare(table, ci), True, ci)
+        return found.select(F.col("key").alias(id_col), "pattern_id", F.col("value").alias("pos"))
     names = _Names(docs.sparkSession, patterns, ci)
     return names.back(_scanned(docs, names.wanted, True, ci, id_col, text_col, "pos"))
 

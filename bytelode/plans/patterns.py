@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Patterns that go to the tasks in one scan; a larger query set takes one scan for each such part.
+#: Patterns that go to the tasks as a stated set; a larger set becomes a table.
 MOST_PATTERNS = 100_000
 #: Up to so many patterns are counted by Spark expressions, more by one pass over each text for all.
 FEW = 8
@@ -23,7 +23,7 @@ def pattern_list(patterns: Patterns, ci: bool = False) -> list[tuple]:
     """(id, bytes) pairs. A mapping or a DataFrame of (id, pattern) gives the ids, else they count from 0.
 
     STRINGs stand for their UTF-8 bytes, and null patterns are left out. With `ci` A-Z are lowered. A
-    query set is stated, so it is held by the driver whole; a stored index takes a table without that.
+    query set is stated, so it is held by the driver whole; scans and a stored index take a table without that.
     """
     if isinstance(patterns, DataFrame):
         rows = patterns.select(F.col(patterns.columns[0]), F.col(patterns.columns[1]).cast("binary")).collect()
@@ -48,12 +48,6 @@ def pattern_table(spark: SparkSession, patterns: Patterns, ci: bool = False) ->
     return spark.createDataFrame([(i, bytearray(p)) for i, p in wanted], f"pattern_id {kind}, pattern binary")
 
 
-def parts(wanted: list[tuple]) -> Iterator[list[tuple]]:
-    """The query set in parts of MOST_PATTERNS, one at least."""
-    for at in range(0, max(1, len(wanted)), MOST_PATTERNS):
-        yield wanted[at : at + MOST_PATTERNS]
-
-
 def successor(prefix: bytes) -> bytes | None:
     """The least bytes above all that start with `prefix`; None where there are none."""
     kept = prefix.rstrip(b"\xff")
