@@ -115,7 +115,7 @@ def test_stage_keeps_what_exact_similarities_leave(spark, monkeypatch, small, bl
     """Also with buckets so small that forests and the second round have to find the links."""
     monkeypatch.setattr(nearcopies, "SMALL", small)
     monkeypatch.setattr(nearcopies, "BLOCK", block)
-    texts = families(random.Random(small + block), 12, 14)
+    texts = families(random.Random(small + block), 6, 50)
     texts |= {5000: None, 5001: "", 5002: " \n", 5003: "x " * 30_000, 5004: "X " * 30_000, 5005: "one two", 5006: "one two three", 5007: "One TWO"}
     assert stage(spark, texts) == exact_kept(texts)
 
