@@ -40,7 +40,8 @@ _NAME = r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})\p{Ll}+"
 _CAPITALISED = r"(?<![\p{L}\p{M}\p{N}])\p{Lu}\p{Ll}+"
 _NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
 _UNIT = rf"{NUMBER}( ?)(?:{'|'.join(UNITS)})([^\p{{L}}]|$)"
-_PUNCTUATION = rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}\x20\x09-\x0D]+"
+#: The usual letters come first: a class is tried in order.
+_PUNCTUATION = rf"[^a-z\x20\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}\x09-\x0D]+"
 
 
 def _words(text: Column) -> Column:
@@ -68,6 +69,22 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _window_hashes(words: Column) -> Column:
+    """A hash for each run of WINDOW words, from their hashes in pairs: no run is made. Fewer words are one run."""
+    n = F.size(words)
+    both = lambda a, b: F.xxhash64(a, b)
+    part = lambda x, start, size: F.slice(x, start, F.greatest(size, F.lit(0)))
+    two = F.zip_with(part(words, 1, n - 1), part(words, 2, n - 1), both)
+    four = F.zip_with(part(two, 1, n - 3), part(two, 3, n - 3), both)
+    five = F.zip_with(part(four, 1, n - 4), part(words, WINDOW, n - 4), both)
+    return F.when(n >= WINDOW, five).when(n > 0, F.array(F.xxhash64(words)))
+
+
+def _run_hash(run: Column) -> Column:
+    """The same for one run of words."""
+    return _window_hashes(_hashes(run))[0]
+
+
 def _is_slot(word: Column) -> Column:
     return word.rlike(f"[{NAME}-{UNIT}]")
 
@@ -83,8 +100,8 @@ PLAIN = len(_NAMED)
 
 def _plain_windows(items: DataFrame) -> DataFrame:
     """(form, window, item, item_hash, at, slots) for each window of plain words of items of WINDOW words or more."""
-    worded = items.withColumn("words", plain_words(F.col("text"))).where(F.size("words") >= WINDOW)
-    runs = worded.select("item", "item_hash", F.posexplode(_windows(_hashes(F.col("words")), lambda h: F.xxhash64(h))).alias("at", "window"))
+    worded = items.withColumn("words", _hashes(plain_words(F.col("text")))).where(F.size("words") >= WINDOW)
+    runs = worded.select("item", "item_hash", F.posexplode(_window_hashes(F.col("words"))).alias("at", "window"))
     return runs.select(F.lit(PLAIN).alias("form"), "window", "item", "item_hash", "at", F.lit(False).alias("slots"))
 
 
@@ -92,7 +109,7 @@ def _item_windows(items: DataFrame, name: str = _NAME, form: int = 0) -> DataFra
     """(form, window, item, item_hash, at, slots) for each looked-for window of each different item row."""
     runs = items.withColumn("words", canonical_words(F.col("text"), name)).select("item", "item_hash", F.posexplode(_windows(F.col("words"), lambda w: w)).alias("at", "run"))
     slots = F.size(F.filter("run", _is_slot))
-    return runs.where(F.size("run") - slots >= F.least(F.lit(LITERALS), F.size("run"))).select(F.lit(form).alias("form"), F.xxhash64(_hashes(F.col("run"))).alias("window"), "item", "item_hash", "at", (slots > 0).alias("slots"))
+    return runs.where(F.size("run") - slots >= F.least(F.lit(LITERALS), F.size("run"))).select(F.lit(form).alias("form"), _run_hash(F.col("run")).alias("window"), "item", "item_hash", "at", (slots > 0).alias("slots"))
 
 
 def _plain_runs(words: Column, n: int) -> Column:
@@ -151,7 +168,10 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     # A word is hashed once, a window from its words' hashes; these are columns of their own, else each window made them anew.
     words = [*(canonical_words(F.col("text"), name) for name in _NAMED), plain_words(F.col("text"))]
     worded = own.select("id", F.xxhash64("text").alias("text_hash"), *(_hashes(w).alias(f"words{k}") for k, w in enumerate(words)))
-    runs = [F.coalesce(_windows(F.col(f"words{k}"), lambda h: F.xxhash64(h)), F.array()).alias(f"runs{k}") for k in range(len(words))]
+    # Where a form changes no word its windows are the plain ones.
+    plain = F.coalesce(_window_hashes(F.col(f"words{PLAIN}")), F.array())
+    worded = worded.withColumn(f"runs{PLAIN}", plain)
+    runs = [F.when(F.col(f"words{k}") == F.col(f"words{PLAIN}"), F.col(f"runs{PLAIN}")).otherwise(F.coalesce(_window_hashes(F.col(f"words{k}")), F.array())).alias(f"runs{k}") for k in range(PLAIN)] + [F.col(f"runs{PLAIN}")]
     # A window that is the same in all forms goes once, for all; `of` has a bit for each form.
     hashed = [F.col(f"r.runs{k}") for k in range(len(words))]
     same = reduce(and_, (h == hashed[0] for h in hashed[1:]))
