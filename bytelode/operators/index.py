@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.bytes import as_bytes, ascii_lower, byte_text
 from ..plans.patterns import KEY_BYTES, MOST_PATTERNS, Patterns, key_range, pattern_list, pattern_table
 from ..session import Scratch, cleared, default_partitions
+from ..sources.blocks import BLOCK_BYTES, BlockTexts, cut_texts
 from .prefix import sum_before
 
 KERNEL_BYTES = 8 << 20
@@ -74,39 +76,77 @@ def _suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield _columns(batch.column(0), row, text, order[at : at + SEND], at)
 
 
-def _bucketed(rows: DataFrame, order: list[str], save) -> DataFrame:
-    """Adds to rows of (id, ...) the number of the id's rows that are smaller by `order`.
+def _bucketed(rows: DataFrame, by: list[str], order: list[str], save) -> DataFrame:
+    """Adds to rows the number of the rows (of the same `by`) that are smaller by `order`.
 
     Equal rows count as one with its number, and those running sums are taken over range partitions: a
     bucket that holds most of a text's suffixes is spread over tasks.
     """
-    sizes = rows.groupBy("id", *order).agg(F.count("*").alias("n"))
-    starts = sum_before(sizes, ["id"], order, {"bucket": "n"}, save).drop("n")
-    return rows.join(starts, ["id", *order])
+    sizes = rows.groupBy(*by, *order).agg(F.count("*").alias("n"))
+    starts = sum_before(sizes, by, order, {"bucket": "n"}, save)
+    return rows.join(starts, [*by, *order])
 
 
-def double_suffixes(texts: DataFrame, save) -> DataFrame:
-    """(id, sa_rank, pos, bwt_byte, key8) of (id, text) by prefix doubling in DataFrame rounds; `save` cuts the lineage.
+def _keyed(blocks: DataFrame, size: int) -> DataFrame:
+    """(id, pos, bwt_byte, key8, left) of each suffix of texts in blocks (id, block, data): a task holds the suffixes of its blocks.
 
-    A suffix's rank is the start of its bucket in sorted order. Buckets of one suffix are done; the others
-    are split by the rank of the suffix `step` bytes on. Ids must not be null.
+    A block sees the byte before it and the seven behind it by exchanges on (id, block). `left` is how many bytes of key8 there are.
     """
-    at = F.explode(F.sequence(F.lit(0), F.octet_length("text"))).alias("pos")
-    byte = F.expr("cast(conv(hex(substring(text, pos, 1)), 16, 10) as int)")
-    keyed = save(texts.select("id", "text", at).select("id", F.col("pos").cast("long").alias("pos"), F.when(F.col("pos") > 0, byte).alias("bwt_byte"), F.expr(f"substring(text, pos + 1, {KEY_BYTES})").alias("key8")))
-    now = save(_bucketed(keyed.select("id", "pos", "key8"), ["key8"], save).select("id", "pos", "bucket"))
+    ahead = BlockTexts(blocks, size).with_ahead(KEY_BYTES - 1)
+    before = blocks.select(F.col("id").alias("_id"), (F.col("block") + 1).alias("_block"), F.expr("substring(data, -1, 1)").alias("_last"))
+    seen = ahead.join(before, F.col("id").eqNullSafe(F.col("_id")) & (F.col("block") == F.col("_block")), "left")
+    seen = seen.select("id", "block", F.octet_length("data").alias("own"), F.concat(F.coalesce("_last", F.lit(b"")), "data", F.coalesce("head", F.lit(b""))).alias("text"), F.coalesce(F.octet_length("_last"), F.lit(0)).alias("lead"), F.col("head").isNull().alias("ends"))
+    # The empty suffix belongs to the last block, that without a head.
+    upto = F.col("own") - F.when(F.col("ends"), 0).otherwise(1)
+    each = seen.select("*", F.explode(F.sequence(F.lit(0), upto)).alias("at")).withColumn("here", F.col("at") + F.col("lead"))
+    byte = F.expr("cast(conv(hex(substring(text, here, 1)), 16, 10) as int)")
+    return each.select("id", (F.col("block") * size + F.col("at")).alias("pos"), F.when(F.col("here") > 0, byte).alias("bwt_byte"), F.expr(f"substring(text, here + 1, {KEY_BYTES})").alias("key8"))
+
+
+def _doubled(keyed: DataFrame, by: list[str], save) -> DataFrame:
+    """(id, pos, bucket) with each suffix's rank (within `by`, or among all) where its bucket has one row, by rounds of
+    prefix doubling.
+
+    A suffix's rank is the start of its bucket in sorted order. Only buckets that hold several suffixes with bytes
+    beyond those compared go on; they are split by the rank of the suffix `step` bytes on. Buckets of suffixes that end are equal
+    strings of several texts: they stay.
+    """
+    keyed = save(keyed)
+    now = save(_bucketed(keyed.select("id", "pos", "key8"), by, ["key8"], save).select("id", "pos", "bucket", "n", (F.octet_length("key8") < KEY_BYTES).alias("ended")))
     step = KEY_BYTES
     while True:
-        shared = now.groupBy("id", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-        if shared.isEmpty():
-            return now.withColumnRenamed("bucket", "sa_rank").join(keyed, ["id", "pos"]).select("id", "sa_rank", "pos", "bwt_byte", "key8")
-        behind = now.select("id", (F.col("pos") - step).alias("pos"), F.col("bucket").alias("behind"))
-        paired = now.withColumnRenamed("bucket", "head").join(behind, ["id", "pos"], "left").withColumn("behind", F.coalesce("behind", F.lit(-1)))
-        now = save(_bucketed(paired, ["head", "behind"], save).select("id", "pos", "bucket"))
+        open_ = now.where("n > 1 and not ended")
+        if open_.isEmpty():
+            return now.select("id", "pos", "bucket", "n")
+        behind = now.select(F.col("id").alias("_id"), (F.col("pos") - step).alias("_pos"), F.col("bucket").alias("behind"), F.col("ended").alias("stops"))
+        # The suffix behind always exists: what is open has step bytes at least, and the empty suffix is one.
+        paired = save(open_.join(behind, (F.col("id") == F.col("_id")) & (F.col("pos") == F.col("_pos"))).select("id", "pos", F.col("bucket").alias("head"), "behind", "stops"))
+        sizes = paired.groupBy(*by, "head", "behind").agg(F.count("*").alias("n"), F.max("stops").alias("stops"))
+        starts = sum_before(sizes, [*by, "head"], ["behind"], {"inside": "n"}, save)
+        split = paired.drop("stops").join(starts, [*by, "head", "behind"]).select("id", "pos", (F.col("head") + F.col("inside")).alias("bucket"), "n", F.col("stops").alias("ended"))
+        now = save(now.where("n = 1 or ended").union(split))
         step *= 2
 
 
-def suffix_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kernel_bytes: int = KERNEL_BYTES, scratch: Scratch | None = None) -> DataFrame:
+def double_suffixes(blocks: DataFrame, size: int, save) -> DataFrame:
+    """(id, sa_rank, pos, bwt_byte, key8) of texts in blocks by prefix doubling in DataFrame rounds; `save` cuts the
+    lineage. Ids must not be null; no task holds a text."""
+    keyed = save(_keyed(blocks, size))
+    return _doubled(keyed, ["id"], save).withColumnRenamed("bucket", "sa_rank").drop("n").join(keyed, ["id", "pos"]).select("id", "sa_rank", "pos", "bwt_byte", "key8")
+
+
+def corpus_suffixes(blocks: DataFrame, size: int, save) -> DataFrame:
+    """(rank, id, pos, bwt_byte, key8) of all suffixes of all texts in one order: the end of a text is less than any
+    byte, and equal suffixes of several texts stand in the order of their ids. Ids must be unique and not null."""
+    keyed = save(_keyed(blocks, size))
+    ranked = save(_doubled(keyed, [], save))
+    alone = ranked.where("n = 1").select("id", "pos", F.col("bucket").alias("rank"))
+    ties = ranked.where("n > 1").select("id", "pos", "bucket", F.lit(1).alias("one"))
+    told = sum_before(ties, ["bucket"], ["id"], {"place": "one"}, save).select("id", "pos", (F.col("bucket") + F.col("place")).alias("rank"))
+    return alone.union(told).join(keyed, ["id", "pos"]).select("rank", "id", "pos", "bwt_byte", "key8")
+
+
+def suffix_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kernel_bytes: int = KERNEL_BYTES, scratch: Scratch | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, sa_rank, pos, bwt_byte, key8) of every suffix of every text; null texts have none.
 
     bwt_byte is the byte before the suffix (null for that of the whole text), key8 its first eight bytes.
@@ -118,7 +158,10 @@ def suffix_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = spread.mapInArrow(_suffix_batches, f"id {kind}, sa_rank long, pos long, bwt_byte int, key8 binary")
     long = texts.where(F.octet_length("text") > kernel_bytes)
     if not long.isEmpty():
-        found = found.union(double_suffixes(long, (scratch or Scratch(docs.sparkSession)).write))
+        blocks = cut_texts(long, "id", size=block_bytes)
+        # Exploding a block takes its bytes times forty: blocks are dealt out before.
+        dealt = blocks.repartition(default_partitions(docs.sparkSession), "id", "block")
+        found = found.union(double_suffixes(dealt, block_bytes, (scratch or Scratch(docs.sparkSession)).write))
     return found.withColumnRenamed("id", id_col)
 
 
@@ -238,6 +281,58 @@ class SuffixIndex:
         return hits.withColumn("_place", place).where(F.col("_place") <= first).drop("_place")
 
 
+@dataclass
+class CorpusIndex:
+    """One stored suffix order of a whole corpus: `sa` (rank, id, pos, key8), sorted by key8; texts are not kept."""
+
+    spark: SparkSession
+    path: str
+
+    def table(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/sa")
+
+    def _ranks(self, pattern: bytes) -> DataFrame:
+        """(rank, id, pos) of the suffixes that start with a pattern.
+
+        Its pieces of eight bytes are met from the last one on: of the suffixes with a piece as their key those stay
+        whose suffix eight bytes on is one of the next piece's. So no text is read, however long the pattern.
+        """
+        pieces = [pattern[k : k + KEY_BYTES] for k in range(0, max(1, len(pattern)), KEY_BYTES)]
+        found = None
+        for piece in reversed(pieces):
+            here = self.table().where(key_range(F.col("key8"), piece) if piece else F.lit(True)).select("rank", "id", "pos")
+            if found is not None:
+                on = found.select(F.col("id").alias("_id"), (F.col("pos") - KEY_BYTES).alias("_pos"))
+                here = here.join(on, (F.col("id") == F.col("_id")) & (F.col("pos") == F.col("_pos")), "left_semi")
+            found = here
+        return found
+
+    def _each(self, patterns: Patterns, of) -> DataFrame:
+        wanted = [(i, p) for i, p in pattern_list(patterns) if b"\0" not in p]
+        if not wanted:
+            return of(self.table().limit(0).select("rank", "id", "pos")).limit(0).withColumn("pattern_id", F.lit(0).cast("long"))
+        name = lambda i: F.lit(i).cast("long") if isinstance(i, int) else F.lit(i)
+        return reduce(DataFrame.union, [of(self._ranks(p)).withColumn("pattern_id", name(i)) for i, p in wanted])
+
+    def search_range(self, patterns: Patterns) -> DataFrame:
+        """(pattern_id, sp, ep) of a stated query set: the ranks [sp, ep) of the corpus; ep - sp matches. (0, 0) for none."""
+        ends = lambda hits: hits.agg(F.coalesce(F.min("rank"), F.lit(0)).cast("long").alias("sp"), (F.coalesce(F.max("rank"), F.lit(-1)) + 1).cast("long").alias("ep"))
+        return self._each(patterns, ends).select("pattern_id", "sp", "ep")
+
+    def locate(self, patterns: Patterns) -> DataFrame:
+        """(pattern_id, rank, id, pos)."""
+        return self._each(patterns, lambda hits: hits).select("pattern_id", "rank", "id", "pos")
+
+
+def build_corpus_index(blocks: DataFrame, path: str, size: int = BLOCK_BYTES) -> CorpusIndex:
+    """Writes the one suffix order of texts in blocks (id, block, data) to `path`."""
+    spark = blocks.sparkSession
+    with cleared():
+        order = corpus_suffixes(blocks, size, Scratch(spark).write)
+        order.repartitionByRange("key8", "rank").sortWithinPartitions("key8", "rank").write.parquet(f"{path}/sa")
+    return CorpusIndex(spark, path)
+
+
 def build_index(docs: DataFrame, path: str, sample_step: int = 4, id_col: str = "doc_id", text_col: str = "text", ci: bool = False) -> SuffixIndex:
     """Writes the index of `docs` to `path`. Ids must be unique; null texts are not indexed.
 

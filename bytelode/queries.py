@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +11,15 @@ from pyspark.sql import functions as F
 from .functions.bytes import fnv1a64
 from .functions.sql import register
 from .operators import cache, querylog, search
-from .operators.index import build_index, c_table, index_info, suffix_array, suffix_table
+from .operators.index import build_corpus_index, build_index, c_table, index_info, suffix_array, suffix_table
 from .operators.rank import bit_ranks, byte_access, byte_histogram, byte_rank, byte_ranks
-from .session import shared_folder
+from .session import Scratch
+from .sources.blocks import BlockTexts, cut_texts, join_chunks
 from .sources.corpus import compress_text, from_compressed, read_table
 from .streaming.incremental import IncrementalCorpus
 
 PATTERNS = ["the", "é", "tion", "onon", "anan", "\n", "zzzzz", ""]
+CORPUS = ["the", "e", "", "zzzzz", "tion", " the and", "I would like"]
 INDEXED = ["the", "on", "tion", " in", ".", "zzzzz", "", "the oned"]
 
 
@@ -35,7 +36,8 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/bytelode-{uuid.uuid4().hex}"
+    """A folder that goes with the driver, or with the scope it is made in."""
+    return f"{Scratch(spark).root}/stored"
 
 
 def contamination_pairs(spark, sf_dir):
@@ -221,6 +223,37 @@ def incremental_snapshot(spark, sf_dir):
     return corpus.count(["the", ".", "?", "tion"])
 
 
+def _blocks(spark, sf_dir):
+    """Documents cut into blocks so small that most texts have several."""
+    return BlockTexts(cut_texts(_documents(spark, sf_dir), size=1000), 1000)
+
+
+def block_counts_documents(spark, sf_dir):
+    return _blocks(spark, sf_dir).count(PATTERNS).withColumnRenamed("id", "doc_id")
+
+
+def block_locate_documents(spark, sf_dir):
+    return _blocks(spark, sf_dir).locate(["tion", "é"]).withColumnRenamed("id", "doc_id")
+
+
+def block_contains_documents(spark, sf_dir):
+    """Which benchmark passages, a table of patterns longer than some blocks, texts in blocks hold."""
+    found = _blocks(spark, sf_dir).contains(_items(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), F.col("pattern_id").alias("item_id"))
+
+
+def chunk_counts_conversations(spark, sf_dir):
+    """Conversations as texts that come in chunks, never joined to more than a block."""
+    blocks = join_chunks(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", size=64)
+    return BlockTexts(blocks, 64).count(["the", ".", "?", "tion"]).withColumnRenamed("id", "doc_id")
+
+
+def corpus_range_conversations(spark, sf_dir):
+    """One suffix order of all conversations: the ranks and, as their number, the matches of patterns in the whole corpus."""
+    blocks = join_chunks(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", size=4096)
+    return build_corpus_index(blocks, _folder(spark), 4096).search_range(CORPUS)
+
+
 def codec_counts(spark, sf_dir):
     packed = compress_text(_documents(spark, sf_dir)).select("doc_id", "data")
     return search.count(from_compressed(packed), ["tion"])
@@ -351,7 +384,8 @@ QUERIES = {
         query_log_unique_sketch, query_log_frequency, query_log_frequency_sketch, query_log_quantiles_exact, query_log_quantiles_sketch,
         query_log_scan, cache_results, cache_hit_rate, search_range_documents, locate_first_documents, count_index_table_documents,
         count_ci_index_documents, bwt_counts_documents, c_table_documents, byte_ranks_documents, byte_access_documents, count_letter_fours,
-        count_named_patterns, codec_locate, codec_docs_with_any, codec_lengths, incremental_state, sql_locate, query_log_empty, query_log_latency_scan,
+        count_named_patterns, codec_locate, codec_docs_with_any, codec_lengths, incremental_state, block_counts_documents, block_locate_documents,
+        block_contains_documents, chunk_counts_conversations, corpus_range_conversations, sql_locate, query_log_empty, query_log_latency_scan,
     )
 }
 
@@ -400,6 +434,7 @@ _ASKED = ", ".join(f"({i}, hex(encode({_quote(p)})))" for i, p in enumerate(INDE
 _HITS = f"WITH {_SUFFIXES}, asked(pattern_id, p) AS (VALUES {_ASKED}), hit AS (SELECT r.item_id, a.pattern_id::BIGINT AS pattern_id, r.sa_rank, r.pos FROM ranked r JOIN asked a ON starts_with(substring(r.h, 2 * r.pos + 1), a.p))"
 _HALF = "SELECT epoch_us(ts) // 1000 AS ts_ms, (user_id % 7)::FLOAT AS value, min(epoch_us(ts) // 1000) OVER () AS a, max(epoch_us(ts) // 1000) OVER () AS b FROM events"
 
+_CORPUS_ASKED = ", ".join(f"({i}, hex(encode({_quote(p)})))" for i, p in enumerate(CORPUS))
 ORACLES = {
     "contamination_pairs": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "docs_with_any": "SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))",
@@ -449,6 +484,15 @@ ORACLES = {
     "codec_locate": _PLACES,
     "codec_docs_with_any": "SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))",
     "codec_lengths": "SELECT doc_id, strlen(text)::BIGINT AS text_len FROM documents",
+    "block_counts_documents": _counts_sql("documents", "doc_id", "text", PATTERNS),
+    "block_locate_documents": _PLACES,
+    "block_contains_documents": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
+    "chunk_counts_conversations": _counts_sql("(SELECT conv_id AS doc_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)", "doc_id", "text", ["the", ".", "?", "tion"]),
+    # The heads of all suffixes, the empty ones included.
+    "corpus_range_conversations": f"""WITH asked(pattern_id, p) AS (VALUES {_CORPUS_ASKED}), item AS (SELECT hex(encode(string_agg(text, '' ORDER BY turn))) AS h FROM conversations GROUP BY conv_id),
+      told AS (SELECT s, count(*) AS n FROM (SELECT substring(h, 2 * unnest(range(0, length(h) // 2 + 1)) + 1, 30) AS s FROM item) GROUP BY s),
+      ranged AS (SELECT pattern_id, coalesce(sum(n) FILTER (WHERE NOT starts_with(s, p) AND s < p), 0) AS sp, coalesce(sum(n) FILTER (WHERE starts_with(s, p)), 0) AS n FROM told CROSS JOIN asked GROUP BY ALL)
+      SELECT pattern_id::BIGINT AS pattern_id, CASE WHEN n > 0 THEN sp ELSE 0 END::BIGINT AS sp, CASE WHEN n > 0 THEN sp + n ELSE 0 END::BIGINT AS ep FROM ranged""",
     "incremental_state": """SELECT 'appended' AS state, sum(strlen(text))::BIGINT AS buffer_len, false AS is_built, 0::BIGINT AS texts FROM conversations
       UNION ALL SELECT 'rebuilt', sum(strlen(text))::BIGINT, true, count(DISTINCT conv_id) FROM conversations UNION ALL SELECT 'cleared', 0, false, 0""",
     "sql_locate": f"""SELECT doc_id, 0::BIGINT AS pattern_id, pos FROM ({_hits_sql("onon")}) UNION ALL SELECT doc_id, pattern_id, pos FROM
