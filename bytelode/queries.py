@@ -254,6 +254,27 @@ def corpus_range_conversations(spark, sf_dir):
     return build_corpus_index(blocks, _folder(spark), 4096).search_range(CORPUS)
 
 
+def stream_counts_conversations(spark, sf_dir):
+    """Matches in conversations as their turns come, in two runs of a stream that goes on from its checkpoint."""
+    turns, root = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), _folder(spark)
+    corpus, schema = IncrementalCorpus(spark, f"{root}/corpus"), turns.schema
+    for some in (F.col("turn") < 2, F.col("turn") >= 2):
+        turns.where(some).write.mode("append").parquet(f"{root}/arrived")
+        stream = spark.readStream.schema(schema).parquet(f"{root}/arrived")
+        corpus.search_stream(stream, ["the", ".", "?", "tion"], f"{root}/checkpoint", id_col="conv_id", seq_col="turn", chunk_col="text").awaitTermination()
+    return corpus.found().groupBy("doc_id", "pattern_id").agg(F.count("*").alias("n_matches"))
+
+
+def rebuild_after_append(spark, sf_dir):
+    """Conversations whose later turns come after the first snapshot: the second one writes only what they touch."""
+    turns, corpus = read_table(spark, sf_dir, "conversations"), IncrementalCorpus(spark, _folder(spark))
+    corpus.append(turns.where("turn < 3"), "conv_id", "turn", "text")
+    corpus.rebuild()
+    corpus.append(turns.where("turn >= 3"), "conv_id", "turn", "text")
+    corpus.rebuild()
+    return corpus.count(["the", ".", "?", "tion"])
+
+
 def codec_counts(spark, sf_dir):
     packed = compress_text(_documents(spark, sf_dir)).select("doc_id", "data")
     return search.count(from_compressed(packed), ["tion"])
@@ -385,7 +406,7 @@ QUERIES = {
         query_log_scan, cache_results, cache_hit_rate, search_range_documents, locate_first_documents, count_index_table_documents,
         count_ci_index_documents, bwt_counts_documents, c_table_documents, byte_ranks_documents, byte_access_documents, count_letter_fours,
         count_named_patterns, codec_locate, codec_docs_with_any, codec_lengths, incremental_state, block_counts_documents, block_locate_documents,
-        block_contains_documents, chunk_counts_conversations, corpus_range_conversations, sql_locate, query_log_empty, query_log_latency_scan,
+        block_contains_documents, chunk_counts_conversations, corpus_range_conversations, stream_counts_conversations, rebuild_after_append, sql_locate, query_log_empty, query_log_latency_scan,
     )
 }
 
@@ -509,6 +530,8 @@ ORACLES = {
     "bit_ranks_events": "SELECT idx, bit, ones AS rank1, idx - ones AS rank0 FROM (SELECT event_id AS idx, value > 50 AS bit, coalesce(sum((value > 50)::INTEGER) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ones FROM events)",
     "page_hits": _counts_sql("pages", "page_id", "html", ["<p>", "</a>", "href", "é"]),
     "conversation_hits": _counts_sql("conversations", "conv_id, turn", "text", ["the", "in", "."]),
+    "stream_counts_conversations": _counts_sql("(SELECT conv_id AS doc_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)", "doc_id", "text", ["the", ".", "?", "tion"]),
+    "rebuild_after_append": _counts_sql("(SELECT conv_id AS doc_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)", "doc_id", "text", ["the", ".", "?", "tion"]),
     "incremental_snapshot": _counts_sql("(SELECT conv_id AS doc_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)", "doc_id", "text", ["the", ".", "?", "tion"]),
     "codec_counts": _counts_sql("documents", "doc_id", "text", ["tion"]),
     "sql_functions": """SELECT doc_id, (len(string_split(text, 'tion')) - 1)::BIGINT AS n, (len(string_split(translate(text, 'THE', 'the'), 'the ')) - 1)::BIGINT AS n_ci, contains(text, 'é') AS has,
