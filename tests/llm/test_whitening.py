@@ -1,0 +1,72 @@
+import numpy as np
+import pytest
+
+from bytelode.llm import whitening
+from bytelode.llm.whitening import whiten
+
+SCHEMA = "vec_id long, embedding array<float>, label int, component string"
+
+
+def by_hand(rows, most=4):
+    """From the definition, with numpy alone."""
+    x = {i: np.floor(256 * np.asarray(v, np.float32).astype(np.float64)).astype(np.int64) for i, v in rows}
+    fit = np.unique(np.stack(list(x.values())), axis=0)
+    n, sums = len(fit), fit.sum(axis=0)
+    centred = fit - sums / n
+    cov = centred.T @ centred / n
+    values, vectors = np.linalg.eigh(cov)
+    out = {}
+    for k in range(min(most, len(values))):
+        e, u = values[-1 - k], vectors[:, -1 - k]
+        for i, v in x.items():
+            out[i, k + 1] = (n, int(((n * v - sums) ** 2).sum()), (v - sums / n) @ u / np.sqrt(e), e / np.trace(cov))
+    return out
+
+
+def compare(got, want):
+    got = {(r.vec_id, r.component): r for r in got}
+    assert set(got) == set(want)
+    for k in {k for _, k in want}:
+        keys = [key for key in want if key[1] == k]
+        sign = np.sign(sum(got[key].whitened * want[key][2] for key in keys))
+        for key in keys:
+            r, (n, deviation, whitened, explained) = got[key], want[key]
+            assert (r.n, r.deviation) == (n, deviation)
+            assert r.whitened * sign == pytest.approx(whitened, abs=1e-8) and r.explained == pytest.approx(explained, rel=1e-9)
+            assert r.identity_error < 1e-9
+
+
+@pytest.mark.parametrize("dims, tile, rows", [(7, 32, 4096), (70, 32, 4096), (3, 32, 5)])
+def test_whitening_is_the_definition(spark, dims, tile, rows):
+    rng = np.random.default_rng(dims)
+    data = [(i, (rng.normal(size=dims) * np.arange(1, dims + 1)).astype(np.float32).tolist()) for i in range(120)]
+    data += [(200 + i, data[3][1]) for i in range(40)]
+    odd = [(300, None, 1, ""), (301, data[0][1][:-1] + [None], 1, ""), (302, data[0][1][:-1] + [float("nan")], 1, ""), (303, data[0][1][:-1] + [float("inf")], 1, ""), (304, [1.0] * (dims + 1), 1, ""), (305, [], 1, "")]
+    df = spark.createDataFrame([(i, v, None, "c") for i, v in data] + odd, SCHEMA).repartition(5)
+    compare(whiten(df).collect(), by_hand(data))
+
+
+def test_fewer_directions_than_components(spark):
+    data = [(i, [float(i), 2.0 * i, 5.0]) for i in range(9)]
+    got = whiten(spark.createDataFrame([(i, v, 1, "") for i, v in data], SCHEMA)).collect()
+    assert {r.component for r in got} == {1} and len(got) == 9
+    assert sorted(round(r.whitened ** 2, 9) for r in got) == sorted(round(float((i - 4) ** 2 / 6.666666666666667), 9) for i in range(9))
+    same = spark.createDataFrame([(1, [1.0, 2.0], 1, ""), (2, [1.0, 2.0], 1, "")], SCHEMA)
+    assert whiten(same).count() == 0 and whiten(same.limit(0)).count() == 0
+
+
+def test_whole_numbers_beyond_a_long(spark):
+    data = [(i, [(-1) ** i * 2.0**40 * (i + 1), float(i)]) for i in range(4)]
+    got = whiten(spark.createDataFrame([(i, v, 1, "") for i, v in data], SCHEMA)).collect()
+    assert len(got) >= 4 and all(r.deviation is None for r in got)
+    model = whitening.Whitening(3, np.array([4, -5]), np.eye(2), np.ones(2), np.ones(2))
+    assert model.deviation(np.array([[1, 2], [2**29, 0]])) == [(3 - 4) ** 2 + (6 + 5) ** 2, (3 * 2**29 - 4) ** 2 + 25]
+
+
+def test_given_vectors(spark):
+    pq = pytest.importorskip("pyarrow.parquet")
+    try:
+        rows = pq.read_table("/root/testdata/sf0.001/embeddings.parquet").to_pylist()
+    except FileNotFoundError:
+        pytest.skip("the driver's tables aren't here")
+    compare(whitening.op12_tiled_whitening(spark, "/root/testdata/sf0.001").collect(), by_hand([(r["vec_id"], r["embedding"]) for r in rows]))
