@@ -12,6 +12,7 @@ from .functions.bytes import fnv1a64
 from .functions.sql import register
 from .operators import cache, querylog, search
 from .operators.index import build_corpus_index, build_index, c_table, index_info, suffix_array, suffix_table
+from .operators.rollup import MINUTE, MetricRollup
 from .operators.rank import bit_ranks, byte_access, byte_histogram, byte_rank, byte_ranks
 from .session import Scratch
 from .sources.blocks import BlockTexts, cut_texts, join_chunks
@@ -329,6 +330,41 @@ def _log(spark, sf_dir):
     return events.select(F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("ts_ms"), F.col("event_type").alias("pattern"), (F.col("user_id") % 7).alias("result_count"), F.col("value").alias("latency_us"), "event_id")
 
 
+def _rolled_up(spark, sf_dir):
+    """A roll-up of all events, and the middle half of their time in whole minutes."""
+    log, store = _log(spark, sf_dir), MetricRollup(spark, _folder(spark))
+    store.add(log)
+    ends = log.agg(F.min("ts_ms").alias("a"), F.max("ts_ms").alias("b")).first()
+    quarter = (ends["b"] - ends["a"]) // 4
+    return store, ends["a"] + quarter, ends["b"] - quarter
+
+
+def rollup_summary(spark, sf_dir):
+    store, start, end = _rolled_up(spark, sf_dir)
+    return store.summary(start, end)
+
+
+def rollup_quantiles(spark, sf_dir):
+    store, start, end = _rolled_up(spark, sf_dir)
+    return store.quantiles(start, end, [0.5, 0.99])
+
+
+def rollup_frequency(spark, sf_dir):
+    store, start, end = _rolled_up(spark, sf_dir)
+    return store.frequency(start, end, _log(spark, sf_dir).select("pattern").distinct())
+
+
+def stream_metrics_minutes(spark, sf_dir):
+    """Queries by minute from events that come as a stream; the last ten minutes are still open."""
+    root, events = _folder(spark), read_table(spark, sf_dir, "events")
+    _log(spark, sf_dir).write.parquet(f"{root}/arrived")
+    store, schema = MetricRollup(spark, f"{root}/rollup"), spark.read.parquet(f"{root}/arrived").schema
+    store.add_stream(spark.readStream.schema(schema).parquet(f"{root}/arrived"), f"{root}/checkpoint").awaitTermination()
+    ends = events.agg(F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', min(ts))").alias("a"), F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', max(ts))").alias("b")).first()
+    found = spark.read.parquet(f"{root}/rollup").where(f"level = 0 and kind = 0 and start_ms between {ends['a'] - MINUTE} and {ends['b']}")
+    return found.groupBy("start_ms").agg(F.sum("n").alias("n"))
+
+
 def query_log_total(spark, sf_dir):
     return querylog.total(_log(spark, sf_dir))
 
@@ -406,7 +442,8 @@ QUERIES = {
         query_log_scan, cache_results, cache_hit_rate, search_range_documents, locate_first_documents, count_index_table_documents,
         count_ci_index_documents, bwt_counts_documents, c_table_documents, byte_ranks_documents, byte_access_documents, count_letter_fours,
         count_named_patterns, codec_locate, codec_docs_with_any, codec_lengths, incremental_state, block_counts_documents, block_locate_documents,
-        block_contains_documents, chunk_counts_conversations, corpus_range_conversations, stream_counts_conversations, rebuild_after_append, sql_locate, query_log_empty, query_log_latency_scan,
+        block_contains_documents, chunk_counts_conversations, corpus_range_conversations, stream_counts_conversations, rebuild_after_append, rollup_summary, rollup_quantiles,
+        rollup_frequency, stream_metrics_minutes, sql_locate, query_log_empty, query_log_latency_scan,
     )
 }
 
@@ -455,6 +492,10 @@ _ASKED = ", ".join(f"({i}, hex(encode({_quote(p)})))" for i, p in enumerate(INDE
 _HITS = f"WITH {_SUFFIXES}, asked(pattern_id, p) AS (VALUES {_ASKED}), hit AS (SELECT r.item_id, a.pattern_id::BIGINT AS pattern_id, r.sa_rank, r.pos FROM ranked r JOIN asked a ON starts_with(substring(r.h, 2 * r.pos + 1), a.p))"
 _HALF = "SELECT epoch_us(ts) // 1000 AS ts_ms, (user_id % 7)::FLOAT AS value, min(epoch_us(ts) // 1000) OVER () AS a, max(epoch_us(ts) // 1000) OVER () AS b FROM events"
 
+#: Events with whether they lie in the middle half of all time, in whole minutes.
+_TIMED = """SELECT event_type, value, ms >= (a + (b - a) // 4) // 60000 * 60000 AND ms < (b - (b - a) // 4) // 60000 * 60000 AS inside
+  FROM (SELECT event_type, value, epoch_us(ts) // 1000 AS ms, min(epoch_us(ts) // 1000) OVER () AS a, max(epoch_us(ts) // 1000) OVER () AS b FROM events)"""
+_MIDDLE = f"SELECT * FROM ({_TIMED}) WHERE inside"
 _CORPUS_ASKED = ", ".join(f"({i}, hex(encode({_quote(p)})))" for i, p in enumerate(CORPUS))
 ORACLES = {
     "contamination_pairs": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
@@ -538,6 +579,12 @@ ORACLES = {
       ((len + 1) * 9 // 8) * 8 + 2048 + ((len + 1) // 512 + 1) * 72 + (len // 4 + 1) * 8 AS size, len FROM (SELECT doc_id, text, strlen(text)::BIGINT AS len FROM documents)""",
     "fnv_hashes": """SELECT item_id, (CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END)::BIGINT AS hash FROM (
       SELECT item_id, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, octet_length(encode(text)) + 1), lambda p: ('0x' || hex(encode(text))[2 * p - 1:2 * p])::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS h FROM benchmark)""",
+    "rollup_summary": f"SELECT count(*) AS total, count(DISTINCT event_type)::DOUBLE AS unique_patterns FROM ({_MIDDLE})",
+    "rollup_frequency": f"SELECT event_type AS pattern, count(*) FILTER (WHERE inside) AS n FROM ({_TIMED}) GROUP BY ALL",
+    "rollup_quantiles": f"""WITH held AS (SELECT CASE WHEN value > 0 THEN ceil(ln(value) / {math.log(1.01 / 0.99)!r}) END AS bucket, count(*) AS n FROM ({_MIDDLE}) WHERE value IS NOT NULL GROUP BY ALL),
+      summed AS (SELECT bucket, sum(n) OVER (ORDER BY bucket NULLS FIRST) AS upto, sum(n) OVER () AS total FROM held)
+      SELECT q, coalesce(2 * power({1.01 / 0.99!r}::DOUBLE, arg_min(bucket, upto)) / ({1.01 / 0.99!r}::DOUBLE + 1), 0.0) AS value FROM summed CROSS JOIN (VALUES (0.5::DOUBLE), (0.99::DOUBLE)) a(q) WHERE upto > q * (total - 1) GROUP BY q""",
+    "stream_metrics_minutes": "SELECT start_ms, n FROM (SELECT ms // 60000 * 60000 AS start_ms, count(*) AS n, max(max(ms)) OVER () AS latest FROM (SELECT epoch_us(ts) // 1000 AS ms FROM events) GROUP BY 1) WHERE start_ms + 60000 <= latest - 600000",
     "query_log_total": "SELECT count(*) AS total FROM events",
     "query_log_unique_exact": "SELECT count(DISTINCT event_type)::DOUBLE AS unique_patterns FROM events",
     "query_log_frequency": "SELECT event_type AS pattern, count(*) AS n FROM events GROUP BY ALL",

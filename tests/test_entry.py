@@ -35,12 +35,14 @@ def test_queries_agree_with_their_sql(spark):
         same(spark, con, name, QUERIES[name], sql)
 
 
-def test_the_rest_stands_without_the_corpus_operators(tmp_path):
-    script = """
+@pytest.mark.parametrize("gone", ["bytelode.llm", "bytelode.llm.queries"])
+def test_the_rest_stands_without_the_corpus_operators(gone):
+    """Also where an empty folder of the subpackage is left."""
+    script = f"""
 import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
-        if name in ("corpus_pipeline", "bytelode.llm"):
+        if name in ("corpus_pipeline", {gone!r}):
             raise ModuleNotFoundError(name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
