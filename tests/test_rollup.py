@@ -1,0 +1,67 @@
+import random
+
+import pytest
+
+from bytelode.operators import querylog
+from bytelode.operators.rollup import MINUTE, MetricRollup, cover
+
+LOG = "ts_ms long, pattern string, latency_us double"
+
+
+def test_cover_is_a_few_spans():
+    rng = random.Random(1)
+    for _ in range(300):
+        a = rng.randint(0, 100_000)
+        b = a + rng.randint(0, 50_000)
+        spans = cover(a, b)
+        assert [m for level, at in spans for m in range(at, at + (1 << level))] == list(range(a, b))
+        assert all(at % (1 << level) == 0 for level, at in spans)
+        levels = [level for level, _ in spans]
+        assert all(levels.count(x) <= 2 for x in levels)
+    assert cover(5, 5) == [] and cover(0, 8) == [(3, 0)]
+
+
+def log_rows(n=3000):
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 600 * MINUTE), f"p{int(rng.expovariate(0.05))}", rng.choice([None, 0.0, rng.lognormvariate(3, 1)])) for _ in range(n)]
+    return [*rows, (5 * MINUTE, None, 3.0), (5 * MINUTE, None, None)]
+
+
+@pytest.mark.parametrize("start, end", [(0, 601), (17, 18), (3, 555), (700, 800), (9, 9)])
+def test_ranges_are_those_of_the_rows(spark, tmp_path, start, end):
+    rows = log_rows()
+    log = spark.createDataFrame(rows, LOG).repartition(3)
+    store = MetricRollup(spark, f"{tmp_path}/rollup")
+    store.add(log.where("ts_ms % 3 = 0"))
+    store.add(log.where("ts_ms % 3 != 0"))  # parts add up
+    inside = log.where(f"ts_ms >= {start * MINUTE} and ts_ms < {end * MINUTE}").cache()
+    got = store.summary(start * MINUTE + 5, end * MINUTE + 7).first()
+    assert got.total == inside.count()
+    exact = inside.select("pattern").distinct().where("pattern is not null").count()
+    assert got.unique_patterns == pytest.approx(exact, rel=0.05)
+    pairs = lambda found: sorted((r[0], round(r[1], 9)) for r in found.collect())
+    assert pairs(store.quantiles(start * MINUTE, end * MINUTE, [0.1, 0.5, 0.99])) == pairs(querylog.quantiles(inside, [0.1, 0.5, 0.99]))
+    asked = log.select("pattern").where("pattern is not null").distinct()
+    direct = querylog.estimated_frequency(querylog.count_min(inside.where("pattern is not null")), asked)
+    assert pairs(store.frequency(start * MINUTE, end * MINUTE, asked)) == pairs(direct)
+
+
+def test_late_rows_count_within_the_watermark(spark, tmp_path):
+    """Each run is a batch. Twelve minutes late is within fifteen, an hour is not; nothing counts twice after a restart."""
+    store = MetricRollup(spark, f"{tmp_path}/rollup")
+    at = lambda minute, pattern: (minute * MINUTE + 10, pattern, 2.0)
+    runs = [[at(100, "a"), at(100, "b"), at(101, "a")], [at(120, "a")], [at(108, "late"), at(40, "too late")], [at(300, "z")], [at(500, "z")]]
+    for rows in runs:
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(f"{tmp_path}/arrived")
+        stream = spark.readStream.schema(LOG).parquet(f"{tmp_path}/arrived")
+        store.add_stream(stream, f"{tmp_path}/checkpoint", "15 minutes").awaitTermination()
+    total = lambda a, b: store.summary(a * MINUTE, b * MINUTE).first().total
+    assert (total(0, 400), total(100, 101), total(108, 109), total(40, 41), total(300, 301)) == (6, 2, 1, 0, 1)
+    on_time = [r for rows in runs[:4] for r in rows if r[1] != "too late"]
+    direct = querylog.quantiles(spark.createDataFrame(on_time, LOG), [0.5]).collect()
+    assert [tuple(r) for r in store.quantiles(0, 400 * MINUTE, [0.5]).collect()] == [tuple(r) for r in direct]
+
+
+def test_an_empty_roll_up(spark, tmp_path):
+    store = MetricRollup(spark, f"{tmp_path}/none")
+    assert tuple(store.summary(0, MINUTE * 9).first()) == (0, 0.0) and store.quantiles(0, MINUTE * 9, [0.5]).count() == 0
