@@ -12,8 +12,9 @@ from .functions.bytes import fnv1a64
 from .functions.sql import register
 from .operators import cache, querylog, search
 from .operators.index import build_corpus_index, build_index, c_table, index_info, suffix_array, suffix_table
-from .operators.rollup import MINUTE, MetricRollup
 from .operators.rank import bit_ranks, byte_access, byte_histogram, byte_rank, byte_ranks
+from .operators.rollup import MINUTE, MetricRollup
+from .operators.signatures import sign_texts
 from .session import Scratch
 from .sources.blocks import BlockTexts, cut_texts, join_chunks
 from .sources.corpus import compress_text, from_compressed, read_table
@@ -224,6 +225,12 @@ def incremental_snapshot(spark, sf_dir):
     return corpus.count(["the", ".", "?", "tion"])
 
 
+def signature_contains_documents(spark, sf_dir):
+    """Rare patterns from a stored table whose blocks have signatures: few blocks are read."""
+    signed = sign_texts(_documents(spark, sf_dir), _folder(spark), texts=100)
+    return signed.contains(["zzzzz", "ntntnt", "this very passage", "onon the"])
+
+
 def _blocks(spark, sf_dir):
     """Documents cut into blocks so small that most texts have several."""
     return BlockTexts(cut_texts(_documents(spark, sf_dir), size=1000), 1000)
@@ -443,7 +450,7 @@ QUERIES = {
         count_ci_index_documents, bwt_counts_documents, c_table_documents, byte_ranks_documents, byte_access_documents, count_letter_fours,
         count_named_patterns, codec_locate, codec_docs_with_any, codec_lengths, incremental_state, block_counts_documents, block_locate_documents,
         block_contains_documents, chunk_counts_conversations, corpus_range_conversations, stream_counts_conversations, rebuild_after_append, rollup_summary, rollup_quantiles,
-        rollup_frequency, stream_metrics_minutes, sql_locate, query_log_empty, query_log_latency_scan,
+        rollup_frequency, stream_metrics_minutes, signature_contains_documents, sql_locate, query_log_empty, query_log_latency_scan,
     )
 }
 
@@ -546,6 +553,7 @@ ORACLES = {
     "codec_locate": _PLACES,
     "codec_docs_with_any": "SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))",
     "codec_lengths": "SELECT doc_id, strlen(text)::BIGINT AS text_len FROM documents",
+    "signature_contains_documents": "SELECT doc_id, pattern_id::BIGINT AS pattern_id FROM documents JOIN (VALUES (0, 'zzzzz'), (1, 'ntntnt'), (2, 'this very passage'), (3, 'onon the')) p(pattern_id, p) ON contains(text, p)",
     "block_counts_documents": _counts_sql("documents", "doc_id", "text", PATTERNS),
     "block_locate_documents": _PLACES,
     "block_contains_documents": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
