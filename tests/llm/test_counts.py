@@ -53,3 +53,9 @@ def test_a_long_word_takes_no_more_memory(spark):
     assert tracemalloc.get_traced_memory()[1] < 20_000_000
     tracemalloc.stop()
     assert token_counts(spark.createDataFrame([(1, word)], "doc_id long, text string")).first().n_words == 1
+
+
+def test_bytes_that_are_no_text_count_as_replaced(spark):
+    rows = spark.sql("SELECT 1L AS doc_id, cast(X'6f6e6520ff2074776f' AS STRING) AS text UNION ALL SELECT 2L, 'one � two'")
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts(rows).collect()}
+    assert got[1] == got[2] and got[1][0] == 3

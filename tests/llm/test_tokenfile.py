@@ -77,3 +77,14 @@ def test_small_segments_and_empty_table(spark, tmp_path):
     one = {tuple(r) for r in read_tokens(spark, f"{tmp_path}/a").collect()}
     assert one == {tuple(r) for r in encode_and_read(df).collect()}
     assert encode_and_read(df.limit(0)).count() == 0
+
+
+def test_bytes_that_are_no_text_count_as_replaced(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = spark.sql("SELECT 1L AS doc_id, cast(X'6f6e6520ff2074776f' AS STRING) AS text UNION ALL SELECT 2L, 'plain'")
+    got = {r.doc_id: r.n_tokens for r in encode_and_read(rows).collect()}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    size = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
+    assert got == {1: size("one � two"), 2: size("plain")}
