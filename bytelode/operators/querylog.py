@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .timeseries import SeriesStore
+
 #: Values that one task sorts at most for an exact quantile, and how close to its rank (as a share) they are cut.
 SELECT, NEAR = 500_000, 0.0005
 SERIES = ("query_count", "result_count", "latency")
@@ -107,21 +109,17 @@ def metric_points(log: DataFrame) -> DataFrame:
     return log.select("ts_ms", F.explode(F.array(*points)).alias("p")).select("p.series", "ts_ms", "p.value")
 
 
-class MetricsStore:
-    """A folder of points by series; a write is durable when it returns, so there is nothing to flush."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+class MetricsStore(SeriesStore):
+    """The points of a query log; a write is durable when it returns, so there is nothing to flush."""
 
     def record(self, log: DataFrame) -> None:
-        metric_points(log).write.mode("append").partitionBy("series").parquet(self.path)
+        super().record(metric_points(log))
 
-    def scan(self, series: str, start_ms: int, end_ms: int) -> DataFrame:
-        """(ts_ms, value) with both ends included, in time order; reads one series' files."""
+    def scan(self, series: str, start_ms: int, end_ms: int, version: int | None = None) -> DataFrame:
+        """(ts_ms, value) with both ends included, in time order; opens the files of that series and time."""
         if series not in SERIES:
             raise ValueError(f"series is one of {SERIES}")
-        points = self.spark.read.schema("ts_ms long, value float, series string").parquet(self.path)
-        return points.where((F.col("series") == series) & F.col("ts_ms").between(start_ms, end_ms)).select("ts_ms", "value").orderBy("ts_ms")
+        return super().scan(series, start_ms, end_ms, version)
 
     def latency(self, start_ms: int, end_ms: int) -> DataFrame:
         return self.scan("latency", start_ms, end_ms)

@@ -15,6 +15,7 @@ from .operators.index import build_corpus_index, build_index, c_table, index_inf
 from .operators.rank import bit_ranks, byte_access, byte_histogram, byte_rank, byte_ranks
 from .operators.rollup import MINUTE, MetricRollup
 from .operators.signatures import sign_texts
+from .operators.timeseries import SeriesStore
 from .session import Scratch
 from .sources.blocks import BlockTexts, cut_texts, join_chunks
 from .sources.corpus import compress_text, from_compressed, read_table
@@ -426,6 +427,19 @@ def query_log_scan(spark, sf_dir):
     return store.results(ends["a"], ends["a"] + (ends["b"] - ends["a"]) // 2)
 
 
+def series_scan_events(spark, sf_dir):
+    """Event types as series, from three writes that are compacted and a late one: the middle half of the time of two of them."""
+    log, store = _log(spark, sf_dir), SeriesStore(spark, _folder(spark))
+    points = log.select(F.col("pattern").alias("series"), "ts_ms", F.col("latency_us").alias("value"), "event_id")
+    for k in range(3):
+        store.record(points.where(F.col("event_id") % 4 == k))
+    store.compact()
+    store.record(points.where(F.col("event_id") % 4 == 3))
+    ends = log.agg(F.min("ts_ms").alias("a"), F.max("ts_ms").alias("b")).first()
+    quarter = (ends["b"] - ends["a"]) // 4
+    return store.points(["click", "view"], ends["a"] + quarter, ends["b"] - quarter)
+
+
 def cache_results(spark, sf_dir):
     """Each pattern's last result: the events are puts whose position is the event's own id."""
     puts = _log(spark, sf_dir).select(F.col("event_id").alias("seq"), "pattern", F.array("event_id").alias("positions"))
@@ -450,7 +464,7 @@ QUERIES = {
         count_ci_index_documents, bwt_counts_documents, c_table_documents, byte_ranks_documents, byte_access_documents, count_letter_fours,
         count_named_patterns, codec_locate, codec_docs_with_any, codec_lengths, incremental_state, block_counts_documents, block_locate_documents,
         block_contains_documents, chunk_counts_conversations, corpus_range_conversations, stream_counts_conversations, rebuild_after_append, rollup_summary, rollup_quantiles,
-        rollup_frequency, stream_metrics_minutes, signature_contains_documents, sql_locate, query_log_empty, query_log_latency_scan,
+        rollup_frequency, stream_metrics_minutes, signature_contains_documents, sql_locate, query_log_empty, query_log_latency_scan, series_scan_events,
     )
 }
 
@@ -569,6 +583,8 @@ ORACLES = {
       ({_places_sql(1, "é tion", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')").replace("é", "É")} UNION ALL {_places_sql(2, "tion")}) WHERE k < n""",
     "query_log_empty": "SELECT * FROM (VALUES ('total', 0.0::DOUBLE), ('unique', 0.0), ('unique_exact', 0.0), ('frequency', 0.0), ('hit_rate', 0.0), ('p50', NULL), ('sketched', 0.0)) m(metric, value)",
     "query_log_latency_scan": "SELECT ts_ms, value FROM (SELECT epoch_us(ts) // 1000 AS ts_ms, value::FLOAT AS value, min(epoch_us(ts) // 1000) OVER () AS a, max(epoch_us(ts) // 1000) OVER () AS b FROM events) WHERE ts_ms >= a + (b - a) // 4",
+    "series_scan_events": """SELECT series, ts_ms, value FROM (SELECT event_type AS series, epoch_us(ts) // 1000 AS ts_ms, value::FLOAT AS value, min(epoch_us(ts) // 1000) OVER () AS a, max(epoch_us(ts) // 1000) OVER () AS b FROM events)
+      WHERE series IN ('click', 'view') AND ts_ms BETWEEN a + (b - a) // 4 AND b - (b - a) // 4""",
     # So few different patterns that the sketch holds each of them.
     "query_log_unique_sketch": "SELECT count(DISTINCT event_type)::DOUBLE AS unique_patterns FROM events",
     "query_log_quantiles_sketch": f"""WITH held AS (SELECT CASE WHEN value > 0 THEN ceil(ln(value) / {math.log(1.01 / 0.99)!r}) END AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL),
