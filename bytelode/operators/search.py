@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StringType
 
 from ..functions.bytes import as_bytes, ascii_lower, byte_text, has_border, holds, literal_occurrences
+from ..functions.sql import places
 from ..plans.patterns import FEW, FOLD, MOST_PATTERNS, Patterns, pattern_list
 from . import windows
 
@@ -285,6 +286,13 @@ def _any(spark: SparkSession, wanted: list[tuple], text: Column, encoding: str,
     return of(as_bytes(text))
 
 
+def _places_of(pattern: bytes) -> Column:
+    """The places of a known pattern in the byte text of the column `text`."""
+    if not pattern or b"\0" in pattern:
+        return F.sequence(F.lit(0).cast("long"), F.length("text").cast("long")) if not pattern else F.array().cast("array<bigint>")
+    return F.expr(places("text", f"decode(X'{pattern.hex()}', 'ISO-8859-1')", None if has_border(pattern) else len(pattern)))
+
+
 def locate(docs: DataFrame, patterns: Patterns, ci: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pattern_id, pos): a row for each occurrence, overlapping ones too."""
     patterns, table = _as_table(docs.sparkSession, patterns)
@@ -292,7 +300,10 @@ def locate(docs: DataFrame, patterns: Patterns, ci: bool = False, id_col: str =
         found = windows.occurrences(windows.texts_of(docs, F.col(id_col), text_col), windows.prepare(table, ci), True, ci)
         return found.select(F.col("key").alias(id_col), "pattern_id", F.col("value").alias("pos"))
     names = _Names(docs.sparkSession, patterns, ci)
-    return names.back(_scanned(docs, names.wanted, True, ci, id_col, text_col, "pos"))
+    if not names.wanted or len(names.wanted) > FEW:
+        return names.back(_scanned(docs, names.wanted, True, ci, id_col, text_col, "pos"))
+    found = _texts(docs, id_col, text_col, ci).select(id_col, F.explode(_each(names.wanted, _places_of)).alias("m"))
+    return names.back(found.select(id_col, "m.pattern_id", F.explode("m.value").alias("pos")))
 
 
 def locate_all(docs: DataFrame, patterns: Patterns, ci: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -158,3 +158,20 @@ def test_strings_that_are_not_utf8(spark):
         assert got == {(1, "a"): 2, (1, "b"): 1, (2, "é"): 1}
     assert {tuple(r) for r in search.locate(docs, [b"\xff"]).collect()} == {(1, 0, 1), (1, 0, 5)}
     assert search.contains(docs, ["x"] * 9 + ["a"], how="semi").count() == 1
+
+
+def test_locate_of_few_patterns_is_an_expression(spark):
+    """More places than one run adds up, patterns with and without borders, quoting, bytes 0 and bytes that are no UTF-8."""
+    rng = random.Random(3)
+    texts = [bytes(rng.choice(b"ab\\E") for _ in range(n)) for n in (0, 1, 7, 300, 2000)] + [b"ab" * 70_000, b"a" * 3000, b"\xff\x00\xffab\x00\xc3", "éaéb\n".encode()]
+    docs = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text binary")
+    patterns = [b"ab", b"a", b"aba", b"\\E", b"\xff", b"", b"\x00", b"b\n"]
+    found = search.locate(docs, patterns)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    want = {(i, k, at) for i, t in enumerate(texts) for k, p in enumerate(patterns) for at in places(t, p)}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    register(spark)
+    for k, p in enumerate(patterns):
+        held = spark.sql(f"select doc_id, bytes_locate(text, X'{p.hex()}') at from {{docs}}", docs=docs).collect()
+        assert {r.doc_id: r.at for r in held} == {i: places(t, p) for i, t in enumerate(texts)} | {99: None}
