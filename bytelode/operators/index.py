@@ -269,6 +269,10 @@ class SuffixIndex:
         zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
         return every.join(found, [self.id_col, "pattern_id"], "left").select(self.id_col, "pattern_id", zero("sp"), zero("ep"))
 
+    def c_table(self) -> DataFrame:
+        """The cumulative byte table, taken from the stored suffixes when it is asked for."""
+        return c_table(self.table("sa"), self.id_col)
+
     def count(self, patterns: Patterns) -> DataFrame:
         return self._hits(patterns).groupBy(self.id_col, "pattern_id").agg(F.count("*").alias("n_matches"))
 
@@ -344,7 +348,6 @@ def build_index(docs: DataFrame, path: str, sample_step: int = 4, id_col: str =
     texts = spark.read.parquet(f"{path}/docs")
     with cleared():
         suffix_table(texts, id_col).repartitionByRange("key8", id_col).sortWithinPartitions("key8", id_col).write.parquet(f"{path}/sa")
-    c_table(spark.read.parquet(f"{path}/sa"), id_col).write.parquet(f"{path}/c_table")
     index_info(texts, sample_step, id_col).withColumn("folded", F.lit(ci)).write.parquet(f"{path}/info")
     return SuffixIndex(spark, path, id_col, ci)
 
