@@ -54,9 +54,9 @@ def successor(prefix: bytes) -> bytes | None:
     return kept[:-1] + bytes([kept[-1] + 1]) if kept else None
 
 
-def key_range(key: Column, pattern: bytes) -> Column:
-    """The index keys under which suffixes that start with `pattern` are; pushed down to Parquet."""
+def key_range(key: Column, pattern: bytes, least: bytes | None = None) -> Column:
+    """The index keys under which suffixes that start with `pattern` are, or from `least` on; pushed down to Parquet."""
     prefix = pattern[:KEY_BYTES]
     after = successor(prefix)
-    low = key >= F.lit(prefix)
+    low = key >= F.lit(prefix if least is None else least)
     return low if after is None else low & (key < F.lit(after))
