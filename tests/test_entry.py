@@ -50,3 +50,18 @@ assert "contamination_pairs" in e.queries() and not any(n.startswith("op") for n
 assert set(e.oracle_sql()) <= set(e.queries())
 """
     subprocess.run([sys.executable, "-c", script], cwd=ROOT, check=True)
+
+
+def test_words_at_the_end_of_a_text_count_once(spark, tmp_path):
+    import duckdb
+
+    from bytelode.queries import ORACLES, QUERIES
+
+    spark.createDataFrame([(1, "station threen"), (2, "threen onionings"), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "threen, onionings")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = [(1, "threen", 1), (2, "onionings", 1), (2, "threen", 1)]
+    assert sorted((r.doc_id, r.word, r.n_matches) for r in QUERIES["count_index_table_documents"](spark, str(tmp_path)).collect()) == want
+    assert sorted(con.sql(f"select doc_id, word, n_matches from ({ORACLES['count_index_table_documents']})").fetchall()) == want
