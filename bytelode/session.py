@@ -110,11 +110,24 @@ def cleared() -> Iterator[None]:
             scratch.clear()
 
 
+#: Bytes of a batch that a Python worker is sent, unless the session says otherwise: with Spark's 64 MB, or 10,000 rows, a worker
+#: held more the larger the table's partitions were, several times over as texts, copies and results.
+BATCH_BYTES, SPARKS_BYTES = 4 << 20, 64 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds at once; a session's own setting stays."""
+    if spark.conf.get(_BATCH, None) in (None, f"{SPARKS_BYTES}b", "64MB", "64m"):
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the workers, unless they find it by PYTHONPATH or the working folder."""
+    """Sends the package to the workers, unless they find it by PYTHONPATH or the working folder, and sends them small batches."""
+    small_batches(spark)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     there = [os.path.abspath(p) for p in (os.environ.get("PYTHONPATH") or "").split(os.pathsep) if p] + [os.getcwd()]
     application = spark.sparkContext.applicationId

@@ -65,3 +65,24 @@ def test_words_at_the_end_of_a_text_count_once(spark, tmp_path):
     want = [(1, "threen", 1), (2, "onionings", 1), (2, "threen", 1)]
     assert sorted((r.doc_id, r.word, r.n_matches) for r in QUERIES["count_index_table_documents"](spark, str(tmp_path)).collect()) == want
     assert sorted(con.sql(f"select doc_id, word, n_matches from ({ORACLES['count_index_table_documents']})").fetchall()) == want
+
+
+def test_workers_are_sent_small_batches(spark):
+    from bytelode.session import ship
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        ship(spark)
+        assert spark.conf.get(key) == f"{4 << 20}b"
+        import pyarrow as pa
+
+        most = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+        texts = spark.range(4000, numPartitions=1).selectExpr("repeat('x', 5000) AS text")
+        assert max(r.n for r in texts.mapInArrow(most, "n long").collect()) < 5 << 20
+        spark.conf.set(key, "1000000b")
+        ship(spark)
+        assert spark.conf.get(key) == "1000000b"  # a session's own setting stays
+    finally:
+        spark.conf.set(key, before)
