@@ -19,7 +19,15 @@ BLOCK, WIDE = 512, 8192
 
 
 def _rank_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short texts go out together: a batch for each of them costs more than its rows."""
     for batch in batches:
+        held, n = [], 0
+
+        def send() -> pa.RecordBatch:
+            join = lambda k: pa.array(np.concatenate([x[k] for x in held]))
+            ids = batch.column(0).take(pa.array(np.repeat([x[0] for x in held], [len(x[1]) for x in held])))
+            return pa.RecordBatch.from_arrays([ids, join(1), join(2), join(3)], ["id", "idx", "byte", "rank"])
+
         for row, text in enumerate(batch.column(1)):
             data = np.frombuffer(text.as_py(), np.uint8)
             order = np.argsort(data, kind="stable")
@@ -27,9 +35,14 @@ def _rank_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             rank = np.empty(len(data), np.int64)
             rank[order] = np.arange(len(data)) - np.repeat(np.cumsum(counts) - counts, counts)
             for at in range(0, len(data), SEND):
-                part = slice(at, at + SEND)
-                n = len(data[part])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(n, row))), pa.array(np.arange(at, at + n)), pa.array(data[part].astype(np.int32)), pa.array(rank[part])], ["id", "idx", "byte", "rank"])
+                part = data[at : at + SEND]
+                held.append((row, np.arange(at, at + len(part)), part.astype(np.int32), rank[at : at + SEND]))
+                n += len(part)
+                if n >= SEND:
+                    yield send()
+                    held, n = [], 0
+        if held:
+            yield send()
 
 
 def byte_ranks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
