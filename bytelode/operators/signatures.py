@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 
 from ..functions.bytes import as_bytes
 from ..plans.patterns import FOLD, Patterns, pattern_list
+from ..session import default_partitions
 from . import search
 
 #: Bits of a block's filter (64 KB), and texts of a block.
 BITS, TEXTS = 1 << 19, 1000
+#: Bytes of a row group of the stored texts: those of other blocks are left out.
+GROUP_BYTES = 1 << 20
 _FOLDED = np.frombuffer(FOLD, np.uint8)
 
 
@@ -40,10 +43,14 @@ def _words(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, word, bits): a batch's texts of one block, which follow one another, are put together."""
     for batch in batches:
-        blocks, words, bits = [], [], []
+        own: dict[int, list[np.ndarray]] = {}
         for block, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            w, b = _words(gram_bits(text.as_py()))
+            own.setdefault(block, []).append(gram_bits(text.as_py()))
+        blocks, words, bits = [], [], []
+        for block, held in own.items():
+            w, b = _words(np.unique(np.concatenate(held)))
             blocks.append(np.full(len(w), block))
             words.append(w)
             bits.append(b)
@@ -101,8 +108,11 @@ def sign_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Stores the texts that are not null, by id, with their signatures."""
     spark, known = docs.sparkSession, docs.where(F.col(text_col).isNotNull())
     blocks = max(1, -(-known.count() // texts))
-    own = known.select(F.col(id_col), as_bytes(F.col(text_col)).alias("text")).repartitionByRange(blocks, id_col)
-    own.withColumn("block", F.spark_partition_id().cast("long")).write.parquet(f"{path}/docs")
+    # A file holds many blocks, so files and tasks grow with the session's partitions, not with the blocks.
+    own = known.select(F.col(id_col), as_bytes(F.col(text_col)).alias("text")).repartitionByRange(min(blocks, default_partitions(spark)), id_col).sortWithinPartitions(id_col)
+    place = own.withColumn("_at", F.monotonically_increasing_id())  # the partition's number above 33 bits of the row's
+    numbered = place.withColumn("block", F.expr(f"shiftleft(shiftright(_at, 33), 33) + (_at & {(1 << 33) - 1}) div {texts}")).drop("_at")
+    numbered.write.option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/docs")
     stored = spark.read.parquet(f"{path}/docs").select("block", "text")
     words = stored.mapInArrow(_signature_batches, "block long, word long, bits long")
     words.groupBy("block", "word").agg(F.bit_or("bits").alias("bits")).repartitionByRange("word", "block").sortWithinPartitions("word").write.parquet(f"{path}/signatures")

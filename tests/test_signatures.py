@@ -31,3 +31,12 @@ def test_no_text_lacks_a_bit_of_what_it_holds():
 def test_an_empty_table(spark, tmp_path):
     signed = sign_texts(spark.createDataFrame([], DOCS), f"{tmp_path}/none")
     assert signed.contains(["abc", ""]).count() == 0 and signed.read_share(["abc"]) == 0
+
+
+def test_files_do_not_grow_with_blocks(spark, tmp_path):
+    """Each block was a file of its own, and a task's."""
+    df = spark.createDataFrame([(i, b"text %d" % i) for i in range(600)], DOCS).repartition(3)
+    signed = sign_texts(df, f"{tmp_path}/signed", texts=10)
+    sizes = sorted(r.n for r in signed.docs().groupBy("block").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect())
+    assert 60 <= len(sizes) <= 64 and sizes[-1] == 10 and sum(sizes) == 600
+    assert len(list((tmp_path / "signed" / "docs").glob("*.parquet"))) <= 4
