@@ -29,6 +29,8 @@ BITS_EACH, FILTER_BITS = 16, 1 << 27
 BROADCAST_ROWS = 50_000
 #: Bytes of a text whose windows are hashed at once, and rows that a task sends at once.
 PIECE, SEND = 1 << 20, 200_000
+#: Bytes of short texts that are hashed together, and windows whose bytes are taken at once.
+TOGETHER, CELLS = 1 << 16, 1 << 14
 
 _BASE = 0x9E3779B97F4A7C15
 _U64 = (1 << 64) - 1
@@ -108,10 +110,11 @@ def prepare(patterns: DataFrame, ci: bool = False, scratch: Scratch | None = Non
     return PatternTable(rows, {r.anchor: r.most for r in sizes}, count, bits, spark.sparkContext.broadcast(held.view(np.uint64)))
 
 
-def _carried(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """The `size` bytes from each place on, zeros behind the end: no pattern holds a zero."""
+def _carried(data: np.ndarray, at: np.ndarray, size: int, ends: np.ndarray | None = None) -> np.ndarray:
+    """The `size` bytes from each place on, zeros behind the end (of the data, or `ends`): no pattern holds a zero."""
     cells = at[:, None] + np.arange(size)
-    return np.where(cells < len(data), data[np.minimum(cells, max(0, len(data) - 1))] if len(data) else 0, 0).astype(np.uint8)
+    inside = cells < (len(data) if ends is None else ends[:, None])
+    return np.where(inside, data[np.minimum(cells, max(0, len(data) - 1))] if len(data) else 0, 0).astype(np.uint8)
 
 
 def _pack(rows: np.ndarray) -> pa.Array:
@@ -125,27 +128,64 @@ def _window_batches(longest: dict[int, int], bits: int, sent: Broadcast, places:
     sizes = sorted(longest)
     behind = max([min(CARRIED, m) for m in longest.values()], default=0)
 
-    def found(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        whole, held = np.frombuffer(text, np.uint8), sent.value
-        for start in range(0, len(text) + 1, PIECE):
-            data = whole[start : start + PIECE + behind]
-            own = min(PIECE, len(text) - start + (start + PIECE > len(text)))  # the empty pattern also stands at the end
-            for size, h in window_hashes(data, sizes).items():
-                at = np.arange(min(own, len(h)))
-                if size:
-                    first, second = _places(h[: len(at)], bits)
-                    bit = lambda p: held[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)
-                    at = at[np.flatnonzero(bit(first) & bit(second))]
-                if not len(at):
-                    continue
+    def may_start(h: np.ndarray) -> np.ndarray:
+        first, second = _places(h, bits)
+        bit = lambda p: sent.value[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)
+        return np.flatnonzero(bit(first) & bit(second))
+
+    def found(data: np.ndarray, starts: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, hash, bytes, value) of texts that lie one after the other, so short ones are hashed together: text k begins at
+        starts[k], and its first own[k] windows are asked for."""
+        ends = np.append(starts[1:], len(data))
+        text_of = np.repeat(np.arange(len(starts)), ends - starts)
+        for size, h in window_hashes(data, sizes).items():
+            if not size and not places:
+                yield np.flatnonzero(own), np.zeros(np.count_nonzero(own), np.uint64), np.zeros((np.count_nonzero(own), 0), np.uint8), own[own > 0]
+                continue
+            if size:
+                at = may_start(h)
+                of = text_of[at]
+                fits = (at + size <= ends[of]) & (at - starts[of] < own[of])
+                at, of = at[fits], of[fits]
+            else:
+                of = np.repeat(np.arange(len(starts)), own)
+                at = np.arange(len(of)) - np.repeat(np.cumsum(own) - own, own) + starts[of]
+            for k in range(0, len(at), CELLS):
+                where, which = at[k : k + CELLS], of[k : k + CELLS]
+                hashes = h[where] if size else np.zeros(len(where), np.uint64)
+                cells = _carried(data, where, min(CARRIED, longest[size]), ends[which])
                 if places:
-                    yield h[at], _carried(data, at, min(CARRIED, longest[size])), start + at
-                elif not size:
-                    yield h[:1], np.zeros((1, 0), np.uint8), np.array([len(at)])
+                    yield which, hashes, cells, where - starts[which]
                 else:
-                    cells = _carried(data, at, min(CARRIED, longest[size]))
-                    kinds, first, n = np.unique(cells.view(f"V{cells.shape[1]}").ravel(), return_index=True, return_counts=True)
-                    yield h[at[first]], cells[first], n
+                    told = np.concatenate((which.astype(np.uint32)[:, None].view(np.uint8), cells), 1)
+                    _, first, n = np.unique(told.view(f"V{told.shape[1]}").ravel(), return_index=True, return_counts=True)
+                    yield which[first], hashes[first], cells[first], n
+
+    def groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, offset, data, starts, own) of a text's piece, or of whole texts of a piece's bytes together."""
+        near: list[bytes] = []
+
+        def together(row: int):
+            lengths = np.array([len(t) for t in near])
+            return row - len(near), 0, np.frombuffer(b"".join(near), np.uint8), np.cumsum(lengths) - lengths, lengths + 1  # the empty pattern also stands at the end
+
+        held = 0
+        for row, cell in enumerate(texts):
+            text = cell.as_py()
+            text = text.translate(FOLD) if ci else text
+            if near and held + len(text) > TOGETHER:
+                yield together(row)
+                near, held = [], 0
+            if len(text) <= TOGETHER:
+                near.append(text)
+                held += len(text)
+                continue
+            whole = np.frombuffer(text, np.uint8)
+            for start in range(0, len(text) + 1, PIECE):
+                own = min(PIECE, len(text) - start + (start + PIECE > len(text)))
+                yield row, start, whole[start : start + PIECE + behind], np.zeros(1, np.int64), np.array([own])
+        if near:
+            yield together(len(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,15 +193,13 @@ def _window_batches(longest: dict[int, int], bits: int, sent: Broadcast, places:
             n = 0
 
             def send() -> pa.RecordBatch:
-                rows = np.concatenate([np.full(len(h), row) for row, h, _, _ in held]) if held else np.zeros(0, np.int64)
                 join = lambda k, kind: np.concatenate([x[k] for x in held]).astype(kind) if held else np.zeros(0, kind)
                 cells = pa.concat_arrays([_pack(x[2]) for x in held]) if held else pa.array([], pa.binary())
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(join(1, np.uint64).view(np.int64)), cells, pa.array(join(3, np.int64))], ["key", "hash", "bytes", "value"])
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(join(0, np.int64))), pa.array(join(1, np.uint64).view(np.int64)), cells, pa.array(join(3, np.int64))], ["key", "hash", "bytes", "value"])
 
-            for row, text in enumerate(batch.column(1)):
-                text = text.as_py()
-                for h, cells, values in found(text.translate(FOLD) if ci else text):
-                    held.append((row, h, cells, values))
+            for row, offset, data, starts, own in groups(batch.column(1)):
+                for of, h, cells, values in found(data, starts, own):
+                    held.append((row + of, h, cells, values + offset if places else values))
                     n += len(h)
                     if n > SEND:
                         yield send()

@@ -98,3 +98,34 @@ def test_hashes_by_doubling_are_polynomials():
             assert seen.setdefault((size, bytes(data[k : k + size])), x) == x
     assert len(set(seen.values())) == len(seen)
     assert set(windows.window_hashes(data[:3], [0, 2, 4])) == {0, 2}
+
+
+def test_short_texts_are_hashed_together():
+    """A batch of short texts took a hash of its own for each; windows never span two texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    from bytelode.operators import windows
+
+    texts = [b"ab", b"", b"abab", b"b", b"aab" * 3, b"a"] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], ["key", "text"])
+
+    class Sent:
+        value = np.full(1 << 10, -1, np.int64).view(np.uint64)  # a filter that lets all pass
+
+    calls, real = [], windows.window_hashes
+    windows.window_hashes = lambda data, sizes: calls.append(1) or real(data, sizes)
+    try:
+        for places in (True, False):
+            calls.clear()
+            got = {}
+            for out in windows._window_batches({0: 0, 2: 3}, 1 << 16, Sent, places, False)([batch]):
+                for key, _, cells, value in zip(*(c.to_pylist() for c in out.columns)):
+                    got.setdefault(key, []).append((cells, value))
+            assert len(calls) == 1
+            for i, t in enumerate(texts):
+                at = [((t[k : k + 3] + b"\0\0\0")[:3], k) for k in range(len(t) - 1)]
+                counted = [(c, sum(c == d for d, _ in at)) for c in {c for c, _ in at}] + [(b"", len(t) + 1)]
+                assert sorted(got[i]) == sorted(at + [(b"", k) for k in range(len(t) + 1)] if places else counted)
+    finally:
+        windows.window_hashes = real
