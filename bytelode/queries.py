@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.bytes import fnv1a64
 from .functions.sql import register
 from .operators import cache, querylog, search
-from .operators.index import build_corpus_index, build_index, c_table, index_info, suffix_array, suffix_table
+from .operators.index import build_corpus_index, build_index, bwt_counts, c_table, index_info, suffix_array, suffix_table, text_c_table
 from .operators.rank import bit_ranks, byte_access, byte_histogram, byte_rank, byte_ranks
 from .operators.rollup import MINUTE, MetricRollup
 from .operators.signatures import sign_texts
@@ -163,12 +163,11 @@ def count_ci_index_documents(spark, sf_dir):
 
 def bwt_counts_documents(spark, sf_dir):
     """How often each byte is in the BWT of each document."""
-    suffixes = suffix_table(_documents(spark, sf_dir)).where("bwt_byte is not null")
-    return suffixes.groupBy("doc_id", "bwt_byte").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"))
+    return bwt_counts(_documents(spark, sf_dir))
 
 
 def c_table_documents(spark, sf_dir):
-    return c_table(suffix_table(_documents(spark, sf_dir)))
+    return text_c_table(_documents(spark, sf_dir))
 
 
 def byte_ranks_documents(spark, sf_dir):
